@@ -87,7 +87,7 @@ def headlines(documents: DataFrame) -> DataFrame:
 
 
 def trades(orders: DataFrame) -> DataFrame:
-    """Orders as ledger trades: status O buys, others sell; the book is the order's quarter."""
+    """Orders as ledger trades: status O buys, others sell; customers spread over three books."""
     buy = F.col("o_orderstatus") == "O"
     qty = F.round(num(1) + F.col("o_orderkey") % 7, 4)
     price = F.round(F.col("o_totalprice") / num(1000), 4)

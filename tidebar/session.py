@@ -22,7 +22,7 @@ def build_session(
     b = SparkSession.builder.appName(app)
     if master:
         b = b.master(master).config("spark.driver.memory", memory)
-        b = b.config("spark.ui.enabled", "false")
+        b = b.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false")
     if shuffle_partitions:
         b = b.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return (
@@ -56,3 +56,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Reliable checkpoint, so a lost executor replays from the shared folder."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared checkpoint folder, for written-and-reread tables."""
+    import uuid
+
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex[:12]}"
