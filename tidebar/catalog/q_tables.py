@@ -302,7 +302,7 @@ def _j18(t):
     return joins.missing_days(t.bars, ["symbol"], "ts")
 
 
-@query("j19_source_fill", f"{K} close:8 quote_volume:5 origin", """
+@query("j19_source_fill", f"{K} close:8 quote_volume:8 origin", """
 SELECT symbol, ts, close, quote_volume, 'primary' AS origin FROM bars WHERE ts < TIMESTAMP '2001-01-01'
 UNION ALL SELECT b.symbol, b.ts, b.close, b.volume * b.close, 'secondary' FROM bars b
 JOIN (SELECT symbol, max(ts) AS last FROM bars WHERE ts < TIMESTAMP '2001-01-01' GROUP BY 1) p ON p.symbol = b.symbol
@@ -419,7 +419,7 @@ def _a16(t):
 # ---------------- selections ----------------
 
 
-@query("o1_point_in_time_universe", "date:t symbol rank:i adv30:2", "SELECT date, symbol, rank, adv30 FROM panel_w WHERE rank <= 50")
+@query("o1_point_in_time_universe", "date:t symbol rank:i adv30:5", "SELECT date, symbol, rank, adv30 FROM panel_w WHERE rank <= 50")
 def _o1(t):
     return universe.panel(t.wbars).where("in_universe")
 
