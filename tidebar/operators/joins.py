@@ -25,6 +25,69 @@ def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame
     return F.broadcast(df) if estimated_bytes(df) <= limit else df
 
 
+def asof_many(
+    left: DataFrame,
+    rights: list[tuple[DataFrame, str, dict[str, str]]],
+    left_ts: str,
+    by: list[str] | None = None,
+    max_age_hours: float | None = None,
+    span: str = "month",
+    tie: list[str] | None = None,
+    bounded: bool = False,
+) -> DataFrame:
+    """Backward as-of join of several right tables at once.
+
+    Each entry of ``rights`` is (table, its time column, {output name: column}).
+    All sides are unioned and forward-filled together, so any number of right
+    tables costs one pass: no range join, and no task that holds a whole key,
+    since the fill runs in time blocks. ``bounded`` declares that a key's rows are
+    limited by the calendar (daily decisions, sessions); then a single window is
+    the cheaper plan. Right rows sort before left rows at equal time; ``tie``
+    orders right rows of equal time. An older match than ``max_age_hours`` is null.
+    """
+    tie = tie or []
+    keys = by or ["_all"]
+    prep = (lambda d: d) if by else (lambda d: d.withColumn("_all", F.lit(1)))
+    lhs = prep(left)
+    none = [F.lit(None).cast("string") for _ in tie]
+    parts = [
+        lhs.select(
+            *keys, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
+            *[n.alias(f"_tie{i}") for i, n in enumerate(none)],
+            F.struct(*[F.col(c) for c in left.columns]).alias("_left"),
+        )
+    ]
+    for i, (right, right_ts, cols) in enumerate(rights):
+        payload = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c).alias(o) for o, c in cols.items()])
+        parts.append(
+            prep(right).where(F.col(right_ts).isNotNull()).select(
+                *keys, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
+                *[F.col(c).alias(f"_tie{j}") for j, c in enumerate(tie)], payload.alias(f"_r{i}"),
+            )
+        )
+    both = parts[0]
+    if tie:
+        for j, c in enumerate(tie):
+            both = both.withColumn(f"_tie{j}", F.lit(None).cast(rights[0][0].schema[c].dataType))
+    for p in parts[1:]:
+        both = both.unionByName(p, allowMissingColumns=True)
+    order = ["_t", "_side", *[f"_tie{j}" for j in range(len(tie))]]
+    hits = {f"_h{i}": f"_r{i}" for i in range(len(rights))}
+    if bounded:
+        w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
+        filled = both.select("*", *[F.last(r, ignorenulls=True).over(w).alias(h) for h, r in hits.items()])
+    else:
+        filled = carry_forward(both, keys, order, hits, span)
+    out = filled.where(F.col("_side") == 1)
+    picked = []
+    for i, (_, _, cols) in enumerate(rights):
+        hit = F.col(f"_h{i}")
+        if max_age_hours is not None:
+            hit = F.when(hit["_rts"] >= hours_before(F.col("_t"), max_age_hours), hit)
+        picked += [hit[o].alias(o) for o in cols]
+    return out.select(*[F.col("_left")[c].alias(c) for c in left.columns], *picked)
+
+
 def asof_join(
     left: DataFrame,
     right: DataFrame,
@@ -35,44 +98,15 @@ def asof_join(
     max_age_hours: float | None = None,
     span: str = "month",
     tie: list[str] | None = None,
+    bounded: bool = False,
 ) -> DataFrame:
     """Backward as-of join: for each left row the latest right row at or before it.
 
-    One union and one two-level forward fill: no range join, no per-key task.
-    Right rows sort before left rows at equal time. With ``max_age_hours`` an
-    older match becomes null. ``tie`` orders right rows of equal time.
+    A right column whose name the left table already has gets the suffix ``_right``.
     """
-    by = by or []
-    cols = cols or [c for c in right.columns if c not in by]
-    tie = tie or []
-    key_cols = by or ["_all"]
-    lhs = left if by else left.withColumn("_all", F.lit(1))
-    rhs = right if by else right.withColumn("_all", F.lit(1))
-
-    payload = F.struct(F.col(right_ts).alias("_rts"), *[F.col(c) for c in cols])
-    r = rhs.select(
-        *key_cols, F.col(right_ts).alias("_t"), F.lit(0).alias("_side"),
-        (F.struct(*[F.col(t) for t in tie]) if tie else F.lit(0)).alias("_tie"),
-        payload.alias("_right"),
-    )
-    null_tie = F.lit(None).cast(r.schema["_tie"].dataType)
-    lrow = F.struct(*[F.col(c) for c in lhs.columns])
-    l = lhs.select(
-        *key_cols, F.col(left_ts).alias("_t"), F.lit(1).alias("_side"),
-        null_tie.alias("_tie"), lrow.alias("_left"),
-    )
-    both = r.unionByName(l, allowMissingColumns=True)
-    filled = carry_forward(both, key_cols, ["_t", "_side", "_tie"], {"_hit": "_right"}, span)
-    hit = F.col("_hit")
-    if max_age_hours is not None:
-        fresh = hit["_rts"] >= hours_before(F.col("_t"), max_age_hours)
-        hit = F.when(fresh, hit)
-    out = filled.where(F.col("_side") == 1).withColumn("_hit", hit)
-    clash = {c for c in cols if c in left.columns}
-    return out.select(
-        *[F.col("_left")[c].alias(c) for c in left.columns],
-        *[F.col("_hit")[c].alias(f"{c}_right" if c in clash else c) for c in cols],
-    )
+    cols = cols or [c for c in right.columns if c not in (by or [])]
+    names = {(f"{c}_right" if c in left.columns else c): c for c in cols}
+    return asof_many(left, [(right, right_ts, names)], left_ts, by, max_age_hours, span, tie, bounded)
 
 
 def asof_top_k(
@@ -215,7 +249,7 @@ def next_on_spine(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
 
 
 __all__ = [
-    "align_outer", "asof_join", "asof_top_k", "broadcast_if_small", "col", "compare_sources",
+    "align_outer", "asof_join", "asof_many", "asof_top_k", "broadcast_if_small", "col", "compare_sources",
     "complete_dates", "estimated_bytes", "event_gate", "fill_join", "interval_join",
     "missing_cells", "missing_days", "next_on_spine", "plus_days", "seconds", "source_fill",
 ]

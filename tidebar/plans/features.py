@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tidebar.functions.columns import div, num
 from tidebar.functions.times import plus_days, staleness_days
 from tidebar.operators import windows as win
-from tidebar.operators.joins import asof_join
+from tidebar.operators.joins import asof_many
 
 SCHEMA_VERSION = "xa-dl-v1"
 
@@ -180,21 +180,24 @@ def feature_table(
 
     etf = lambda p: [f"x_{p}_{s}" for s in ("ret1", "ret5", "ret20", "vol20", "dd20", "dd60", "ma20", "ma100")]
     vix_cols = ["x_vix_log", "x_vix_chg1", "x_vix_chg5", "x_vix_pctile", "x_vix_ma20"]
-    decisions = base.select("decision_ts").distinct()
-    joined = decisions
-    for grid, cols, role in [
-        (spy, etf("spy"), "spy"), (gld, etf("gld"), "gld"), (vix, vix_cols, "vix"),
-        (spread, ["x_qqq_spy_spread20"], None), (stress, ["x_stress"], None),
-        (corr, ["x_corr20_btc_spy", "x_corr60_btc_spy", "x_beta60_btc_spy"], None),
-    ]:
-        if role is None:
-            joined = asof_join(joined, grid, "decision_ts", "available_at", cols=cols, span="year")
-            continue
-        hit = asof_join(
-            joined, grid, "decision_ts", "available_at", cols=["session_date", "bar_end", *cols], span="year"
-        )
-        joined = hit.withColumn(f"x_{role}_days_since", staleness_days("decision_ts", "bar_end"))
-        joined = joined.withColumnRenamed("session_date", f"prov_{role}_session").drop("bar_end")
+    # decisions follow the calendar: one row per bar date, whatever the number of symbols
+    decisions = bars.select(plus_days("ts", 1).alias("decision_ts")).distinct()
+    same = lambda cols: {c: c for c in cols}
+    sided = lambda r: {f"prov_{r}_session": "session_date", f"_{r}_end": "bar_end"}
+    joined = asof_many(
+        decisions,
+        [
+            (spy, "available_at", {**sided("spy"), **same(etf("spy"))}),
+            (gld, "available_at", {**sided("gld"), **same(etf("gld"))}),
+            (vix, "available_at", {**sided("vix"), **same(vix_cols)}),
+            (spread, "available_at", same(["x_qqq_spy_spread20"])),
+            (stress, "available_at", same(["x_stress"])),
+            (corr, "available_at", same(["x_corr20_btc_spy", "x_corr60_btc_spy", "x_beta60_btc_spy"])),
+        ],
+        "decision_ts", bounded=True,
+    )
+    for r in ("spy", "gld", "vix"):
+        joined = joined.withColumn(f"x_{r}_days_since", staleness_days("decision_ts", f"_{r}_end")).drop(f"_{r}_end")
 
     def fresh(role: str, value: str):
         ok = (F.col(f"x_{role}_days_since") <= STALE_LIMIT_DAYS) & F.col(value).isNotNull()
