@@ -98,7 +98,7 @@ def trades(orders: DataFrame) -> DataFrame:
         F.concat(F.lit("book"), (F.col("o_custkey") % 3).cast("string")).alias("book"),
         F.col("o_orderpriority").alias("symbol"), F.when(buy, "buy").otherwise("sell").alias("side"),
         qty.alias("qty"), price.alias("price"), notional.alias("notional"),
-        F.round(notional * num(0.001), 6).alias("fee"),
+        F.round(notional * num(0.001) + num(1e-9), 6).alias("fee"),
         F.when(F.col("o_orderkey") % 5 == 0, "catchup").otherwise("live").alias("mode"),
     )
 

@@ -72,7 +72,7 @@ SELECT doc_id, substring(text, 1, 80) AS title, source, lang,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS t FROM documents""")
 cte("trades", """
 SELECT trade_id, ts, day, book, symbol, side, qty, price, round(qty * price, 4) AS notional,
-  round(round(qty * price, 4) * 0.001::DOUBLE, 6) AS fee, mode
+  round(round(qty * price, 4) * 0.001::DOUBLE + 1e-9::DOUBLE, 6) AS fee, mode
 FROM (SELECT o_orderkey AS trade_id, o_orderdate + to_minutes(o_orderkey % 1440) AS ts,
   CAST(o_orderdate AS DATE) AS day, 'book' || (o_custkey % 3) AS book, o_orderpriority AS symbol,
   CASE WHEN o_orderstatus = 'O' THEN 'buy' ELSE 'sell' END AS side,
