@@ -90,7 +90,7 @@ def trades(orders: DataFrame) -> DataFrame:
     """Orders as ledger trades: status O buys, others sell; customers spread over three books."""
     buy = F.col("o_orderstatus") == "O"
     qty = F.round(num(1) + F.col("o_orderkey") % 7, 4)
-    price = F.round(F.col("o_totalprice") / num(1000), 4)
+    price = F.round(F.col("o_totalprice") / num(1000) + num(1e-9), 4)
     notional = F.round(qty * price, 4)
     ts = plus_minutes(F.col("o_orderdate").cast("timestamp"), (F.col("o_orderkey") % 1440).cast("int"))
     return orders.select(

@@ -208,7 +208,7 @@ def _x12(t):
     return ledger.positions_now(t.trades, ["book"])
 
 
-@query("x12_running_book", "trade_id:i book cash:3 position:4", f"""
+@query("x12_running_book", "trade_id:i book cash:6 position:4", f"""
 SELECT trade_id, book, {CAPITAL} + sum(cash_flow) OVER (PARTITION BY book ORDER BY ts, trade_id {UP}) AS cash,
  sum(qty_flow) OVER (PARTITION BY book, symbol ORDER BY ts, trade_id {UP}) AS position FROM flow_t""")
 def _x12b(t):
@@ -234,7 +234,7 @@ def equity(t):
     return ledger.daily_equity(tr, marks(t), ["book"], CAPITAL)
 
 
-@query("x12_daily_equity", "book day:t cash:3 positions_value:3 equity:3", "SELECT * FROM equity_d")
+@query("x12_daily_equity", "book day:t cash:6 positions_value:6 equity:6", "SELECT * FROM equity_d")
 def _x12c(t):
     return equity(t)
 

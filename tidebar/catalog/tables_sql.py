@@ -76,7 +76,7 @@ SELECT trade_id, ts, day, book, symbol, side, qty, price, round(qty * price, 4)
 FROM (SELECT o_orderkey AS trade_id, o_orderdate + to_minutes(o_orderkey % 1440) AS ts,
   CAST(o_orderdate AS DATE) AS day, 'book' || (o_custkey % 3) AS book, o_orderpriority AS symbol,
   CASE WHEN o_orderstatus = 'O' THEN 'buy' ELSE 'sell' END AS side,
-  CAST(1 + o_orderkey % 7 AS DOUBLE) AS qty, round(o_totalprice / 1000.0::DOUBLE, 4) AS price,
+  CAST(1 + o_orderkey % 7 AS DOUBLE) AS qty, round(o_totalprice / 1000.0::DOUBLE + 1e-9::DOUBLE, 4) AS price,
   CASE WHEN o_orderkey % 5 = 0 THEN 'catchup' ELSE 'live' END AS mode FROM orders)""")
 cte("calendar_t", """
 SELECT n_name AS name, r_name AS kind,
