@@ -208,3 +208,13 @@ def test_holdings_forced_exit(spark):
     # date 2: A has no next bar (cost, no turnover), B is sold
     assert out[2]["gross"] == 0 and out[2]["turnover"] == pytest.approx(0.5) and out[2]["cost"] == pytest.approx(0.001)
     assert out[3]["turnover"] == pytest.approx(0.5)
+
+
+def test_block_quantiles_are_exact(spark):
+    rng = random.Random(8)
+    data = [("hot" if rng.random() < 0.8 else "cold", float(rng.randint(0, 300)) / 7) for _ in range(3000)] + [("one", 5.0)]
+    d = spark.createDataFrame(data, "k string, x double")
+    got = {r["k"]: r for r in blocks.quantiles(d, ["k"], "x", {"a": 0.05, "b": 0.5, "c": 1.0}, n_blocks=9).collect()}
+    pdf = pd.DataFrame(data, columns=["k", "x"]).groupby("k")["x"]
+    for k, x in pdf:
+        assert [got[k]["a"], got[k]["b"], got[k]["c"]] == pytest.approx([x.quantile(q) for q in (0.05, 0.5, 1.0)])

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import num
 from tidebar.functions.text import ASSET_PATTERNS
+from tidebar.operators.blocks import quantiles
 
 LEVELS = ["P0", "P1", "P2", "P3"]  # fixed values: incident levels
 
@@ -119,14 +120,16 @@ def pooled_scores(scores: DataFrame) -> DataFrame:
 
 
 def sigma_floor(train: DataFrame, keys: list[str], sigma: str = "c_sigma20d") -> DataFrame:
+    """Fifth percentile of the positive volatilities per key; 1e-4 where there is none."""
     positive = F.when(F.col(sigma) > 0, F.col(sigma))
-    return train.groupBy(*keys).agg(
-        F.coalesce(F.percentile(positive, 0.05), num(1e-4)).alias("sigma_floor")
-    )
+    q = quantiles(train, keys, positive, {"_q": 0.05})
+    out = train.select(*keys).distinct().join(q, keys, "left")
+    return out.select(*keys, F.coalesce("_q", num(1e-4)).alias("sigma_floor"))
 
 
 def sigma_reference(train: DataFrame, keys: list[str], label: str = "label_logvol5") -> DataFrame:
-    return train.groupBy(*keys).agg(F.percentile(F.exp(label), 0.5).alias("sigma_ref"))
+    """Median realised forward volatility per key."""
+    return quantiles(train, keys, F.exp(label), {"sigma_ref": 0.5}).drop("n_values")
 
 
 def trade_stats(trades: DataFrame, keys: list[str]) -> DataFrame:

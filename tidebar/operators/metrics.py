@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import col, num
 from tidebar.functions.normal import expected_max_sharpe, normal_cdf
-from tidebar.operators.blocks import running_sum
+from tidebar.operators.blocks import quantiles, running_sum
 
 BARS_PER_YEAR = {"1d": 365, "4h": 6 * 365, "1h": 24 * 365}
 
@@ -78,7 +78,7 @@ def rounded_summary(s: DataFrame) -> DataFrame:
 
 def downside(df: DataFrame, keys: list[str], ret: str = "net", q: float = 0.05) -> DataFrame:
     """Sortino ratio and expected shortfall of the worst ``q`` share of bars."""
-    cut = df.groupBy(*keys).agg(F.percentile(ret, q).alias("_q"))
+    cut = quantiles(df, keys, ret, {"_q": q}).drop("n_values")
     r = F.col(ret)
     loss = F.when(r < 0, r)
     sd = F.stddev_samp(loss)

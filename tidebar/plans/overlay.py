@@ -10,6 +10,7 @@ from tidebar.functions.times import plus_days
 from tidebar.operators import metrics, models
 from tidebar.operators import windows as win
 from tidebar.operators.aggregates import sigma_floor, sigma_reference
+from tidebar.operators.blocks import quantiles
 from tidebar.operators.joins import broadcast_if_small
 from tidebar.operators.selection import last_n
 from tidebar.operators.sets import upsert_first
@@ -25,10 +26,11 @@ def fold_constants(tagged: DataFrame) -> DataFrame:
     """Per fold, from training rows with a label: sigma_ref, sigma_floor and the VIX threshold."""
     train = tagged.where((F.col("split") == "train") & F.col("label_logvol5").isNotNull())
     vix = F.when(F.col("m_vix") == 1, F.col("x_vix_log"))
-    gate = train.groupBy("fold").agg(
-        F.when(F.count(vix) >= VIX_MIN_ROWS, F.percentile(vix, VIX_QUANTILE)).alias("vix_limit")
+    gate = quantiles(train, ["fold"], vix, {"_q": VIX_QUANTILE}).select(
+        "fold", F.when(F.col("n_values") >= VIX_MIN_ROWS, F.col("_q")).alias("vix_limit")
     )
-    return sigma_reference(train, ["fold"]).join(sigma_floor(train, ["fold"]), "fold").join(gate, "fold")
+    base = sigma_reference(train, ["fold"]).join(sigma_floor(train, ["fold"]), "fold")
+    return base.join(gate, "fold", "left")
 
 
 def baseline_forecasts(tagged: DataFrame, with_har: bool = True) -> DataFrame:

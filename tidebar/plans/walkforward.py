@@ -53,7 +53,6 @@ def walk_forward(
     i = F.col("_i")
     test_fold = F.when(i >= train, F.floor((i - train) / F.lit(test)).cast("int"))
     first_train = F.greatest(F.lit(0), F.ceil((i - train + 1) / F.lit(test)).cast("int"))
-    last_train = F.floor(i / F.lit(test)).cast("int")
 
     def live(fold: Column) -> Column:
         lo = F.lit(train) + fold * F.lit(test)
