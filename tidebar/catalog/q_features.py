@@ -17,7 +17,11 @@ from tidebar.sources import sinks
 
 ROLES = {"spy": "1-URGENT", "qqq": "2-HIGH", "gld": "3-MEDIUM", "vix": "5-LOW"}
 LEAD = "NO"
-w = win.series("symbol")
+
+
+def w():
+    """Window of one series; built on use, so the catalog loads without a session."""
+    return win.series("symbol")
 
 _LRB = f"(SELECT b.*, ln(close) - lag(ln(close)) {sqlwin()} AS lr, ln(close) AS lc, f.funding AS f FROM bars b LEFT JOIN bar_funding f USING (symbol, ts))"
 _S20 = roll("stddev_samp({})", "lr", 20)

@@ -13,7 +13,11 @@ from tidebar.functions.columns import num
 from tidebar.operators import windows as win
 
 K = "symbol ts:t"
-w = win.series("symbol")
+
+
+def w():
+    """Window of one series; built on use, so the catalog loads without a session."""
+    return win.series("symbol")
 
 
 @query("f1_epoch_units", "event_id:i ts:t", """
@@ -138,8 +142,8 @@ def _f13(t):
 SELECT symbol, ts, CASE WHEN v IS NULL THEN 0.0 WHEN v = 0 THEN 1.0 ELSE least(0.15 / v, 1.0) END AS scale FROM (
   SELECT symbol, ts, {roll('stddev_samp({})', 'ret', 20)} * sqrt(365.0) AS v FROM ret_bars)""")
 def _f14(t):
-    r = t.bars.withColumn("ret", win.pct_change("close", w))
-    v = win.rolling_std("ret", w, 20) * F.sqrt(num(365))
+    r = t.bars.withColumn("ret", win.pct_change("close", w()))
+    v = win.rolling_std("ret", w(), 20) * F.sqrt(num(365))
     return r.select("symbol", "ts", C.vol_target_scale(v, 0.15).alias("scale"))
 
 
@@ -157,9 +161,9 @@ def _f15(t):
 SELECT symbol, ts, CASE WHEN s IS NOT NULL THEN greatest(least(0.8 / greatest(s, 1e-8), 1), 0) END * CASE WHEN p IS NULL THEN 1 WHEN p >= 0.5 THEN 0 WHEN p >= 0.25 THEN 0.5 ELSE 1 END AS mult
 FROM (SELECT symbol, ts, {roll('stddev_samp({})', 'ret', 20)} AS s, CASE WHEN volume > 20 THEN (volume % 40) / 40.0 END AS p FROM ret_bars)""")
 def _f16(t):
-    r = t.bars.withColumn("ret", win.pct_change("close", w))
+    r = t.bars.withColumn("ret", win.pct_change("close", w()))
     p = F.when(F.col("volume") > 20, (F.col("volume") % 40) / num(40))
-    s = r.withColumn("s", win.rolling_std("ret", w, 20))
+    s = r.withColumn("s", win.rolling_std("ret", w(), 20))
     return s.select("symbol", "ts", C.risk_multiplier("s", num(0.8), p).alias("mult"))
 
 
@@ -167,7 +171,7 @@ def _f16(t):
 SELECT symbol, ts, CASE WHEN y IS NOT NULL THEN CAST(y <= -2 AS DOUBLE) END AS strict, coalesce(CAST(y <= -2 AS DOUBLE), 0) AS zeroed
 FROM (SELECT symbol, ts, -volume / 20.0 * (ret / nullif(greatest(ret, 0.3), 0)) AS y FROM (SELECT symbol, ts, volume, abs(ret) AS ret FROM ret_bars))""")
 def _f17(t):
-    r = t.bars.select("symbol", "ts", F.abs(win.pct_change("close", w)).alias("s"), (-F.col("volume") / num(20)).alias("z"))
+    r = t.bars.select("symbol", "ts", F.abs(win.pct_change("close", w())).alias("s"), (-F.col("volume") / num(20)).alias("z"))
     return r.select("symbol", "ts", C.tail_label("z", "s", num(0.3)).alias("strict"), C.tail_label("z", "s", num(0.3), True).alias("zeroed"))
 
 
@@ -175,8 +179,8 @@ def _f17(t):
 SELECT symbol, ts, ln(abs(r / nullif(s, 0) * s) + 1e-6) AS x1, ln(v5 * sqrt(365.0) / sqrt(365.0) + 1e-6) AS x2, ln(v22 * sqrt(365.0) / sqrt(365.0) + 1e-6) AS x3 FROM (
  SELECT symbol, ts, ret AS r, {roll('stddev_samp({})', 'ret', 20)} AS s, {roll('stddev_samp({})', 'ret', 5)} AS v5, {roll('stddev_samp({})', 'ret', 22)} AS v22 FROM ret_bars)""")
 def _f18(t):
-    r = t.bars.select("symbol", "ts", win.pct_change("close", w).alias("ret"))
-    sd = {n: win.rolling_std("ret", w, n) for n in (20, 5, 22)}
+    r = t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("ret"))
+    sd = {n: win.rolling_std("ret", w(), n) for n in (20, 5, 22)}
     root = F.sqrt(num(365))
     s = r.select("symbol", "ts", "ret", sd[20].alias("s"), (sd[5] * root).alias("v5"), (sd[22] * root).alias("v22"))
     x1, x2, x3 = C.har_design(F.try_divide("ret", "s"), F.col("s"), F.col("v5"), F.col("v22"))

@@ -17,7 +17,11 @@ from tidebar.plans import backtest as bt
 from tidebar.plans import carry, grids, registry, research, signals, walkforward
 
 K = "symbol ts:t"
-w = win.series("symbol")
+
+
+def w():
+    """Window of one series; built on use, so the catalog loads without a session."""
+    return win.series("symbol")
 UP = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW"
 
 
@@ -198,7 +202,7 @@ cte("capped", "SELECT symbol, ts, greatest(least(ret, 0.05), -0.05) AS net FROM
 def capped(t):
     from tidebar.functions.columns import clip
 
-    return t.bars.select("symbol", "ts", clip(win.pct_change("close", w), -0.05, 0.05).alias("net")).where("net is not null")
+    return t.bars.select("symbol", "ts", clip(win.pct_change("close", w()), -0.05, 0.05).alias("net")).where("net is not null")
 
 
 @query("m1_sharpe", "symbol sr:7 sr_ann:6", f"SELECT symbol, {sharpe_pp('net')} AS sr, {sharpe('net')} AS sr_ann FROM capped GROUP BY 1")

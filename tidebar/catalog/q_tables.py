@@ -16,7 +16,11 @@ from tidebar.plans.signals import single
 from tidebar.sources import readers
 
 K = "symbol ts:t"
-w = win.series("symbol")
+
+
+def w():
+    """Window of one series; built on use, so the catalog loads without a session."""
+    return win.series("symbol")
 
 # ---------------- projections and filters ----------------
 
@@ -83,7 +87,7 @@ SELECT symbol, regime, count(ret) AS n, CASE WHEN count(ret) > 60 THEN {sharpe('
   SELECT symbol, ret, CASE WHEN ts < DATE '1997-01-01' THEN 'early' WHEN ts < DATE '1999-06-01' THEN 'middle'
     WHEN ts < DATE '2001-10-20' THEN 'late' ELSE 'tail' END AS regime FROM ret_bars) GROUP BY 1, 2""")
 def _p4(t):
-    r = t.bars.withColumn("ret", win.pct_change("close", w))
+    r = t.bars.withColumn("ret", win.pct_change("close", w()))
     return walkforward.regime_slices(r, ["symbol"], "ts", "ret", _REG)
 
 
@@ -91,7 +95,7 @@ def _p4(t):
 SELECT symbol, count(*) AS n, min(ts) AS first_ts FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY ts) AS rn FROM bars)
 WHERE rn > 730 GROUP BY symbol""")
 def _p7(t):
-    b = t.bars.withColumn("rn", F.row_number().over(w)).where("rn > 730")
+    b = t.bars.withColumn("rn", F.row_number().over(w())).where("rn > 730")
     return b.groupBy("symbol").agg(F.count(F.lit(1)).alias("n"), F.min("ts").alias("first_ts"))
 
 
@@ -364,7 +368,7 @@ def _a5(t):
 WITH r AS (SELECT symbol, ts, ret AS net FROM ret_bars WHERE ret IS NOT NULL)
 SELECT 'skip' AS mode, ts, avg(net) AS net FROM r GROUP BY ts UNION ALL SELECT 'complete', ts, avg(net) FROM r GROUP BY ts HAVING count(net) = 6""")
 def _a6(t):
-    r = t.bars.select("symbol", "ts", win.pct_change("close", w).alias("net")).where("net is not null")
+    r = t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("net")).where("net is not null")
     a = aggregates.portfolio(r, ["ts"]).withColumn("mode", F.lit("skip"))
     b = aggregates.portfolio(r, ["ts"], need=6).withColumn("mode", F.lit("complete"))
     return a.unionByName(b)
@@ -397,7 +401,7 @@ def _a7(t):
 def _a12(t):
     from pyspark.sql import Window as W
 
-    r = t.bars.select("symbol", "ts", win.pct_change("close", w).alias("ret")).where("ret is not null")
+    r = t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("ret")).where("ret is not null")
     return r.select("ts", F.median("ret").over(W.partitionBy("ts")).alias("med")).distinct()
 
 
@@ -463,7 +467,7 @@ SELECT symbol, arg_max(width, row(s, -width)) AS best_width FROM (SELECT symbol,
 def _o6(t):
     from tidebar.operators.metrics import sharpe as sh
 
-    r = t.bars.select("symbol", win.pct_change("close", w).alias("x"))
+    r = t.bars.select("symbol", win.pct_change("close", w()).alias("x"))
     widths = t.spark.createDataFrame([(32,), (64,), (128,)], "width long")
     s = r.crossJoin(F.broadcast(widths)).groupBy("symbol", "width").agg(sh("x").alias("s"))
     return selection.widest_first(s, ["symbol"], "s", "width", 2)

@@ -14,44 +14,48 @@ from tidebar.plans.signals import single
 from tidebar.plans.universe import bar_counts_on_spine
 
 K = "symbol ts:t"
-w = win.series("symbol")
+
+
+def w():
+    """Window of one series; built on use, so the catalog loads without a session."""
+    return win.series("symbol")
 
 
 @query("w1_pct_change", f"{K} ret1:8 ret5:8", f"""
 SELECT symbol, ts, close / lag(close) {sqlwin()} - 1 AS ret1, close / lag(close, 5) {sqlwin()} - 1 AS ret5 FROM bars""")
 def _w1(t):
-    return t.bars.select("symbol", "ts", win.pct_change("close", w).alias("ret1"), win.pct_change("close", w, 5).alias("ret5"))
+    return t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("ret1"), win.pct_change("close", w(), 5).alias("ret5"))
 
 
 @query("w2_log_diff", f"{K} lr1:8 lr5:8", f"""
 SELECT symbol, ts, ln(close) - lag(ln(close)) {sqlwin()} AS lr1, ln(close) - lag(ln(close), 5) {sqlwin()} AS lr5 FROM bars""")
 def _w2(t):
-    return t.bars.select("symbol", "ts", win.log_diff("close", w).alias("lr1"), win.log_diff("close", w, 5).alias("lr5"))
+    return t.bars.select("symbol", "ts", win.log_diff("close", w()).alias("lr1"), win.log_diff("close", w(), 5).alias("lr5"))
 
 
 @query("w3_execution_delay", f"{K} pos:6 held:6", f"""
 SELECT *, coalesce(lag(pos) {sqlwin()}, 0) AS held FROM ({donchian_pos(20, 10)})""")
 def _w3(t):
-    return single(t.bars, "donchian", n_entry=20, n_exit=10).withColumn("held", win.held("pos", w))
+    return single(t.bars, "donchian", n_entry=20, n_exit=10).withColumn("held", win.held("pos", w()))
 
 
 @query("w4_turnover", f"{K} turnover:6", f"""
 SELECT symbol, ts, abs(pos - coalesce(lag(pos) {sqlwin()}, 0)) AS turnover FROM ({donchian_pos(20, 10)})""")
 def _w4(t):
-    return single(t.bars, "donchian", n_entry=20, n_exit=10).withColumn("turnover", win.turnover("pos", w))
+    return single(t.bars, "donchian", n_entry=20, n_exit=10).withColumn("turnover", win.turnover("pos", w()))
 
 
 @query("w5_rolling_mean", f"{K} ma20:5 ma100:5", f"""
 SELECT symbol, ts, {roll('avg({})', 'close', 20)} AS ma20, {roll('avg({})', 'close', 100)} AS ma100 FROM bars""")
 def _w5(t):
-    return t.bars.select("symbol", "ts", win.rolling_mean("close", w, 20).alias("ma20"), win.rolling_mean("close", w, 100).alias("ma100"))
+    return t.bars.select("symbol", "ts", win.rolling_mean("close", w(), 20).alias("ma20"), win.rolling_mean("close", w(), 100).alias("ma100"))
 
 
 @query("w6_rolling_std", f"{K} vol20:7", f"""
 SELECT symbol, ts, {roll('stddev_samp({})', 'ret', 20)} * sqrt(365.0) AS vol20 FROM ret_bars""")
 def _w6(t):
-    r = t.bars.withColumn("ret", win.pct_change("close", w))
-    return r.select("symbol", "ts", (win.rolling_std("ret", w, 20) * F.sqrt(num(365))).alias("vol20"))
+    r = t.bars.withColumn("ret", win.pct_change("close", w()))
+    return r.select("symbol", "ts", (win.rolling_std("ret", w(), 20) * F.sqrt(num(365))).alias("vol20"))
 
 
 @query("w7_rolling_extremes", f"{K} hi20:8 lo10:8 hi55:8", f"""
@@ -59,24 +63,24 @@ SELECT symbol, ts, {roll('max({})', 'close', 20, lag=1)} AS hi20, {roll('min({})
   {roll('max({})', 'close', 55)} AS hi55 FROM bars""")
 def _w7(t):
     return t.bars.select(
-        "symbol", "ts", win.rolling_max("close", w, 20, lag=1).alias("hi20"),
-        win.rolling_min("close", w, 10, lag=1).alias("lo10"), win.rolling_max("close", w, 55).alias("hi55"))
+        "symbol", "ts", win.rolling_max("close", w(), 20, lag=1).alias("hi20"),
+        win.rolling_min("close", w(), 10, lag=1).alias("lo10"), win.rolling_max("close", w(), 55).alias("hi55"))
 
 
 @query("w8_rolling_sum_normalised", f"{K} r21_n:6", f"""
 SELECT symbol, ts, {roll('sum({})', 'lr', 21)} / nullif({roll('stddev_samp({})', 'lr', 20)} * sqrt(21.0), 0) AS r21_n
 FROM (SELECT *, ln(close) - lag(ln(close)) {sqlwin()} AS lr FROM bars)""")
 def _w8(t):
-    b = t.bars.withColumn("lr", win.log_diff("close", w))
-    scale = F.nullif(win.rolling_std("lr", w, 20) * F.sqrt(num(21)), num(0))
-    return b.select("symbol", "ts", F.try_divide(win.rolling_sum("lr", w, 21), scale).alias("r21_n"))
+    b = t.bars.withColumn("lr", win.log_diff("close", w()))
+    scale = F.nullif(win.rolling_std("lr", w(), 20) * F.sqrt(num(21)), num(0))
+    return b.select("symbol", "ts", F.try_divide(win.rolling_sum("lr", w(), 21), scale).alias("r21_n"))
 
 
 @query("w9_rolling_median", f"{K} med20:3 med20_filled:3", f"""
 SELECT symbol, ts, m AS med20, coalesce(m, quantile_cont(m, 0.5) OVER (PARTITION BY symbol)) AS med20_filled
 FROM (SELECT symbol, ts, {roll('quantile_cont({}, 0.5)', 'quote_volume', 20)} AS m FROM bars)""")
 def _w9(t):
-    b = t.bars.select("symbol", "ts", win.rolling_median("quote_volume", w, 20).alias("med20"))
+    b = t.bars.select("symbol", "ts", win.rolling_median("quote_volume", w(), 20).alias("med20"))
     return b.withColumn("med20_filled", win.median_fill(F.col("med20"), "med20", ["symbol"]))
 
 
@@ -92,18 +96,18 @@ def _roll2(fn: str, n: int) -> str:
 SELECT symbol, ts, {_roll2('corr(x, y)', 20)} AS corr20, {_roll2('covar_samp(x, y)', 60)} AS cov60,
   {_roll2('covar_samp(x, y)', 60)} / {roll('var_samp({})', 'y', 60)} AS beta60 FROM {_PAIR}""")
 def _w10(t):
-    r = t.bars.select("symbol", "ts", win.pct_change("close", w).alias("x"))
+    r = t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("x"))
     lead = r.where(F.col("symbol") == "NO").select("ts", F.col("x").alias("y"))
     j = r.join(lead, "ts")
     return j.select(
-        "symbol", "ts", win.rolling_corr("x", "y", w, 20).alias("corr20"),
-        win.rolling_cov("x", "y", w, 60).alias("cov60"), win.rolling_beta("x", "y", w, 60).alias("beta60"))
+        "symbol", "ts", win.rolling_corr("x", "y", w(), 20).alias("corr20"),
+        win.rolling_cov("x", "y", w(), 60).alias("cov60"), win.rolling_beta("x", "y", w(), 60).alias("beta60"))
 
 
 @query("w11_rolling_zscore", f"{K} volz20:6", f"""
 SELECT symbol, ts, (volume - {roll('avg({})', 'volume', 20)}) / nullif({roll('stddev_samp({})', 'volume', 20)}, 0) AS volz20 FROM bars""")
 def _w11(t):
-    return t.bars.select("symbol", "ts", win.rolling_zscore("volume", w, 20).alias("volz20"))
+    return t.bars.select("symbol", "ts", win.rolling_zscore("volume", w(), 20).alias("volz20"))
 
 
 @query("w12_rolling_mean_min_rows", f"{K} fund_m21:10", f"""
@@ -114,7 +118,7 @@ def _w12(t):
 
     f = daily_funding(t.funding).withColumnRenamed("funding", "f")
     j = t.hbars.select("symbol", "ts").join(f, ["symbol", "ts"], "left")
-    return j.select("symbol", "ts", win.rolling_mean("f", w, 21, min_rows=10).alias("fund_m21"))
+    return j.select("symbol", "ts", win.rolling_mean("f", w(), 21, min_rows=10).alias("fund_m21"))
 
 
 @query("w13_expanding_pct_rank", f"{K} pctile:8", """
@@ -144,9 +148,9 @@ SELECT symbol, ts, CASE WHEN {_LEADS} THEN ln(sqrt(({_SQ}) / 5)) END AS logvol5,
 FROM (SELECT *, {roll('stddev_samp({})', 'lr', 20)} AS s FROM
   (SELECT symbol, ts, ln(close) AS lc, ln(close) - lag(ln(close)) {sqlwin()} AS lr FROM bars))""")
 def _w15(t):
-    b = t.bars.withColumn("lr", win.log_diff("close", w)).withColumn("s", win.rolling_std("lr", w, 20))
-    return b.select("symbol", "ts", win.forward_log_vol("lr", w).alias("logvol5"),
-                    win.forward_min_z(F.ln("close"), "s", w).alias("minz5"))
+    b = t.bars.withColumn("lr", win.log_diff("close", w())).withColumn("s", win.rolling_std("lr", w(), 20))
+    return b.select("symbol", "ts", win.forward_log_vol("lr", w()).alias("logvol5"),
+                    win.forward_min_z(F.ln("close"), "s", w()).alias("minz5"))
 
 
 @query("w16_next_on_date_grid", f"{K} ret_next:7", """
@@ -166,7 +170,7 @@ def _w17(t):
     from tidebar.functions.columns import clip
     from tidebar.operators.metrics import with_drawdown
 
-    r = t.bars.select("symbol", "ts", clip(win.pct_change("close", w), -0.02, 0.02).alias("r"))
+    r = t.bars.select("symbol", "ts", clip(win.pct_change("close", w()), -0.02, 0.02).alias("r"))
     return with_drawdown(r, ["symbol"], "ts", "r")
 
 
@@ -199,7 +203,7 @@ def _w20(t):
 @query("w21_recursive_mean", f"{K} up14:6 dn14:6", f"""
 SELECT symbol, ts, {ewm('up', 14)} AS up14, {ewm('dn', 14)} AS dn14 FROM moves""")
 def _w21(t):
-    d = F.col("close") - F.lag("close").over(w)
+    d = F.col("close") - F.lag("close").over(w())
     b = t.bars.select("symbol", "ts", F.when(d.isNotNull(), F.greatest(d, num(0))).alias("up"),
                       F.when(d.isNotNull(), -F.least(d, num(0))).alias("dn"))
     e = win.ewm(b, ["symbol"], "ts", ["up", "dn"], 14)
@@ -211,8 +215,8 @@ SELECT symbol, ts, 90 AS n, f AS first, m AS mean FROM (
   SELECT symbol, ts, {roll('avg({})', 'ret', 90)} AS m, lag(ret, 89) {sqlwin()} AS f,
     count(ret) {sqlwin(frame='ROWS BETWEEN 89 PRECEDING AND CURRENT ROW')} AS c FROM ret_bars) WHERE c = 90""")
 def _w22(t):
-    r = t.bars.select("symbol", "ts", win.pct_change("close", w).alias("ret"))
-    s = r.withColumn("seq", win.sequence_window(F.col("ret"), w, 90, F.col("ret").isNotNull()))
+    r = t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("ret"))
+    s = r.withColumn("seq", win.sequence_window(F.col("ret"), w(), 90, F.col("ret").isNotNull()))
     s = s.where("seq is not null")
     mean = F.aggregate("seq", num(0), lambda a, x: a + x) / F.size("seq")
     return s.select("symbol", "ts", F.size("seq").alias("n"), F.col("seq")[0].alias("first"), mean.alias("mean"))
@@ -239,7 +243,7 @@ def _w25(t):
     from tidebar.operators.aggregates import daily_funding
 
     f = daily_funding(t.funding)
-    return f.select("symbol", "ts", F.coalesce(win.rolling_mean("funding", w, 7) * num(365), num(0)).alias("apr"))
+    return f.select("symbol", "ts", F.coalesce(win.rolling_mean("funding", w(), 7) * num(365), num(0)).alias("apr"))
 
 
 @query("w_long_series_rolling", "event_id:i event_type mean50:6", f"""
