@@ -104,6 +104,20 @@ def log_diff(x: Column | str, w: WindowSpec, k: int = 1) -> Column:
     return F.ln(col(x)) - F.lag(F.ln(col(x)), k).over(w)
 
 
+def running_count(x: Column | str, w: WindowSpec) -> Column:
+    return F.count(col(x)).over(w.rowsBetween(W.unboundedPreceding, 0))
+
+
+def rolling_log_return(price: Column | str, n_known: str, w: WindowSpec, width: int) -> Column:
+    """Sum of the last ``width`` log returns as one difference of log prices.
+
+    ``n_known`` is the running count of non-null log returns; the sum exists when
+    all ``width`` of them do. Two lags per row instead of a frame of that length.
+    """
+    full = F.col(n_known) - F.lag(F.col(n_known), width, 0).over(w) == width
+    return F.when(full, F.ln(col(price)) - F.lag(F.ln(col(price)), width).over(w))
+
+
 def held(position: Column | str, w: WindowSpec) -> Column:
     """Position in force: decided one row earlier, flat before the first decision."""
     return F.coalesce(F.lag(col(position)).over(w), num(0))

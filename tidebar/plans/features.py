@@ -68,11 +68,13 @@ def crypto_features(bars: DataFrame, funding: DataFrame | None = None) -> DataFr
     else:
         base = base.withColumn("_f", F.lit(None).cast("double"))
     base = base.withColumn("lr", win.log_diff("close", w))
-    base = base.withColumn("c_sigma20d", win.rolling_std("lr", w, 20))
+    base = base.withColumns(
+        {"c_sigma20d": win.rolling_std("lr", w, 20), "_known": win.running_count("lr", w)}
+    )
     made = {}
     for h in (1, 5, 21, 63, 126, 252):
         scale = F.nullif(F.col("c_sigma20d") * F.sqrt(num(h)), num(0))
-        made[f"c_ret{h}_n"] = div(win.rolling_sum("lr", w, h), scale)
+        made[f"c_ret{h}_n"] = div(win.rolling_log_return("close", "_known", w, h), scale)
     for n in (5, 20, 22, 60):
         made[f"c_vol{n}"] = win.rolling_std("lr", w, n) * F.sqrt(num(365))
     c = F.col("close")
