@@ -186,9 +186,11 @@ def sessions_behind(
     ``calendar`` has session_date and available_at of every expected session.
     """
     last = stored.groupBy("symbol").agg(F.max("session_date").alias("last_session"))
-    closed = calendar.where(F.col("available_at") <= now).select(F.col("session_date").alias("_d"))
-    after = last.join(F.broadcast(closed.distinct()), F.col("_d") > F.col("last_session"), "left")
-    out = after.groupBy("symbol", "last_session").agg(F.count("_d").alias("n_missed"))
+    # the calendar is one short array, so no (symbol, session) pairs are formed
+    closed = calendar.where(F.col("available_at") <= now)
+    listed = closed.agg(F.collect_set("session_date").alias("_closed"))
+    missed = F.size(F.filter("_closed", lambda d: d > F.col("last_session")))
+    out = last.crossJoin(F.broadcast(listed)).withColumn("n_missed", missed)
     return out.select(
         "symbol", "last_session", "n_missed",
         F.datediff(now.cast("date"), "last_session").cast("long").alias("days_since"),
