@@ -1,3 +1,190 @@
-"""DuckDB SQL that must give the rows of the queries."""
+"""DuckDB SQL that must give the rows of the queries. Fingerprints (XXH64) and token ids are not in SQL, so op8, op10
+and the pipeline have none."""
 
-SQL: dict[str, str] = {}
+from __future__ import annotations
+
+from tidebar.llm.pii import KINDS
+from tidebar.llm.token_rollup import VERSIONS
+
+WORD = r"[^\x20\x09-\x0D]+"
+GAP = r"[\x20\x09-\x0D]+"
+
+LINES = rf"""
+WITH d AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS did FROM documents),
+s AS (SELECT DISTINCT did, text, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
+l AS (SELECT did, text, unnest(range(len(ls))) AS no, regexp_replace(unnest(ls), '[0-9]+', '0', 'g') AS line FROM s),
+k AS (SELECT did, text, no, line, regexp_extract_all(line, '{WORD}') AS toks, regexp_extract(line, '{WORD}(?:{GAP}{WORD}){{0,2}}') AS lead FROM l),
+f AS (SELECT *, len(toks) AS n FROM k WHERE len(toks) >= 4),
+u AS (SELECT n, lead, line, any_value(toks) AS toks, count(*) AS lines FROM f GROUP BY ALL),
+v AS (SELECT n, lead FROM u GROUP BY ALL HAVING count(*) > 1 AND sum(lines) >= 5),
+w AS (SELECT u.* FROM u JOIN v USING (n, lead)),
+x AS (SELECT n, lead, lines, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM w),
+y AS (SELECT n, lead, pos, token, sum(lines) AS c FROM x GROUP BY ALL),
+z AS (SELECT n, lead, pos, token FROM y QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY c DESC, token DESC) = 1),
+e AS (SELECT n, lead, line, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM w),
+g AS (SELECT e.n, e.lead, e.line FROM e LEFT JOIN z USING (n, lead, pos, token)
+      GROUP BY ALL HAVING count(z.token) - 3 >= (e.n - 3) * 0.7::DOUBLE),
+t AS (SELECT f.did, f.text, f.no, g.line IS NOT NULL AS joint, f.n, CASE WHEN g.line IS NULL THEN f.line ELSE f.lead END AS template
+      FROM f LEFT JOIN g ON f.n = g.n AND f.lead = g.lead AND f.line = g.line),
+r AS (SELECT joint, n, template, min((did, no)) AS first FROM t GROUP BY ALL HAVING count(DISTINCT (did, text)) >= 5),
+o AS (SELECT t.did, t.text, list(t.no) AS gone FROM t JOIN r USING (joint, n, template) WHERE (t.did, t.no) <> r.first GROUP BY ALL)
+SELECT d.doc_id, CASE WHEN o.gone IS NULL THEN d.text ELSE
+         array_to_string([q[1] FOR q IN list_zip(string_split(d.text, chr(10)), range(len(string_split(d.text, chr(10))))) IF NOT list_contains(o.gone, q[2])], chr(10)) END AS text,
+       CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
+       coalesce(len(o.gone), 0)::BIGINT AS n_dropped
+FROM d LEFT JOIN o ON d.did = o.did AND d.text = o.text
+"""
+
+QUALITY = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '{WORD}') AS ws FROM d),
+g AS (SELECT rid, unnest(range(1, len(ws) - 1)) AS i, unnest([ws[j] || ' ' || ws[j + 1] || ' ' || ws[j + 2] FOR j IN range(1, len(ws) - 1)]) AS x FROM w WHERE len(ws) > 2),
+h AS (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, x) > 1),
+p AS (SELECT rid, count(DISTINCT i + o) AS n FROM h, range(3) AS r(o) GROUP BY rid),
+l AS (SELECT rid, unnest(string_split(text, chr(10))) AS line FROM d),
+m AS (SELECT rid, count(*) AS n_lines, count(DISTINCT line) AS kinds FROM l WHERE regexp_matches(line, '{WORD}') GROUP BY rid),
+a AS (SELECT w.doc_id, w.rid, len(ws) AS n_words, coalesce(list_sum([length(x) FOR x IN ws]), 0) AS word_chars,
+        length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+        length(text) - length(replace(text, '!', '')) AS shouts,
+        len([x FOR x IN ws IF regexp_matches(x, '[A-Z]') AND NOT regexp_matches(x, '[a-z]')]) AS uppers FROM w),
+b AS (SELECT a.*, coalesce(m.n_lines, 0) AS n_lines, coalesce(m.n_lines - m.kinds, 0) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words
+      FROM a LEFT JOIN p USING (rid) LEFT JOIN m USING (rid)),
+c AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM b)
+SELECT doc_id, n_words::BIGINT AS n_words, word_chars::BIGINT AS word_chars, n_symbols::BIGINT AS n_symbols, n_dup_lines::BIGINT AS n_dup_lines,
+       n_repeat_words::BIGINT AS n_repeat_words, base_failed,
+       NOT (base_failed OR 10 * n_symbols > n_words OR 5 * shouts > n_words OR 2 * uppers > n_words
+            OR NOT (2 * n_words <= word_chars AND word_chars <= 15 * n_words) OR 2 * n_dup_lines > n_lines) AS kept
+FROM c
+"""
+
+MIX = rf"""
+WITH q AS (SELECT doc_id, 0.5 + 1.5 * avg(quality::DOUBLE) AS w FROM labels GROUP BY doc_id),
+b AS (SELECT d.doc_id, d.source, len(regexp_extract_all(coalesce(d.text, ''), '{WORD}')) AS size,
+        -ln((('0x' || substr(md5('mix-1|' || coalesce(d.doc_id::VARCHAR, 'null')), 1, 13))::BIGINT + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE)
+          / greatest(coalesce(q.w, 1.0), 0.001)::DOUBLE AS key
+      FROM documents d LEFT JOIN q USING (doc_id)),
+k AS (SELECT *, least(floor((1.0::DOUBLE - exp(-key)) * 1024)::INT, 1023) AS bucket FROM b),
+s AS (SELECT source, sum(size)::BIGINT AS source_size, row_number() OVER (ORDER BY source NULLS LAST) AS r FROM k GROUP BY source),
+v AS (SELECT *, [5.0, 2.0, 1.0][((r - 1) % 3 + 1)::INT]::DOUBLE AS w, (source_size * 3)::DOUBLE AS cap FROM s),
+lv AS (SELECT *, (sum(source_size) OVER ()::DOUBLE - coalesce(sum(cap) OVER o, 0)) / (sum(w) OVER () - coalesce(sum(w) OVER o, 0)) AS level
+       FROM v WINDOW o AS (ORDER BY cap / w, source NULLS LAST ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+t AS (SELECT source, source_size, least(cap, max(level) OVER () * w) AS target FROM lv),
+e AS (SELECT *, CASE WHEN source_size > 0 THEN floor(target / source_size) ELSE 0 END::BIGINT AS epochs FROM t),
+f AS (SELECT *, greatest(0, floor(target - epochs * source_size + 0.5))::BIGINT AS rest FROM e),
+x AS (SELECT k.*, f.source_size, f.target, f.epochs, f.rest,
+        sum(k.size) OVER (PARTITION BY k.source ORDER BY k.key, k.doc_id, k.size ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) - k.size AS before
+      FROM k JOIN f ON k.source IS NOT DISTINCT FROM f.source)
+SELECT doc_id, source, size::BIGINT AS size, source_size, round(target, 3) AS target,
+       (epochs * size + greatest(0, least(size, rest - before)))::BIGINT AS taken FROM x
+"""
+
+TOPK = """
+WITH v AS (SELECT vec_id, [floor(64 * x::DOUBLE)::BIGINT FOR x IN embedding] AS v FROM embeddings
+           WHERE vec_id IS NOT NULL AND len(embedding) > 0 AND len([x FOR x IN embedding IF x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+p AS (SELECT a.vec_id AS query_id, b.vec_id, list_sum([z[1] * z[2] FOR z IN list_zip(a.v, b.v)])::BIGINT AS score
+      FROM v a JOIN v b ON a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)
+SELECT query_id, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank, vec_id, score FROM p QUALIFY rank <= 20
+"""
+
+REPEATS = rf"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '{WORD}') AS ws, row_number() OVER () AS rid FROM documents),
+g AS (SELECT rid, doc_id, unnest(range(1, len(ws) - 11)) AS i, unnest([array_to_string(ws[j:j + 12], ' ') FOR j IN range(1, len(ws) - 11)]) AS x FROM d WHERE len(ws) >= 13),
+h AS (SELECT rid, i, doc_id > min(doc_id) OVER (PARTITION BY x) AS hit FROM g),
+p AS (SELECT rid, list(DISTINCT i + o) AS gone FROM h, range(13) AS r(o) WHERE hit GROUP BY rid)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN gone IS NULL THEN ws ELSE [z[1] FOR z IN list_zip(ws, range(1, len(ws) + 1)) IF NOT list_contains(gone, z[2])] END, ' ')) AS kept_sha256
+FROM d LEFT JOIN p USING (rid)
+"""
+
+V1, V2 = VERSIONS
+ROLLUP = rf"""
+WITH c AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{VERSIONS[V1]}')) AS n1,
+             len(regexp_extract_all(coalesce(text, ''), '{VERSIONS[V2]}')) AS n2 FROM documents),
+m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
+j AS (SELECT c.*, m.toxic, m.quality FROM c LEFT JOIN m USING (doc_id)),
+r AS (SELECT source, lang, '{V2}' AS tokenizer, 1 AS k, n2 AS n FROM j
+      UNION ALL SELECT source, lang, '{V1}', CASE WHEN toxic = 1 THEN 0 ELSE 1 END,
+        CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN n2 ELSE n1 END FROM j)
+SELECT source, lang, tokenizer, sum(k)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM r GROUP BY ALL HAVING sum(k) <> 0 OR sum(n) <> 0
+"""
+
+
+def luhn_sql(d: str) -> str:
+    part = "CASE WHEN z[2] % 2 = 1 THEN z[1]::INT WHEN z[1]::INT > 4 THEN 2 * z[1]::INT - 9 ELSE 2 * z[1]::INT END"
+    return f"list_sum([{part} FOR z IN list_zip(string_split(reverse({d}), ''), range(1, length({d}) + 1))]) % 10 = 0"
+
+
+def mod97_sql(c: str) -> str:
+    turned = f"(substr({c}, 5) || substr({c}, 1, 4))"
+    wide = f"array_to_string([CASE WHEN x < 'A' THEN x ELSE (ascii(x) - 55)::VARCHAR END FOR x IN string_split({turned}, '')], '')"
+    return f"list_reduce([x::INT FOR x IN string_split({wide}, '')], lambda a, x: (a * 10 + x) % 97) = 1"
+
+
+DIGITS = "regexp_replace(hit, '[^0-9]', '', 'g')"
+EDGES = "NOT regexp_matches(before, '[A-Za-z0-9]$') AND NOT regexp_matches(after, '^[A-Za-z0-9]')"
+VALID = {
+    "email": "true",
+    "ip": "list_bool_and([length(ltrim(x, '0')) < 3 OR (length(ltrim(x, '0')) = 3 AND ltrim(x, '0') <= '255') FOR x IN string_split(hit, '.')])",
+    "card": f"length({DIGITS}) BETWEEN 16 AND 19 AND {luhn_sql(DIGITS)}",
+    "phone": f"length({DIGITS}) BETWEEN 8 AND 15",
+    "iban": f"{EDGES} AND {mod97_sql("replace(hit, ' ', '')")}",
+    "ssn": f"{EDGES} AND NOT regexp_matches(hit, '^(?:000|666|9)')",
+}
+
+
+def pii_sql() -> str:
+    found = []
+    for i, k in enumerate(KINDS):
+        score = f"round({k.prior + 0.5 * k.checksum}::DOUBLE + CASE WHEN regexp_matches(lower(before), '{k.context}') THEN 0.3::DOUBLE ELSE 0::DOUBLE END, 2)"
+        keep = "true" if k.base else f"{score} >= 0.6::DOUBLE"
+        found.append(f"""
+          SELECT rid, {i} AS kind, '{k.name}' AS name, start, stop, {score} AS score FROM (
+            SELECT rid, h[i] AS hit, list_sum([length(x) FOR x IN p[1:i]]) + coalesce(list_sum([length(x) FOR x IN h[1:i - 1]]), 0) AS start,
+              list_sum([length(x) FOR x IN p[1:i]]) + list_sum([length(x) FOR x IN h[1:i]]) AS stop, right(p[i], 40) AS before, left(p[i + 1], 1) AS after
+            FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (
+              SELECT rid, regexp_extract_all(text, '{k.plain}') AS h, regexp_split_to_array(text, '{k.plain}') AS p FROM d)))
+          WHERE {VALID[k.name]} AND {keep}""")
+    base = len([k for k in KINDS if k.base])
+    counts = ", ".join(f"count(*) FILTER (kind = {i})::BIGINT AS n_{k.name}" for i, k in enumerate(KINDS) if k.base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+s AS ({" UNION ALL ".join(found)}),
+a AS (SELECT rid, {counts},
+        string_agg(name || ':' || start || ':' || stop, ',' ORDER BY kind, start) FILTER (kind < {base}) AS base,
+        string_agg(name || ':' || start || ':' || stop, ',' ORDER BY kind, start) AS spans,
+        count(*) FILTER (kind >= {base})::BIGINT AS n_added, max(score) AS top_score FROM s GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{k.name}, 0) AS n_{k.name}" for k in KINDS if k.base)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, top_score
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+TAIL = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END"
+URLS = rf"""
+WITH u AS (SELECT page_id, url, {TAIL} AS tail FROM pages),
+h AS (SELECT page_id, tail, coalesce(translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+        coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
+k AS (SELECT *, list_sort(list_distinct(
+        ['h:' || x FOR x IN list_reverse(list_reverse(string_split(host, '.'))[1:5]) IF x <> '']
+        || ['p:' || x FOR x IN [y FOR y IN string_split(path, '/') IF y <> '' AND NOT regexp_matches(y, '[0-9]')][1:4]]
+        || ['q:' || x FOR x IN [y FOR y IN [regexp_extract(z, '^[^=]*') FOR z IN string_split(coalesce(regexp_extract(tail, '^[^?#]*\?([^#]*)', 1), ''), '&')] IF y <> ''][1:3]])) AS tokens FROM h),
+b AS (SELECT doc_id AS page_id, min(quality) = 0 AS bad FROM labels GROUP BY doc_id),
+t AS (SELECT tokens, bad, row_number() OVER () AS rid FROM k JOIN b USING (page_id) WHERE len(tokens) > 0),
+x AS (SELECT rid, bad, unnest(tokens) AS token FROM t),
+c AS (SELECT rid, bad, [token] AS ts FROM x
+      UNION ALL SELECT a.rid, a.bad, [a.token, b.token] FROM x a JOIN x b ON a.rid = b.rid AND a.token < b.token
+      UNION ALL SELECT a.rid, a.bad, [a.token, b.token, c.token] FROM x a JOIN x b ON a.rid = b.rid AND a.token < b.token JOIN x c ON b.rid = c.rid AND b.token < c.token),
+r AS (SELECT ts FROM c GROUP BY ts HAVING count(*) FILTER (bad) >= ceil(0.005::DOUBLE * (SELECT count(*) FROM t)) AND count(*) FILTER (bad) >= 0.8::DOUBLE * count(*) AND count(*) FILTER (bad) > 0),
+g AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS v(verdict, rhost, rpath)),
+f AS (SELECT page_id, arg_max((verdict, rhost || rpath), length(rhost) * 1000 + length(rpath)) AS best
+      FROM k JOIN g ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+m AS (SELECT DISTINCT page_id FROM k JOIN r ON list_has_all(k.tokens, r.ts))
+SELECT k.page_id, k.host, k.path, f.best[2] AS rule,
+       CASE WHEN f.best IS NOT NULL THEN f.best[1] WHEN m.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict
+FROM k LEFT JOIN f USING (page_id) LEFT JOIN m USING (page_id)
+"""
+
+SQL: dict[str, str] = {
+    "op1_line_templates": LINES, "op2_quality_rules": QUALITY, "op3_source_mix": MIX, "op4_topk_search": TOPK,
+    "op5_substring_dedup": REPEATS, "op6_token_rollup": ROLLUP, "op7_pii": pii_sql(), "op9_url_rules": URLS,
+}
