@@ -30,24 +30,26 @@ def label_weights(labels: DataFrame) -> DataFrame:
 
 
 def with_keys(docs: DataFrame, weights: DataFrame | None, buckets: int, seed: str) -> DataFrame:
-    """Add mix_size, mix_key and mix_bucket to every row. The bucket never falls as the key grows."""
-    taken = [c for c in docs.columns if not c.startswith("mix_")]
-    out = docs.select(*[F.col(f"`{c}`") for c in taken])
+    """Add mix_size (unless there), mix_key and mix_bucket to every row. The bucket never falls as the key grows.
+
+    Weights are joined by sort and merge at every size: how much is shuffled then grows in proportion to the rows.
+    """
+    out = docs if "mix_size" in docs.columns else docs.withColumn("mix_size", n_words(F.col("text")))
+    cols = [F.col(f"`{c}`") for c in out.columns]
     if weights is None:
         out = out.withColumn("mix_weight", F.lit(1.0))
     else:
-        out = out.join(weights.select("doc_id", "mix_weight"), "doc_id", "left")
-        out = out.select(*[F.col(f"`{c}`") for c in taken], "mix_weight")
+        out = out.join(weights.select("doc_id", "mix_weight").hint("merge"), "doc_id", "left").select(*cols, "mix_weight")
     w = F.col("mix_weight").cast("double")
     w = F.when(w.isNull() | F.isnan(w) | (w == float("inf")), 1.0).otherwise(F.greatest(w, F.lit(0.001)))
     key = -F.log(unit_hash(F.lit(seed), F.col("doc_id"))) / w
     spread = F.floor((F.lit(1.0) - F.exp(-F.col("mix_key"))) * buckets).cast("int")
-    return (
-        out.withColumn("mix_size", n_words(F.col("text")))
-        .withColumn("mix_key", key)
-        .withColumn("mix_bucket", F.least(spread, F.lit(buckets - 1)))
-        .drop("mix_weight")
-    )
+    return out.withColumn("mix_key", key).withColumn("mix_bucket", F.least(spread, F.lit(buckets - 1))).drop("mix_weight")
+
+
+def sized(docs: DataFrame) -> DataFrame:
+    """What the keys need, without texts."""
+    return docs.select("doc_id", "source", n_words(F.col("text")).alias("mix_size"))
 
 
 def targets(sizes: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
@@ -119,8 +121,7 @@ def mix(
     ``weights`` go to the sources in order of their names, again from the first when they end. ``quality`` has
     (doc_id, mix_weight), one row per document. Only sizes and keys are shuffled, no texts.
     """
-    base = docs.select("doc_id", "text", "source")
-    keyed = staged(with_keys(base, quality, buckets, seed).drop("text"), "mix-keys")
+    keyed = staged(with_keys(sized(docs), quality, buckets, seed), "mix-keys")
     goal = budgets(keyed, weights, max_epochs, buckets)
     return take(keyed, goal, True).select(
         "doc_id", "source", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"),
@@ -135,8 +136,7 @@ def mixed_documents(
 ) -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, whole documents only, same columns."""
     cols = [F.col(f"`{c}`") for c in docs.columns]
-    narrow = with_keys(docs.select("doc_id", "text", "source"), quality, buckets, seed).drop("text")
-    goal = budgets(narrow, weights, max_epochs, buckets)
+    goal = budgets(with_keys(sized(docs), quality, buckets, seed), weights, max_epochs, buckets)
     rows = take(with_keys(docs, quality, buckets, seed), goal, False)
     times = F.when(F.col("mix_size") > 0, F.col("mix_taken") / F.col("mix_size")).otherwise(0).cast("int")
     rows = rows.withColumn("mix_times", times).where("mix_times > 0")
