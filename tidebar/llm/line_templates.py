@@ -80,7 +80,8 @@ def recurring(docs: DataFrame, lead: int, similar: float, min_docs: int, min_tok
     seen = keys.groupBy("template", "joint", "line_doc", "line_hash").agg(F.min("no").alias("no"))
     place = F.struct("line_doc", "line_hash", "no")
     often = seen.groupBy("template", "joint").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
-    often = often.where(F.col("docs") >= min_docs).select("template", "joint", "first")
+    # Staged, so that the join deals both sides itself and can split a template with very many lines.
+    often = staged(often.where(F.col("docs") >= min_docs).select("template", "joint", "first"), "line-recurring")
     lost = keys.join(often, ["template", "joint"]).where(place != F.col("first"))
     return lost.groupBy("line_doc", "line_hash").agg(F.collect_set("no").alias("line_drop"))
 
