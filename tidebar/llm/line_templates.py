@@ -51,7 +51,8 @@ def generalised(docs: DataFrame, keys: DataFrame, lead: int, similar: float, min
     place = F.struct("line_doc", "line_hash", "no")
     distinct = staged(keys.groupBy("leaf", "own").agg(F.count("*").alias("lines"), F.min(place).alias("at")), "line-distinct")
     several = distinct.groupBy("leaf").agg(F.count("*").alias("kinds"), F.sum("lines").alias("all"))
-    several = several.where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("leaf")
+    # Staged, as the templates below, so that the joins deal both sides themselves and can split a large leaf.
+    several = staged(several.where((F.col("kinds") > 1) & (F.col("all") >= min_docs)).select("leaf"), "line-leaves")
     wanted = distinct.join(several, "leaf").select("at.line_doc", "at.line_hash", F.struct("at.no", "leaf", "own", "lines").alias("x"))
     wanted = wanted.groupBy("line_doc", "line_hash").agg(F.collect_list("x").alias("xs"))
     texts = docs.select("line_doc", "line_hash", "text").join(wanted, ["line_doc", "line_hash"])
@@ -63,7 +64,7 @@ def generalised(docs: DataFrame, keys: DataFrame, lead: int, similar: float, min
     votes = votes.groupBy("leaf", "pos", "token").agg(F.sum("lines").alias("n"))
     votes = votes.groupBy("leaf", "pos").agg(F.max(F.struct("n", "token")).alias("top"))
     template = votes.groupBy("leaf").agg(F.array_sort(F.collect_list(F.struct("pos", "top.token"))).alias("template"))
-    template = template.withColumn("template", F.col("template.token"))
+    template = staged(template.withColumn("template", F.col("template.token")), "line-votes")
     both = found.join(template, "leaf")
     same = F.size(F.filter(F.arrays_zip("tokens", "template"), lambda x: x["tokens"] == x["template"]))
     behind = F.size("tokens") - lead
@@ -80,7 +81,6 @@ def recurring(docs: DataFrame, lead: int, similar: float, min_docs: int, min_tok
     seen = keys.groupBy("template", "joint", "line_doc", "line_hash").agg(F.min("no").alias("no"))
     place = F.struct("line_doc", "line_hash", "no")
     often = seen.groupBy("template", "joint").agg(F.count("*").alias("docs"), F.min(place).alias("first"))
-    # Staged, so that the join deals both sides itself and can split a template with very many lines.
     often = staged(often.where(F.col("docs") >= min_docs).select("template", "joint", "first"), "line-recurring")
     lost = keys.join(often, ["template", "joint"]).where(place != F.col("first"))
     return lost.groupBy("line_doc", "line_hash").agg(F.collect_set("no").alias("line_drop"))
