@@ -29,10 +29,18 @@ def _f1(t):
     return TM.normalize_epochs(e, "epoch", ["event_type"])
 
 
-@query("f2_clean_text", "page_id:i body", r"""
-SELECT page_id, substring(trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g')), 1, 1000) AS body FROM pages""")
+CLEANED = r"trim(regexp_replace(regexp_replace(html, '<[^>]+>', ' ', 'g'), '\s+', ' ', 'g'))"
+
+
+@query("f2_clean_text", "page_id:i body", f"SELECT page_id, {CLEANED} AS body FROM pages")
 def _f2(t):
-    return t.pages.select("page_id", X.clean_text("html", 1000).alias("body"))
+    return t.pages.select("page_id", X.clean_text("html").alias("body"))
+
+
+@query("f2_limited_text", "page_id:i body n:i", f"SELECT page_id, substring({CLEANED}, 1, 1000) AS body, length({CLEANED}) AS n FROM pages")
+def _f2_limited(t):
+    """The optional limit, beside the length of the whole."""
+    return t.pages.select("page_id", X.clean_text("html", 1000).alias("body"), F.length(X.clean_text("html")).alias("n"))
 
 
 @query("f3_parse_dates", "doc_id:i at_ts:t", """
@@ -60,7 +68,10 @@ def _f5(t):
     return t.orders.select("o_orderkey", X.parse_money(text).alias("v"))
 
 
-_FOLD = f"translate(lower(title), '{X.ACCENTED}', '{X.PLAIN}')"
+_CHARS, _PLAIN, _MANY = X.folding()
+_PAIRS = "[" + ", ".join(f"['{a}', '{b}']" for a, b in _MANY) + "]"
+_SEVERAL = f"list_reduce(list_prepend([title], {_PAIRS}), lambda t, m: [replace(t[1], m[1], m[2])])[1]"
+_FOLD = f"translate(CASE WHEN regexp_matches(title, '{X.several_letters()}') THEN {_SEVERAL} ELSE title END, '{_CHARS}', '{_PLAIN}')"
 TOKENS = (
     f"list_sort(list_distinct(list_filter(string_split(regexp_replace({_FOLD}, '[^a-z0-9]+', ' ', 'g'), ' '), "
     "lambda x: len(x) >= 3 OR regexp_matches(x, '^[0-9]+$'))))"
@@ -72,9 +83,9 @@ def _f6(t):
     return t.headlines.select("doc_id", F.concat_ws(" ", X.fold_tokens("title")).alias("toks"))
 
 
-@query("f6_exact_folding", "doc_id:i n:i")
+@query("f6_exact_folding", "doc_id:i n:i", f"SELECT doc_id, len({TOKENS}) AS n FROM headlines")
 def _f6b(t):
-    return t.headlines.select("doc_id", F.size(X.fold_tokens_exact("title")).alias("n"))
+    return t.headlines.select("doc_id", F.size(X.fold_tokens("title")).alias("n"))
 
 
 @query("f7_detect_assets", "conv_id:i turn:i assets", r"""

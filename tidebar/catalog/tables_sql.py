@@ -67,7 +67,7 @@ cte("flows", """
 SELECT event_type AS asset, CAST(date_trunc('day', ts) AS TIMESTAMP) AS date,
   sum(value - 50.0::DOUBLE) AS net_flow_usd_m FROM events GROUP BY 1, 2""")
 cte("headlines", """
-SELECT doc_id, substring(text, 1, 80) AS title, source, lang,
+SELECT doc_id, text AS title, source, lang,
   CASE WHEN doc_id % 4 = 0 THEN 'curated' ELSE 'open' END AS feed,
   TIMESTAMP '2024-01-01 00:00:00' + to_minutes(doc_id) AS t FROM documents""")
 cte("trades", """

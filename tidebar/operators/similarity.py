@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -29,10 +31,11 @@ def similar_pairs(
     """Pairs (a, b), a < b, of distinct token sets with Jaccard at or above the threshold.
 
     Prefix filter: two sets that similar share a token among the rarest
-    ``n - ceil(t*n) + 1`` of each. Candidates meet on (rare token, size of the
-    smaller set), so a token shared by many sets is split by size, and sets whose
-    sizes rule the threshold out never meet. Every candidate is then verified, and
-    no candidate is capped.
+    ``n - ceil(t*n) + 1`` of each. Sizes fall into buckets that grow by the factor
+    ``1/t``; similar sets lie in one bucket or in neighbouring ones, so each set is
+    entered under (token, bucket) and probes its own bucket and the one below, two
+    rows per token whatever its size. Every candidate is then verified, and no
+    candidate is capped.
     """
     n = F.size(tokens)
     big = sets.where(n >= min_tokens).select(F.col(key).alias("k"), F.col(tokens).alias("t"), n.alias("n"))
@@ -44,16 +47,17 @@ def similar_pairs(
     prefixed = big.join(ordered, "k").select(
         "k", "n", F.slice("o", F.lit(1), keep.cast("int")).alias("o")
     )
-    probes = prefixed.select("k", "n", F.explode("o.tok").alias("tok"))
-    least = F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int")
+    # a little above 1/t, so that rounding never puts similar sizes two buckets apart
+    bucket = F.floor(F.ln("n") / F.lit(math.log(1.001 / threshold))).cast("int")
+    probes = prefixed.select("k", "n", bucket.alias("s"), F.explode("o.tok").alias("tok"))
     larger = probes.select(
-        F.col("k").alias("kb"), F.col("n").alias("nb"), "tok", F.explode(F.sequence(least, F.col("n"))).alias("na")
+        F.col("k").alias("kb"), F.col("n").alias("nb"), "tok", F.explode(F.array(F.col("s") - 1, F.col("s"))).alias("s")
     )
-    smaller = probes.select(F.col("k").alias("ka"), F.col("n").alias("na"), "tok")
+    smaller = probes.select(F.col("k").alias("ka"), F.col("n").alias("na"), "tok", "s")
     cand = (
-        smaller.join(larger, ["tok", "na"])
-        .where((F.col("na") < F.col("nb")) | (F.col("ka") < F.col("kb")))
-        .where(F.col("ka") != F.col("kb"))
+        smaller.join(larger, ["tok", "s"])
+        .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb"))))
+        .where(F.col("na") >= F.lit(threshold) * F.col("nb") - F.lit(1e-9))
         .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     )
     left = big.select(F.col("k").alias("a"), F.col("t").alias("ta"))
@@ -78,7 +82,6 @@ def collapse(
     prefer: list[Column],
     threshold: float = THRESHOLD,
     min_tokens: int = MIN_TOKENS,
-    max_rounds: int = 1000,
 ) -> DataFrame:
     """Greedy collapse in preference order: a row survives unless it matches an
     earlier *surviving* row (same token set, or Jaccard at or above the threshold).
@@ -106,9 +109,7 @@ def collapse(
     )
     dropped = keyed.select("id").where(F.lit(False))
     live = edges
-    for _ in range(max_rounds):
-        if live.isEmpty():
-            break
+    while not live.isEmpty():
         # a source that is nobody's later neighbour is kept; what it points at goes
         kept = live.select("src").distinct().join(live.select(F.col("dst").alias("src")), "src", "left_anti")
         gone = cut_lineage(live.join(kept, "src", "left_semi").select(F.col("dst").alias("id")).distinct())
@@ -117,8 +118,6 @@ def collapse(
         for side in ("src", "dst"):
             live = live.join(gone.select(F.col("id").alias(side)), side, "left_anti")
         live = cut_lineage(live)
-    else:
-        raise RuntimeError("near-duplicate collapse did not settle")
     survivors = keyed.select("id").join(dropped, "id", "left_anti")
     blank = toks.where(F.size("_toks") == 0).select(F.col(id_col).alias("id"))
     return items.join(survivors.unionByName(blank).withColumnRenamed("id", id_col), id_col, "left_semi")

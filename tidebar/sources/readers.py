@@ -161,16 +161,18 @@ def shape_funding_records(records: DataFrame, symbol: Column) -> DataFrame:
 RSS_ITEM = "struct<title:string,link:string,pubDate:string,description:string>"
 
 
-def shape_rss(items: DataFrame, source: Column, fetched_at: Column) -> DataFrame:
+def shape_rss(
+    items: DataFrame, source: Column, fetched_at: Column, title_limit: int | None = None, summary_limit: int | None = None,
+) -> DataFrame:
     """Feed items (title, link, pubDate, description) to news rows.
 
-    Items without link or title drop out.
+    Items without link or title drop out. The limits cut titles and summaries; None keeps them whole.
     """
     link = F.trim(F.coalesce("link", F.lit("")))
     out = items.select(
-        source.alias("source"), clean_text("title", 300).alias("title"), link.alias("link"),
+        source.alias("source"), clean_text("title", title_limit).alias("title"), link.alias("link"),
         url_key(link).alias("link_hash"), parse_pubdate("pubDate").alias("published_utc"),
-        clean_text("description", 1000).alias("summary"), fetched_at.alias("fetched_at"),
+        clean_text("description", summary_limit).alias("summary"), fetched_at.alias("fetched_at"),
     )
     return out.where((F.col("link") != "") & (F.col("title") != ""))
 
@@ -196,12 +198,12 @@ ARTICLES = (
 )
 
 
-def shape_articles(payloads: DataFrame, body: str, fetched_at: Column) -> DataFrame:
+def shape_articles(payloads: DataFrame, body: str, fetched_at: Column, title_limit: int | None = None) -> DataFrame:
     """Article-list JSON bodies to rows; anything that is not JSON yields none."""
     arts = payloads.select(F.explode(F.from_json(body, ARTICLES)["articles"]).alias("_a")).select("_a.*")
-    url = F.coalesce("url", F.lit(""))
+    url, title = F.coalesce("url", F.lit("")), F.coalesce("title", F.lit(""))
     return arts.where(url != "").select(
-        F.substring(F.coalesce("title", F.lit("")), 1, 300).alias("title"),
+        (title if title_limit is None else F.substring(title, 1, title_limit)).alias("title"),
         url.alias("url"), url_key(url).alias("url_hash"),
         F.coalesce("domain", F.lit("")).alias("domain"),
         F.coalesce("language", F.lit("")).alias("language"),
