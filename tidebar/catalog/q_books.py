@@ -192,8 +192,8 @@ def _m14(t):
     w = win.series("symbol", order="date")
     p = p.withColumns({f"z{k}": F.lag("z", k).over(w) for k in range(1, 5)}).where("z4 is not null and member")
     bounds = p.agg(F.min("date").alias("t0"), F.max("date").alias("t_end"))
-    g = walkforward.split_rows(p, walkforward.fold_schedule(bounds, 730), "date").where("fold <= 1")
-    out = models.logistic_by_key(g.where("split = 'train'"), g.where("split = 'test'"), "fold", [0, 1], ["z", "z1", "z2", "z3", "z4", "z_rank"], "label", "p", max_iter=8)
+    g = walkforward.split_rows(p, walkforward.fold_schedule(bounds, 730), "date")
+    out = models.logistic_by_key(g.where("split = 'train'"), g.where("split = 'test'"), "fold", walkforward.fold_numbers(g), ["z", "z1", "z2", "z3", "z4", "z_rank"], "label", "p")
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
 
 
@@ -362,7 +362,7 @@ def _paper_and_model(t):
 def _x29b(t):
     paper, model = _paper_and_model(t)
     r = review.compare_to_model(paper, model, ["book"])
-    return review.band_flags(r, bootstrap.block_band(model, ["book"], "day", "net", 60, n_boot=400), ["book"])
+    return review.band_flags(r, bootstrap.block_band(model, ["book"], "day", "net", 60), ["book"])
 
 
 @query("e4_session_providers", "provider symbol n:i", """

@@ -345,7 +345,8 @@ def _x31(t):
 def _x24(t):
     g = tagged(t)
     f = g.drop("fold", "split", "train_end", "val_end", "test_end", "complete").dropDuplicates(["decision_ts", "symbol"])
-    har = models.har_fit(g.where("split = 'train' and fold = 0 and label_logvol5 is not null"), []).drop("n_fit")
+    newest = F.broadcast(g.agg(F.max("fold").alias("fold")))  # one row
+    har = models.har_fit(g.join(newest, "fold").where("split = 'train' and label_logvol5 is not null"), []).drop("n_fit")
     return overlay.decision_log(f, overlay.base_weights(t.bars), har, 0.8)
 
 
@@ -372,9 +373,9 @@ def _m13(t):
 def _m13b(t):
     from tidebar.functions.columns import tail_label
 
-    g = tagged(t).dropna(subset=["c_vol60", "c_ret63_n"]).where("fold <= 1")
+    g = tagged(t).dropna(subset=["c_vol60", "c_ret63_n"])
     g = g.withColumn("y", tail_label("label_minz5", "c_sigma20d", num(1e-4)))
-    out = models.logistic_by_key(g.where("split = 'train'"), g.where("split = 'test'"), "fold", [0, 1], ["c_vol5", "c_vol20", "c_vol60", "c_ret21_n"], "y", "p_tail", max_iter=8)
+    out = models.logistic_by_key(g.where("split = 'train'"), g.where("split = 'test'"), "fold", walkforward.fold_numbers(g), ["c_vol5", "c_vol20", "c_vol60", "c_ret21_n"], "y", "p_tail")
     return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p_tail").alias("mean_p"))
 
 

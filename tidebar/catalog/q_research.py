@@ -196,13 +196,11 @@ def _x22(t):
 
 # ---------------- statistics ----------------
 
-cte("capped", "SELECT symbol, ts, greatest(least(ret, 0.05), -0.05) AS net FROM ret_bars WHERE ret IS NOT NULL")
+cte("capped", "SELECT symbol, ts, ret AS net FROM ret_bars WHERE ret IS NOT NULL")
 
 
 def capped(t):
-    from tidebar.functions.columns import clip
-
-    return t.bars.select("symbol", "ts", clip(win.pct_change("close", w()), -0.05, 0.05).alias("net")).where("net is not null")
+    return t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("net")).where("net is not null")
 
 
 @query("m1_sharpe", "symbol sr:7 sr_ann:6", f"SELECT symbol, {sharpe_pp('net')} AS sr, {sharpe('net')} AS sr_ann FROM capped GROUP BY 1")
@@ -307,7 +305,7 @@ def _m10(t):
     pair = bt.variant_returns(t.bars, ["donchian"])
     ens = pair.groupBy("symbol", "ts").agg(F.avg("net").alias("a"))
     hold = bt.run(t.bars, signals.buy_and_hold(t.bars)).select("symbol", "ts", F.col("net").alias("b"))
-    return bootstrap.paired_test(ens.join(hold, ["symbol", "ts"]), ["symbol"], "ts", "a", "b", n_boot=500)
+    return bootstrap.paired_test(ens.join(hold, ["symbol", "ts"]), ["symbol"], "ts", "a", "b")
 
 
 @query("m11_downside", "symbol sortino:5 es_pct:5", """

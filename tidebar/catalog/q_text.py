@@ -13,8 +13,9 @@ SELECT toks, min(doc_id) AS id FROM (SELECT doc_id, {TOKENS} AS toks FROM headli
 
 
 @query("j14_similar_pairs", "a:i b:i jaccard:7", """
-SELECT * FROM (SELECT least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, len(list_intersect(x.toks, y.toks)) / (len(x.toks) + len(y.toks) - len(list_intersect(x.toks, y.toks))) AS jaccard
- FROM title_sets x JOIN title_sets y ON x.id < y.id WHERE len(x.toks) >= 4 AND len(y.toks) >= 4) WHERE jaccard >= 0.6""")
+WITH z AS MATERIALIZED (SELECT id, toks, len(toks) AS n FROM title_sets WHERE len(toks) >= 4),
+p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, len(list_intersect(x.toks, y.toks)) AS k FROM z x JOIN z y ON x.id < y.id AND least(x.n, y.n) >= 0.6 * greatest(x.n, y.n))
+SELECT a, b, k / (n - k) AS jaccard FROM p WHERE k / (n - k) >= 0.6""")
 def _j14(t):
     return similarity.near_duplicate_pairs(t.headlines, "title", "doc_id")
 
