@@ -34,7 +34,9 @@ def similar_pairs(
     ``n - ceil(t*n) + 1`` of each. Sizes fall into buckets that grow by the factor
     ``1/t``; similar sets lie in one bucket or in neighbouring ones, so each set is
     entered under (token, bucket) and probes its own bucket and the one below, two
-    rows per token whatever its size. Every candidate is then verified, and no
+    rows per token whatever its size. At the rarest token of a similar pair enough
+    tokens must follow in both sets; meetings that leave too few are no candidates.
+    Every candidate is then verified, and no
     candidate is capped.
     """
     n = F.size(tokens)
@@ -49,15 +51,17 @@ def similar_pairs(
     )
     # a little above 1/t, so that rounding never puts similar sizes two buckets apart
     bucket = F.floor(F.ln("n") / F.lit(math.log(1.001 / threshold))).cast("int")
-    probes = prefixed.select("k", "n", bucket.alias("s"), F.explode("o.tok").alias("tok"))
+    probes = prefixed.select("k", "n", bucket.alias("s"), F.posexplode("o.tok").alias("i", "tok"))
     larger = probes.select(
-        F.col("k").alias("kb"), F.col("n").alias("nb"), "tok", F.explode(F.array(F.col("s") - 1, F.col("s"))).alias("s")
+        F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "tok", F.explode(F.array(F.col("s") - 1, F.col("s"))).alias("s")
     )
-    smaller = probes.select(F.col("k").alias("ka"), F.col("n").alias("na"), "tok", "s")
+    smaller = probes.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("i").alias("ia"), "tok", "s")
+    common = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
     cand = (
         smaller.join(larger, ["tok", "s"])
         .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb"))))
         .where(F.col("na") >= F.lit(threshold) * F.col("nb") - F.lit(1e-9))
+        .where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= common)
         .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
     )
     left = big.select(F.col("k").alias("a"), F.col("t").alias("ta"))
