@@ -288,12 +288,14 @@ def _o8(t):
 
 cte("gate_f", """
 SELECT day, asset, sum(net_flow_usd_m) AS net_usd_m, count(*) AS n_rows, count(CASE WHEN net_flow_usd_m < 0 THEN 1 END) AS n_out,
- CASE WHEN -sum(net_flow_usd_m) >= 1000 THEN 'halve' WHEN -sum(net_flow_usd_m) >= 300 THEN 'block' END AS action FROM flow_last5 GROUP BY 1, 2 HAVING count(*) >= 3""")
+ CASE WHEN -sum(net_flow_usd_m) >= 1000 THEN 'halve' WHEN -sum(net_flow_usd_m) >= 300 THEN 'block' END AS action FROM flow_last5 WHERE asset IN ('click', 'purchase') GROUP BY 1, 2 HAVING count(*) >= 3""")
+# the two event types that stand for the gated assets
+GATED = ("click", "purchase")
 
 
 @query("x15_flow_gate", "day:t asset net_usd_m:3 n_rows:i n_out:i action", "SELECT * FROM gate_f")
 def _x15(t):
-    return risk.flow_gate(t.flows.select(plus_days("date", 1).alias("day")), t.flows)
+    return risk.flow_gate(t.flows.select(plus_days("date", 1).alias("day")), t.flows, assets=GATED)
 
 
 _EV = "(SELECT 'E' || event_id AS name, ts AS utc FROM events WHERE value > 350)"
@@ -324,7 +326,7 @@ def _x14(t):
     ts = F.col("ts").cast("timestamp")
     events = t.events.where("value > 350").select(F.concat(F.lit("E"), F.col("event_id")).alias("name"), F.lit("big").alias("kind"), ts.alias("utc"))
     gate = joins.event_gate(b, events).select("ts", F.col("blocked").alias("event_blocked"))
-    flow = risk.flow_gate(t.flows.select(plus_days("date", 1).alias("day")), t.flows).select("day", F.col("asset").alias("symbol"), F.col("action").alias("flow_action"))
+    flow = risk.flow_gate(t.flows.select(plus_days("date", 1).alias("day")), t.flows, assets=GATED).select("day", F.col("asset").alias("symbol"), F.col("action").alias("flow_action"))
     minute = F.date_trunc("minute", ts)
     sev = t.events.where("value > 100").groupBy(F.col("event_type").alias("symbol"), minute.alias("sev_ts")).agg(F.max(F.least(F.lit(5), F.floor(F.col("value") / 45))).alias("asset_severity"))
     mkt = t.events.where("value > 300").groupBy(minute.alias("mk_ts")).agg(F.max(F.least(F.lit(5), F.floor(F.col("value") / 75))).alias("market_severity"))

@@ -322,22 +322,38 @@ def _a18(t):
     return overlay.increment_summary(overlay.overlay_portfolio(overlay.overlay_legs(t.bars, p), p), p)
 
 
-@query("x31_gate_verdict", "variant check_name passed:b all_pass:b n_known:i n_passed:i", f"""
-WITH s AS (SELECT variant, {sharpe('net')} AS sh, avg(net) AS mu, count(*) AS n FROM overlay_port GROUP BY 1),
-c AS (SELECT a.variant, a.sh > b.sh AS beats_b0, a.mu > 0 AS positive_mean, a.n > 500 AS enough_days, CAST(NULL AS BOOLEAN) AS unknown_check FROM s a, s b WHERE b.variant = 'B0' AND a.variant <> 'B0'),
-l AS (SELECT variant, 'beats_b0' AS check_name, beats_b0 AS passed FROM c UNION ALL SELECT variant, 'positive_mean', positive_mean FROM c
- UNION ALL SELECT variant, 'enough_days', enough_days FROM c UNION ALL SELECT variant, 'unknown_check', unknown_check FROM c)
-SELECT l.*, bool_and(coalesce(passed, TRUE)) OVER (PARTITION BY variant) AS all_pass, count(passed) OVER (PARTITION BY variant) AS n_known,
- count(CASE WHEN passed THEN 1 END) OVER (PARTITION BY variant) AS n_passed FROM l""")
+# the ladder runs over the variants at hand: B3 is B1 with a gate on top
+cte("gate_stats", f"""
+WITH s AS (SELECT variant, {sharpe('net')} AS sharpe, avg(net) / stddev_samp(net) AS sr, count(*) AS n, skewness(net) AS sk, kurtosis(net) AS ku,
+  (CASE WHEN product(1 + net) <= 0 THEN -1 ELSE pow(product(1 + net), 365.0 / count(*)) - 1 END) * 100 AS cagr_pct FROM overlay_port GROUP BY 1),
+e AS (SELECT variant, ts, product(1 + net) OVER (PARTITION BY variant ORDER BY ts) AS eq FROM overlay_port),
+d AS (SELECT variant, min(eq / pk - 1) * 100 AS max_dd_pct FROM (SELECT variant, eq, max(eq) OVER (PARTITION BY variant ORDER BY ts) AS pk FROM e) GROUP BY 1),
+c AS (SELECT variant, {sharpe('net2')} AS stress_sharpe FROM (SELECT variant, ts, avg(net - cost) AS net2 FROM overlay_net JOIN oos_days USING (ts) GROUP BY 1, 2) GROUP BY 1),
+t AS (SELECT variant, count(CASE WHEN increment > 0 THEN 1 END) AS folds_positive, count(*) AS folds_total, arg_max(fold, row(increment, -fold)) AS best_fold FROM fold_inc GROUP BY 1),
+k AS (SELECT v.variant, v.net AS a, b.net AS b FROM overlay_port v JOIN overlay_port b ON b.ts = v.ts AND b.variant = 'B0' JOIN t ON t.variant = v.variant
+ WHERE v.ts NOT IN (SELECT decision_ts - INTERVAL 1 DAY FROM preds WHERE preds.variant = v.variant AND preds.fold = t.best_fold)),
+g AS (SELECT variant, {sharpe('a')} - {sharpe('b')} AS gap FROM k GROUP BY 1)
+SELECT *, sr * sqrt(CAST(n - 1 AS DOUBLE)) / sqrt(greatest(1 - sk * sr + (ku + 2) / 4 * sr * sr, 1e-12)) AS z
+FROM s JOIN d USING (variant) JOIN c USING (variant) LEFT JOIN t USING (variant) LEFT JOIN g USING (variant)""")
+
+
+@query("x31_gate_verdict", "variant check_name passed:b all_pass:b n_known:i n_passed:i", """
+WITH v AS (SELECT s.*, b.sharpe AS b_sharpe, b.max_dd_pct AS b_dd, b.cagr_pct AS b_cagr, (SELECT max(sharpe) FROM gate_stats WHERE variant <> 'B0') AS best
+ FROM gate_stats s, gate_stats b WHERE b.variant = 'B0' AND s.variant <> 'B0'),
+l AS (SELECT variant, unnest([
+ {'c': 'sharpe_above_base', 'p': sharpe > b_sharpe}, {'c': 'sharpe_above_best_baseline', 'p': sharpe > best}, {'c': 'gain_significant', 'p': NULL},
+ {'c': 'deflated_sharpe', 'p': n >= 20 AND z >= 1.6448536269514722}, {'c': 'drawdown', 'p': abs(max_dd_pct) <= 0.85 * abs(b_dd)},
+ {'c': 'growth', 'p': b_cagr <= 0 OR cagr_pct >= 0.8 * b_cagr}, {'c': 'folds', 'p': folds_positive >= 0.7 * greatest(folds_total, 1)},
+ {'c': 'double_costs', 'p': stress_sharpe > 0}, {'c': 'without_best_fold', 'p': gap > 0}], recursive := true) FROM v)
+SELECT variant, c AS check_name, p AS passed, bool_and(coalesce(p, TRUE)) OVER w AS all_pass, count(p) OVER w AS n_known, count(CASE WHEN p THEN 1 END) OVER w AS n_passed
+FROM l WINDOW w AS (PARTITION BY variant)
+UNION ALL SELECT a.variant, 'sharpe_above_B1', a.sharpe > b.sharpe, NULL, NULL, NULL FROM gate_stats a, gate_stats b WHERE a.variant = 'B3' AND b.variant = 'B1'""")
 def _x31(t):
     p = forecasts(t)
-    port = overlay.overlay_portfolio(overlay.overlay_legs(t.bars, p), p)
-    s = port.groupBy("variant").agg(metrics.sharpe("net").alias("sh"), F.avg("net").alias("mu"), F.count(F.lit(1)).alias("n"))
-    b = s.where("variant = 'B0'").select(F.col("sh").alias("b0"))
-    c = s.where("variant <> 'B0'").crossJoin(F.broadcast(b)).select(
-        "variant", (F.col("sh") > F.col("b0")).alias("beats_b0"), (F.col("mu") > 0).alias("positive_mean"),
-        (F.col("n") > 500).alias("enough_days"), F.lit(None).cast("boolean").alias("unknown_check"))
-    v = review.verdict(c, ["variant"], ["beats_b0", "positive_mean", "enough_days", "unknown_check"])
+    path = scratch_path(t.spark, "overlay-legs")
+    sinks.replace_table(overlay.overlay_legs(t.bars, p), path)
+    stats = overlay.gate_stats(t.spark.read.parquet(path), p, 1)
+    v = review.overlay_gate(stats, {"B3": "B1"})
     return v.withColumnRenamed("check", "check_name")
 
 

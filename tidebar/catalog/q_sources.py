@@ -35,7 +35,7 @@ def _s1(t):
 SELECT 'spot' AS market, symbol, count(*) AS n FROM bars GROUP BY 2
 UNION ALL SELECT 'um', symbol, count(*) FROM hbars GROUP BY 2""")
 def _s2(t):
-    made = readers.register_views(t.spark, _store_bars(t, "s2"))
+    made = readers.register_views(t.spark, _store_bars(t, "s2"), {"klines": "market", "rates": "funding"})
     assert made == ["klines"], made
     return t.spark.sql("SELECT market, symbol, count(*) AS n FROM klines GROUP BY market, symbol")
 

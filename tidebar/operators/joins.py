@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import col, num
 from tidebar.functions.times import hours_before, plus_days, seconds
-from tidebar.operators.blocks import carry_forward
+from tidebar.operators.blocks import BLOCK, carry_forward
 
 # Sides below this many bytes may be broadcast. The estimate comes from the
 # optimizer's own statistics, so a side that grows past it is shuffled instead.
@@ -159,20 +159,47 @@ def interval_join(
 
 
 def event_gate(
-    points: DataFrame, events: DataFrame, at: str = "ts", before_hours: float = 36, after_hours: float = 1
+    points: DataFrame, events: DataFrame, at: str = "ts", before_hours: float = 36, after_hours: float = 1,
+    span: str = "month",
 ) -> DataFrame:
-    """Per distinct instant: is a scheduled event near, and which one comes first."""
-    instants = points.select(at).distinct()
-    pairs = interval_join(instants, events, at, "utc", before_hours, after_hours, ["name", "utc"])
-    hits = pairs.groupBy(at).agg(
-        F.min(F.struct("utc", "name")).alias("_e"), F.count(F.lit(1)).alias("n_events")
+    """Per distinct instant: is a scheduled event near, and which one comes first.
+
+    An instant asks twice on the events' time line: how many events lie before its window opens, and how many
+    until it closes. The difference is the number of near events, and the first event after the opening is the
+    first near one. Running counts in time blocks answer both, so no (instant, event) pair is ever formed. The
+    windows over blocks see one row per ``span``.
+    """
+    asks = F.array(
+        F.struct(hours_before(F.col(at), after_hours).alias("_t"), F.lit(0).alias("_side")),
+        F.struct(hours_before(F.col(at), -before_hours).alias("_t"), F.lit(2).alias("_side")),
+    )
+    asked = points.select(at).distinct().select(at, F.inline(asks))
+    known = events.where(F.col("utc").isNotNull()).groupBy("utc").agg(
+        F.min(F.struct("utc", "name")).alias("_e"), F.count(F.lit(1)).alias("_n")
+    )
+    listed = known.select(F.col("utc").alias("_t"), F.lit(1).alias("_side"), "_e", "_n")
+    line = asked.unionByName(listed, allowMissingColumns=True).withColumn(BLOCK, F.date_trunc(span, "_t"))
+    per = line.groupBy(BLOCK).agg(F.sum("_n").alias("_bn"), F.min("_e").alias("_be"))
+    earlier = W.orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
+    later = W.orderBy(F.col(BLOCK).desc()).rowsBetween(W.unboundedPreceding, -1)
+    per = per.select(BLOCK, F.sum("_bn").over(earlier).alias("_bn"), F.min("_be").over(later).alias("_be"))
+    up = W.partitionBy(BLOCK).orderBy("_t", "_side").rowsBetween(W.unboundedPreceding, 0)
+    down = W.partitionBy(BLOCK).orderBy(F.col("_t").desc(), F.col("_side").desc()).rowsBetween(W.unboundedPreceding, 0)
+    line = line.select(
+        at, "_side", BLOCK, F.sum("_n").over(up).alias("_un"), F.last("_e", ignorenulls=True).over(down).alias("_de")
+    ).where(F.col("_side") != 1)
+    line = line.join(per, BLOCK, "left").withColumns(
+        {"_upto": F.coalesce("_un", F.lit(0)) + F.coalesce("_bn", F.lit(0)), "_next": F.coalesce("_de", "_be")}
+    )
+    opens, closes = F.col("_side") == 0, F.col("_side") == 2
+    both = line.groupBy(at).agg(
+        (F.max(F.when(closes, F.col("_upto"))) - F.max(F.when(opens, F.col("_upto")))).alias("n_events"),
+        F.max(F.when(opens, F.col("_next"))).alias("_e"),
     )
-    return instants.join(hits, at, "left").select(
-        at,
-        F.col("_e").isNotNull().alias("blocked"),
-        F.col("_e.name").alias("event_name"),
-        F.col("_e.utc").alias("event_utc"),
-        F.coalesce("n_events", F.lit(0)).alias("n_events"),
+    near = F.col("n_events") > 0
+    return both.select(
+        at, near.alias("blocked"), F.when(near, F.col("_e.name")).alias("event_name"),
+        F.when(near, F.col("_e.utc")).alias("event_utc"), "n_events",
     )
 
 

@@ -149,6 +149,28 @@ def increment_summary(port: DataFrame, preds: DataFrame, base: str = "B0") -> Da
     return top.join(gap, "variant")
 
 
+def gate_stats(legs: DataFrame, preds: DataFrame, n_trials: int, base: str = "B0", baselines: str = "B") -> DataFrame:
+    """What the overlay gate compares, one row per variant but the base; gain_p is left unknown.
+
+    ``n_trials`` deflates the Sharpe ratio with the variance over the variants; the best of the variants whose name
+    starts with ``baselines``, the base aside, is the baseline. Under stress every cost is paid twice.
+    """
+    port = overlay_portfolio(legs, preds)
+    s = metrics.summary(port, ["variant"], "ts")
+    var = metrics.trial_variance(port.groupBy("variant").agg(metrics.sharpe_pp("net").alias("sr")), [])
+    deflated = metrics.deflated_sharpe(metrics.moments(port, ["variant"]).crossJoin(F.broadcast(var)), n_trials, "sr_variance")
+    paid_twice = overlay_portfolio(legs.withColumn("net", F.col("net") - F.col("cost")), preds)
+    stress = paid_twice.groupBy("variant").agg(metrics.sharpe("net").alias("stress_sharpe"))
+    mine = s.select("variant", "sharpe", "cagr_pct", "max_dd_pct").join(deflated.select("variant", "dsr"), "variant")
+    mine = mine.join(stress, "variant").join(increment_summary(port, preds, base), "variant")
+    is_base = F.col("variant") == base
+    refs = s.agg(  # one row
+        *[F.max(F.when(is_base, F.col(c))).alias(f"base_{c}") for c in ("sharpe", "cagr_pct", "max_dd_pct")],
+        F.max(F.when(~is_base & F.startswith("variant", F.lit(baselines)), F.col("sharpe"))).alias("baseline_sharpe"),
+    )
+    return mine.crossJoin(F.broadcast(refs)).withColumn("gain_p", F.lit(None).cast("double"))
+
+
 def decision_log(
     table: DataFrame,
     weights: DataFrame,

@@ -94,29 +94,45 @@ def verdict(checks: DataFrame, keys: list[str], names: list[str]) -> DataFrame:
     return long.join(alls, keys)
 
 
-def overlay_gate(stats: DataFrame) -> DataFrame:
-    """Boolean conditions of the overlay gate from one row per variant.
-
-    Expects sharpe, b0_sharpe, best_b_sharpe, p_vs_b2 (nullable), dsr, max_dd_pct,
-    b0_max_dd_pct, cagr_pct, b0_cagr_pct, folds_positive, folds_total,
-    stress_sharpe, sharpe_gap_wo_best.
+# Fixed values of the overlay gate: metric, comparison, factor, and what the factor multiplies (None: 1). Sizes of
+# drawdowns count, not signs. A condition without both sides is unknown; one with a guard holds where the guard fails.
+OVERLAY_GATE = {
+    "sharpe_above_base": ("sharpe", ">", 1.0, "base_sharpe", None),
+    "sharpe_above_best_baseline": ("sharpe", ">", 1.0, "baseline_sharpe", None),
+    "gain_significant": ("gain_p", "<", 0.05, None, None),
+    "deflated_sharpe": ("dsr", ">=", 0.95, None, None),
+    "drawdown": ("abs(max_dd_pct)", "<=", 0.85, "abs(base_max_dd_pct)", None),
+    "growth": ("cagr_pct", ">=", 0.8, "base_cagr_pct", "base_cagr_pct > 0"),
+    "folds": ("folds_positive", ">=", 0.7, "greatest(folds_total, 1)", None),
+    "double_costs": ("stress_sharpe", ">", 0.0, None, None),
+    "without_best_fold": ("sharpe_gap_wo_best", ">", 0.0, None, None),
+}
+# A variant that has to beat a simpler one of its kind.
+OVERLAY_LADDER = {"E3": "E1", "E4": "E3"}
+
+
+def gate_condition(metric: str, cmp: str, factor: float, of: str | None, guard: str | None) -> Column:
+    """One line of the gate table as a boolean column."""
+    bound = f"{factor}D * {of}" if of else f"{factor}D"
+    held = F.expr(f"{metric} {cmp} {bound}")
+    return held if guard is None else F.when(F.expr(guard), held).otherwise(F.lit(True))
+
+
+def overlay_gate(stats: DataFrame, ladder: dict[str, str] = OVERLAY_LADDER) -> DataFrame:
+    """Overlay gate in long form: variant, check, passed, and per variant all_pass, n_known, n_passed.
+
+    ``stats`` has one row per variant with the columns of ``OVERLAY_GATE``; a null metric leaves its check unknown.
+    ``ladder`` maps a variant to the simpler one it has to beat: those checks, where both are there, are listed with
+    null counts, since they do not decide whether a variant passes.
     """
-    c = F.col
-    return stats.select(
-        "variant",
-        (c("sharpe") > c("b0_sharpe")).alias("beats_b0"),
-        (c("sharpe") > c("best_b_sharpe")).alias("beats_best_b"),
-        (c("p_vs_b2") < 0.05).alias("p_vs_b2_below_5pct"),
-        (c("dsr") >= 0.95).alias("dsr_at_least_95"),
-        (F.abs("max_dd_pct") <= num(0.85) * F.abs("b0_max_dd_pct")).alias("drawdown_improves"),
-        F.when(c("b0_cagr_pct") > 0, c("cagr_pct") >= num(0.8) * c("b0_cagr_pct")).otherwise(F.lit(True)).alias("cagr_kept"),
-        (c("folds_positive") >= num(0.7) * F.greatest(c("folds_total"), F.lit(1))).alias("folds_positive_70pct"),
-        (c("stress_sharpe") > 0).alias("survives_cost_stress"),
-        (c("sharpe_gap_wo_best") > 0).alias("survives_best_fold_removal"),
+    made = stats.select("variant", *[gate_condition(*line).alias(name) for name, line in OVERLAY_GATE.items()])
+    out = verdict(made, ["variant"], list(OVERLAY_GATE))
+    if not ladder:
+        return out
+    pairs = F.map_from_arrays(F.array(*map(F.lit, ladder)), F.array(*map(F.lit, ladder.values())))
+    mine = stats.select("variant", "sharpe", F.try_element_at(pairs, F.col("variant")).alias("_rival"))
+    rival = stats.select(F.col("variant").alias("_rival"), F.col("sharpe").alias("_s"))
+    steps = mine.join(rival, "_rival").select(
+        "variant", F.concat(F.lit("sharpe_above_"), "_rival").alias("check"), (F.col("sharpe") > F.col("_s")).alias("passed")
     )
-
-
-GATE_CHECKS = [
-    "beats_b0", "beats_best_b", "p_vs_b2_below_5pct", "dsr_at_least_95", "drawdown_improves", "cagr_kept",
-    "folds_positive_70pct", "survives_cost_stress", "survives_best_fold_removal",
-]
+    return out.unionByName(steps, allowMissingColumns=True)

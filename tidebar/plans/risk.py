@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidebar.functions.columns import num
 from tidebar.operators.joins import asof_top_k
 
-# Fixed values of the rules.
+# Fixed values of the rules. Flows are known for two assets only, and the gate speaks of no other.
+FLOW_ASSETS = ("BTC", "ETH")
 FLOW_LOOKBACK, FLOW_MIN_ROWS, FLOW_BLOCK, FLOW_HALVE = 5, 3, 300.0, 1000.0
 NO_ADD_SEVERITY, HALVE_SEVERITY = 4, 5
 
@@ -21,8 +22,14 @@ def flow_gate(
     min_rows: int = FLOW_MIN_ROWS,
     block: float = FLOW_BLOCK,
     halve: float = FLOW_HALVE,
+    assets: tuple[str, ...] | None = FLOW_ASSETS,
 ) -> DataFrame:
-    """Per (day, asset) with enough rows: trailing net flow and the action it asks for."""
+    """Per (day, asset) with enough rows: trailing net flow and the action it asks for.
+
+    Only ``assets`` are gated; None gates every asset of the flow table.
+    """
+    if assets is not None:
+        flows = flows.where(F.col("asset").isin(*assets))
     last = asof_top_k(days, flows.select("asset", "date", "net_flow_usd_m"), day, "date", "asset", lookback)
     net = F.sum("net_flow_usd_m")
     out = last.groupBy(day, "asset").agg(
