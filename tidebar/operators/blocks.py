@@ -146,23 +146,39 @@ def carry_forward(
     )
 
 
+def value_blocks(x: str, n_blocks: int) -> tuple[Column, Column]:
+    """(aggregate, block): edges with about equally many of a key's rows between them, and the block of ``x`` by these
+    edges, which are to be found in ``_edges``.
+
+    The edges may be approximate, as only the size of the blocks depends on them. They are sought in two steps,
+    among every ``step``-th and then among the ``step`` behind it.
+    """
+    step = max(1, int(n_blocks**0.5))
+    edges = F.percentile_approx(x, [i / n_blocks for i in range(1, n_blocks)], 20 * n_blocks)
+    coarse = F.transform(
+        F.sequence(F.lit(step), F.greatest(F.size("_edges"), F.lit(step)), F.lit(step)), lambda i: F.get("_edges", i - 1)
+    )
+    full = F.size(F.filter(coarse, lambda e: e < F.col(x)))
+    rest = F.size(F.filter(F.slice("_edges", full * step + 1, F.lit(step)), lambda e: e < F.col(x)))
+    return edges, (full * step + rest).cast("long")
+
+
 def quantiles(
-    df: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, float], n_blocks: int = 1024
+    df: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, float], n_blocks: int = 256
 ) -> DataFrame:
     """Exact linear-interpolated quantiles per key, without gathering a key in one task.
 
     The ``percentile`` aggregate keeps every distinct value of a group in one
-    buffer. Here equal values are counted first, the counts run up in value blocks,
-    and the two order statistics around each quantile are read off the counts.
+    buffer. Here equal values are counted first, the counts run up in blocks of about
+    equally many distinct values, however far an outlier lies, and the two order
+    statistics around each quantile are read off the counts.
     """
     v = df.select(*keys, col(value).cast("double").alias("_x")).where(F.col("_x").isNotNull())
-    span = v.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"), F.min("_x").alias("_lo"), F.max("_x").alias("_hi")
-    )
     levels = v.groupBy(*keys, "_x").agg(F.count(F.lit(1)).cast("double").alias("_c"))
-    j = levels.join(span, keys)
-    part = F.try_divide(F.col("_x") - F.col("_lo"), F.col("_hi") - F.col("_lo"))
-    block = F.floor(F.coalesce(part, F.lit(0.0)) * F.lit(n_blocks)).cast("long")
+    edges, block = value_blocks("_x", n_blocks)
+    span = levels.groupBy(*keys).agg(F.sum("_c").cast("long").alias("_n"), edges.alias("_edges"))
+    j = levels.join(span, keys).withColumn("_vb", block).drop("_edges")
+    block = F.col("_vb")
     run = running_sum(j, keys, ["_x"], {"_cum": "_c"}, block=block)
     aggs = []
     for name, q in wanted.items():

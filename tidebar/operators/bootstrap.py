@@ -40,7 +40,8 @@ def block_band(
     """Quantiles of the cumulative return over ``horizon`` bars from block resampling.
 
     Paths are rows (path, position): drawn starts join the return row by index and
-    multiply up in one aggregate, all keys at once.
+    multiply up in one aggregate, all keys at once. In a series shorter than a block
+    a block runs on from the first row.
     """
     rows, size = _indexed(returns.where(F.col(ret).isNotNull()), keys, ts, [ret])
     spark = returns.sparkSession
@@ -51,7 +52,7 @@ def block_band(
     b = F.floor(F.col("_p") / F.lit(block)).cast("long")
     room = F.greatest(F.lit(1).cast("long"), F.col("_t") - F.lit(block))
     start = draw_int(seed, room, F.col("_path"), b)
-    drawn = drawn.withColumn("_i", start + F.col("_p") % F.lit(block))
+    drawn = drawn.withColumn("_i", (start + F.col("_p") % F.lit(block)) % F.col("_t"))
     joined = drawn.join(rows, [*keys, "_i"])
     sims = joined.groupBy(*keys, "_path").agg((F.product(num(1) + F.col(ret)) - num(1)).alias("_sim"))
     g = sims.groupBy(*keys) if keys else sims.groupBy()

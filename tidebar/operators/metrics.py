@@ -147,10 +147,10 @@ def pbo(
     cells = (
         data.join(grid, [*keys, ts])
         .groupBy(*keys, variant, variant_order, "_b")
-        .agg(F.sum(ret).alias("_s"), F.sum(F.col(ret) * F.col(ret)).alias("_q"))
+        .agg(F.count(ret).alias("_c"), F.sum(ret).alias("_s"), (F.var_pop(ret) * F.count(ret)).alias("_q"))
     )
     per_variant = cells.groupBy(*keys, variant, variant_order).agg(
-        F.collect_list(F.struct("_b", "_s", "_q")).alias("_cells")
+        F.collect_list(F.struct("_b", "_c", "_s", "_q")).alias("_cells")
     )
     masks = (
         df.sparkSession.range(1 << n_blocks)
@@ -159,20 +159,29 @@ def pbo(
     )
     crossed = per_variant.join(size_map, keys).crossJoin(F.broadcast(masks))
 
-    def half(train: bool) -> Column:
+    def inside(arr: str, train: bool) -> Column:
         want = F.lit(1 if train else 0)
+        bit = lambda e: F.call_function("getbit", F.col("_mask"), (e["_b"] - 1).cast("int")).cast("int")
+        return F.filter(arr, lambda e: bit(e) == want)
 
-        def inside(e: Column) -> Column:
-            bit = F.call_function("getbit", F.col("_mask"), (e["_b"] - 1).cast("int"))
-            return bit.cast("int") == want
-
-        total = lambda arr, field: F.aggregate(
-            F.filter(arr, inside), num(0), lambda acc, e: acc + e[field].cast("double")
-        )
-        n = total(F.col("_sizes"), "_n")
-        s, q = total(F.col("_cells"), "_s"), total(F.col("_cells"), "_q")
-        mean = s / n
-        var = F.greatest((q - s * mean) / (n - 1), num(0))
+    def total(arr: Column, field: str) -> Column:
+        return F.aggregate(arr, num(0), lambda acc, e: acc + e[field].cast("double"))
+
+    sides = {"tr": True, "te": False}
+    for s, train in sides.items():
+        cells, n = inside("_cells", train), total(inside("_sizes", train), "_n")
+        crossed = crossed.withColumns({f"_c{s}": cells, f"_n{s}": n})
+        crossed = crossed.withColumn(f"_m{s}", total(F.col(f"_c{s}"), "_s") / F.col(f"_n{s}"))
+
+    def half(s: str) -> Column:
+        n, mean = F.col(f"_n{s}"), F.col(f"_m{s}")
+
+        # squared deviations of the blocks and of their means; a bar without a return counts as 0
+        def spread(acc: Column, e: Column) -> Column:
+            gap = e["_s"] / e["_c"] - mean
+            return acc + e["_q"] + e["_c"] * (gap * gap - mean * mean)
+
+        var = F.greatest(F.aggregate(f"_c{s}", n * mean * mean, spread) / (n - 1), num(0))
         # sums differ in the last bits with the order of addition: equal columns must tie
         sr = F.when(var > 0, mean / F.sqrt(var)).otherwise(num(0))
         return F.round(sr, 10)
@@ -180,7 +189,7 @@ def pbo(
     usable = (F.col("n_bars") >= n_blocks * 5) & (F.col("_trials") >= 2)
     halves = crossed.select(
         *keys, "_mask", "n_bars", F.struct(
-            half(True).alias("tr"), (-F.col(variant_order)).alias("o"), half(False).alias("te")
+            half("tr").alias("tr"), (-F.col(variant_order)).alias("o"), half("te").alias("te")
         ).alias("_e"),
     )
     splits = halves.groupBy(*keys, "_mask", "n_bars").agg(

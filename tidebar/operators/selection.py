@@ -25,9 +25,14 @@ def last_n(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFram
     return top_k(df, keys, [F.col(o).desc() for o in order], n)
 
 
-def best_variant(df: DataFrame, keys: list[str], score: str, tie: str, payload: list[str]) -> DataFrame:
-    """Highest score, smallest tie on equality; the choice is one partial aggregate."""
-    order = F.struct(F.coalesce(F.col(score), F.lit(float("-inf"))), -F.col(tie))
+def best_variant(
+    df: DataFrame, keys: list[str], score: str, tie: str, payload: list[str], digits: int = 9
+) -> DataFrame:
+    """Highest score to ``digits`` places, smallest tie on equality; the choice is one partial aggregate.
+
+    Scores are float sums, whose last bits follow the order of addition: rounded, equal variants tie on every cluster.
+    """
+    order = F.struct(F.coalesce(F.round(F.col(score), digits), F.lit(float("-inf"))), -F.col(tie))
     row = F.struct(F.col(score), F.col(tie), *[F.col(p) for p in payload])
     return df.groupBy(*keys).agg(F.max_by(row, order).alias("_b")).select(*keys, "_b.*")
 

@@ -43,9 +43,18 @@ def account(
     One window pass per series: every lag shares the partitioning ``keys``.
     """
     w = win.series(*keys)
-    pos = clip(F.coalesce("pos", num(0)), -3, 3)
-    staged = decided.withColumn("pos", pos).withColumn("held", win.held("pos", w))
-    staged = staged.withColumn("turnover", win.turnover("held", w))
+    staged = decided.withColumn("pos", bounded("pos")).withColumn("held", win.held("pos", w))
+    return charge(staged.withColumn("turnover", win.turnover("held", w)), fee_bps, floor_bps, funding)
+
+
+def bounded(pos: Column | str) -> Column:
+    return clip(F.coalesce(pos, num(0)), -3, 3)
+
+
+def charge(
+    staged: DataFrame, fee_bps: float | Column = 10.0, floor_bps: float | Column = 1.0, funding: str | None = None
+) -> DataFrame:
+    """Gross, cost, funding and net of rows that carry ret, daily_vol, dollar_volume, held and turnover."""
     slip = slippage_bps("daily_vol", "dollar_volume", floor_bps=floor_bps)
     fund = -F.col("held") * F.coalesce(F.col(funding), num(0)) if funding else num(0)
     out = (
@@ -102,8 +111,9 @@ def variant_returns(
     """Net return of every grid variant at every bar: the long trials table.
 
     Bar inputs ride along through the grid explosion, so there is no join back to
-    the bars: one shuffle by symbol for the rolling work and one by variant for
-    the position lags.
+    the bars. The positions of all variants are lagged as one array per bar before
+    they are exploded: one shuffle by symbol, and the 32 times longer rows are never
+    sorted. The number of symbols bounds the parallelism.
     """
     from tidebar.plans.signals import positions
 
@@ -115,6 +125,5 @@ def variant_returns(
             funding.select("symbol", F.col("ts").alias("_day"), "funding"), ["symbol", "_day"], "left"
         )
         keep.append("funding")
-    pos = positions(inputs, families, long_short, max_lev, keep)
-    keys = ["symbol", "family", "params", "grid_order"]
-    return account(pos, keys, fee_bps, floor_bps, "funding" if funding is not None else None)
+    pos = positions(inputs, families, long_short, max_lev, keep, lags=bounded)
+    return charge(pos, fee_bps, floor_bps, "funding" if funding is not None else None)

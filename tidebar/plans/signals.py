@@ -8,6 +8,8 @@ state-carrying families forward-filled in the same partitioning.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,10 +86,12 @@ def positions(
     long_short: bool = False,
     max_lev: float = 1.0,
     keep: list[str] | None = None,
+    lags: Callable[[Column], Column] | None = None,
 ) -> DataFrame:
     """Decided position of every variant at every bar, plus the bar columns in ``keep``.
 
-    Columns: symbol, ts, family, params, grid_order, pos.
+    Columns: symbol, ts, family, params, grid_order, pos. ``lags`` bounds a position; with it come held (the
+    bounded position of the bar before) and turnover (its change), read from whole arrays before the explosion.
     """
     families = families or list(grids.FAMILY_SIZES)
     keep = keep or []
@@ -142,10 +146,20 @@ def positions(
             add("rsi_meanrev", f"n={n},buy_below={b},exit_above={e}", rsi_event(n, b, e), True)
 
     wide = staged.withColumns(made)
-    return wide.select("symbol", "ts", *[c for c in cols if c not in ("symbol", "ts")],
-                       F.explode(F.array(*variants)).alias("_v")).select(
-        "symbol", "ts", "_v.family", "_v.params", "_v.grid_order",
-        *[c for c in cols if c not in ("symbol", "ts")], "_v.pos",
+    rest = [c for c in cols if c not in ("symbol", "ts")]
+    fields = ["pos"]
+    if lags is not None:
+        fields += ["held", "turnover"]
+        wide = wide.withColumns({n: lags(F.col(n)) for n in made}).withColumn("_now", F.array(*made))
+        wide = wide.withColumns({"_one": F.lag("_now", 1).over(w), "_two": F.lag("_now", 2).over(w)})
+        for i, v in enumerate(variants):
+            before, earlier = [F.coalesce(F.get(c, F.lit(i)), num(0)) for c in ("_one", "_two")]
+            variants[i] = F.struct(
+                *[v[f].alias(f) for f in ("family", "params", "grid_order", "pos")],
+                before.alias("held"), F.abs(before - earlier).alias("turnover"),
+            )
+    return wide.select("symbol", "ts", *rest, F.explode(F.array(*variants)).alias("_v")).select(
+        "symbol", "ts", "_v.family", "_v.params", "_v.grid_order", *rest, *[f"_v.{f}" for f in fields],
     )
 
 

@@ -39,27 +39,18 @@ def read_bars(
     return df
 
 
-# View names and the table folders they cover.
-VIEWS = {
-    "klines": "market",
-    "funding_um": "funding_um",
-    "funding_live": "funding_live",
-    "news_feeds": "news/feeds",
-    "news_articles": "news/articles",
-}
-
-
-def register_views(spark: SparkSession, root: str, views: dict[str, str] | None = None) -> list[str]:
-    """Create a temp view per stored table; a table that does not exist is skipped."""
+def register_views(spark: SparkSession, root: str, views: dict[str, str]) -> list[str]:
+    """Create a temp view per stored table, ``views`` maps its name to its folder; a folder that does not exist is skipped."""
     from pyspark.errors import AnalysisException
 
     made = []
-    for name, folder in (views or VIEWS).items():
+    for name, folder in views.items():
         try:
             spark.read.option("recursiveFileLookup", "false").parquet(f"{root}/{folder}").createOrReplaceTempView(name)
             made.append(name)
-        except AnalysisException:
-            continue
+        except AnalysisException as e:
+            if e.getCondition() != "PATH_NOT_FOUND":
+                raise
     return made
 
 

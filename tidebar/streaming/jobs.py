@@ -26,30 +26,39 @@ def dedup_recent(stream: DataFrame, key: str, event_time: str, delay: str = "2 d
 
 
 def _table_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """The stored table, None before the first batch. Any other fault of the store is raised."""
     from pyspark.errors import AnalysisException
 
     try:
         return spark.read.parquet(path)
-    except AnalysisException:
-        return None
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
 
 
-def append_first(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
+def append_first(
+    path: str, keys: list[str], order: list[str], buckets: int = 32
+) -> Callable[[DataFrame, int], None]:
     """foreachBatch sink: a key is written once, by the earliest row that carries it.
 
-    Replay-safe: every batch writes its own ``batch`` partition, so a replay
-    replaces the same rows, judged against all the other batches.
+    The store is partitioned by a hash bucket of the keys and by batch. A batch reads only the buckets that its keys
+    fall into; their list, at most ``buckets`` rows, prunes the scan. Replay-safe: every batch writes its own
+    ``batch`` partitions, so a replay replaces the same rows, judged against all the other batches.
     """
 
     def write(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         first = pick(batch, keys, order)
+        first = first.withColumn("bucket", F.pmod(F.xxhash64(*keys), F.lit(buckets)).cast("int"))
         stored = _table_or_none(spark, path)
         fresh = first
         if stored is not None:
-            fresh = append_unseen(stored.where(F.col("batch") != batch_id), first, keys)
+            others = stored.where(F.col("batch") != batch_id)
+            touched = F.broadcast(first.select("bucket").distinct())
+            fresh = append_unseen(others.join(touched, "bucket", "left_semi"), first, keys)
         out = fresh.withColumn("batch", F.lit(batch_id))
-        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
+        out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(path)
 
     return write
 
