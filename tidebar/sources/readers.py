@@ -93,11 +93,14 @@ def _unzip(columns: list[str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd
     return one
 
 
-def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Zipped CSV archives as string columns plus their file, one archive per task row."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
+def unzipped(files: DataFrame, columns: list[str]) -> DataFrame:
+    """Rows of zipped CSV archives (path, content) as string columns plus their file, one archive per task row."""
     schema = T.StructType([T.StructField(c, T.StringType()) for c in ["file", *columns]])
-    return files.mapInPandas(_unzip(columns), schema)
+    return files.select("path", "content").mapInPandas(_unzip(columns), schema)
+
+
+def read_zipped_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
+    return unzipped(spark.read.format("binaryFile").load(path), columns)
 
 
 def read_kline_zip(spark: SparkSession, path: str) -> DataFrame:
@@ -107,26 +110,29 @@ def read_kline_zip(spark: SparkSession, path: str) -> DataFrame:
 def shape_funding(raw: DataFrame, source: str) -> DataFrame:
     """Three string columns c0, c1, c2 to funding rows, roles decided per source file.
 
-    With a header the names decide. Without one c0 is the epoch and the column of
-    smaller median magnitude is the rate. Both facts are one aggregate per file.
+    With a header the names decide, in whatever place the columns stand. Without one c0 is the epoch and the column
+    of smaller median magnitude is the rate. Both facts are one aggregate per file.
     """
+    cols = ["c0", "c1", "c2"]
     v = lambda c: F.col(c).try_cast("double")
-    is_header = F.col("c0").try_cast("double").isNull() & F.lower("c0").contains("time")
-    mag = lambda c: F.percentile_approx(F.abs(v(c)), 0.5, 1000)
+    titled = lambda c: v(c).isNull() & F.lower(c).contains("time")
+    is_header = F.coalesce(titled("c0"), F.lit(False)) | F.coalesce(titled("c1"), F.lit(False)) | F.coalesce(titled("c2"), F.lit(False))
+
+    def place(word: str) -> Column:
+        found = F.coalesce(*[F.when(F.lower(c).contains(word), F.lit(i)) for i, c in enumerate(cols)])
+        return F.max(F.when(is_header, found))
+
+    mag = lambda c: F.median(F.abs(v(c)))
     facts = raw.groupBy(source).agg(
-        F.max(F.when(is_header, F.lower("c1"))).alias("_h1"),
-        F.max(F.when(is_header, F.lower("c2"))).alias("_h2"),
-        mag("c1").alias("_m1"), mag("c2").alias("_m2"),
+        place("time").alias("_time"), place("rate").alias("_rate"), mag("c1").alias("_m1"), mag("c2").alias("_m2")
     )
-    by_name = F.when(F.col("_h1").contains("rate"), 1).when(F.col("_h2").contains("rate"), 2)
     by_size = F.when(F.col("_m2").isNull() | (F.col("_m1") <= F.col("_m2")), 1).otherwise(2)
-    roles = facts.select(source, F.coalesce(by_name, by_size).alias("_rate"))
+    roles = facts.select(source, F.coalesce("_time", F.lit(0)).alias("_time"), F.coalesce("_rate", by_size).alias("_rate"))
     j = raw.join(roles, source)
-    first = F.col("_rate") == 1
+    at = lambda i: F.get(F.array(*cols), i)
     shaped = j.select(
-        source, F.col("c0"),
-        F.when(first, v("c1")).otherwise(v("c2")).alias("funding_rate"),
-        F.when(first, v("c2")).otherwise(v("c1")).alias("interval_hours"),
+        source, at(F.col("_time")).alias("c0"), at(F.col("_rate")).try_cast("double").alias("funding_rate"),
+        at(F.lit(3) - F.col("_time") - F.col("_rate")).try_cast("double").alias("interval_hours"),
     )
     shaped = shaped.where(F.col("c0").try_cast("long").isNotNull() & F.col("funding_rate").isNotNull())
     return normalize_epochs(shaped, "c0", [source]).select(source, "ts", "funding_rate", "interval_hours")
