@@ -163,6 +163,15 @@ def value_blocks(x: str, n_blocks: int) -> tuple[Column, Column]:
     return edges, (full * step + rest).cast("long")
 
 
+def with_value_blocks(levels: DataFrame, keys: list[str], x: str, n_blocks: int) -> DataFrame:
+    """Add ``_block``, which grows with ``x`` and holds about 1/``n_blocks`` of a key's rows."""
+    edges, block = value_blocks(x, n_blocks)
+    g = levels.groupBy(*keys) if keys else levels.groupBy()
+    span = g.agg(edges.alias("_edges"))
+    both = levels.join(span, keys) if keys else levels.crossJoin(F.broadcast(span))
+    return both.withColumn(BLOCK, block).drop("_edges")
+
+
 def quantiles(
     df: DataFrame, keys: list[str], value: Column | str, wanted: dict[str, float], n_blocks: int = 256
 ) -> DataFrame:

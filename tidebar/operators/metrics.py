@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import col, num
 from tidebar.functions.normal import expected_max_sharpe, normal_cdf
-from tidebar.operators.blocks import quantiles, running_sum
+from tidebar.operators.blocks import BLOCK, quantiles, running_sum, with_value_blocks
 
 BARS_PER_YEAR = {"1d": 365, "4h": 6 * 365, "1h": 24 * 365}
 
@@ -214,17 +214,15 @@ def average_precision(
 
     Null unless there are more than ``min_rows`` scored rows and both classes.
     Rows are first summed per distinct score; the cumulative counts then run in
-    score blocks, so a group of any size spreads over tasks.
+    blocks of about equally many scores, so a group of any size spreads over tasks.
     """
     ok = df.where(F.col(label).isNotNull() & F.col(score).isNotNull())
     # one score level per group: counts of rows and of positives
     levels = ok.groupBy(*keys, (-F.col(score)).alias("_neg")).agg(
         F.count(F.lit(1)).cast("double").alias("_n"), F.sum(label).cast("double").alias("_pos")
     )
-    cum = running_sum(
-        levels, keys, ["_neg"], {"_cn": "_n", "_cp": "_pos"},
-        block=F.floor(F.col("_neg") * F.lit(256)).cast("long"),
-    )
+    levels = with_value_blocks(levels, keys, "_neg", 256)
+    cum = running_sum(levels, keys, ["_neg"], {"_cn": "_n", "_cp": "_pos"}, block=F.col(BLOCK))
     ap = cum.groupBy(*keys).agg(
         F.sum(F.col("_pos") * F.try_divide(F.col("_cp"), F.col("_cn"))).alias("_apn"),
         F.sum("_n").alias("_rows"), F.sum("_pos").alias("_p"),

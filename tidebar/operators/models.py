@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebar.functions.columns import har_design, num
+from tidebar.operators.blocks import with_value_blocks
 
 HAR_COLUMNS = ["har_0", "har_1", "har_2", "har_3"]
 
@@ -99,7 +100,7 @@ def isotonic_pools(
 ) -> DataFrame:
     """Isotonic regression of a 0/1 label on a score in [0, 1], per key.
 
-    Rows are summed per distinct score, pooled inside score blocks in parallel,
+    Rows are summed per distinct score, pooled in parallel inside blocks of about equally many scores,
     and the surviving pools (non-decreasing, hence few) merged per key. Pooling is
     order-free, so the result equals the one-pass fit. Keys with fewer than ten
     positives yield no rows: the caller's gate then stays open.
@@ -108,9 +109,7 @@ def isotonic_pools(
     levels = ok.groupBy(*keys, F.col(score).alias("lo")).agg(
         F.count(F.lit(1)).cast("double").alias("w"), F.sum(label).cast("double").alias("s")
     )
-    levels = levels.withColumn("hi", F.col("lo")).withColumn(
-        "_block", F.floor(F.col("lo") * F.lit(blocks)).cast("long")
-    )
+    levels = with_value_blocks(levels, keys, "lo", blocks).withColumn("hi", F.col("lo"))
     key_fields = [levels.schema[k] for k in keys]
     d = T.DoubleType()
     pool_fields = [T.StructField(c, d) for c in ("lo", "hi", "w", "s")]
