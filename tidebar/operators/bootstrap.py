@@ -54,7 +54,10 @@ def block_band(
     start = draw_int(seed, room, F.col("_path"), b)
     drawn = drawn.withColumn("_i", (start + F.col("_p") % F.lit(block)) % F.col("_t"))
     joined = drawn.join(rows, [*keys, "_i"])
-    sims = joined.groupBy(*keys, "_path").agg((F.product(num(1) + F.col(ret)) - num(1)).alias("_sim"))
+    # multiplied up in the path's own order: a product in arrival order differs in its last bits from run to run
+    path = F.array_sort(F.collect_list(F.struct("_p", F.col(ret).cast("double").alias("_r"))))
+    sims = joined.groupBy(*keys, "_path").agg(path.alias("_s"))
+    sims = sims.withColumn("_sim", F.aggregate("_s", num(1), lambda acc, x: acc * (num(1) + x["_r"])) - num(1)).drop("_s")
     g = sims.groupBy(*keys) if keys else sims.groupBy()
     names = {"p2_5": 0.025, "p10": 0.10, "p50": 0.50, "p90": 0.90, "p97_5": 0.975}
     return g.agg(*[F.percentile("_sim", q).alias(n) for n, q in names.items()], F.count(F.lit(1)).alias("n_paths"))
