@@ -95,7 +95,8 @@ QUERIES: dict[str, Query] = {}
 CTES: dict[str, str] = {}
 
 # Column tokens are name:kind. A number rounds a double to that many digits; i, t, d,
-# b fix bigint, timestamp, date and boolean; a bare name passes through.
+# b fix bigint, timestamp, date and boolean; e and a number write a double with that many
+# digits behind the first, for sizes that no fixed rounding suits; a bare name passes through.
 
 
 def spark_col(token: str):
@@ -112,6 +113,8 @@ def spark_col(token: str):
     if kind == "b":
         return c.cast("boolean").alias(name)
     x = c.cast("double")
+    if kind[0] == "e":
+        return F.when(~F.isnan(x), F.format_string(f"%.{kind[1:]}e", x)).alias(name)
     return (F.round(F.when(~F.isnan(x), x), int(kind)) + F.lit(0.0)).alias(name)
 
 
@@ -122,6 +125,9 @@ def sql_col(token: str) -> str:
         return name
     if kind in types:
         return f"CAST({name} AS {types[kind]}) AS {name}"
+    if kind[0] == "e":
+        text = f"replace(printf('%.{kind[1:]}e', CAST({name} AS DOUBLE)), 'inf', 'Infinity')"
+        return f"CASE WHEN {name} IS NOT NULL THEN {text} END AS {name}"
     return f"round(CAST({name} AS DOUBLE), {kind}) + 0.0::DOUBLE AS {name}"
 
 

@@ -190,12 +190,32 @@ def _x23(t):
     return overlay.baseline_forecasts(tagged(t), with_har=False)
 
 
-@query("m8_har_regression", "fold:i n_fit:i har_0:5 har_1:5 har_2:5 har_3:5")
+def har_x(eps: str = "1e-6") -> str:
+    return (f"ln(abs(c_ret1_n * c_sigma20d) + {eps}) AS x1, ln(c_vol5 / sqrt(365.0::DOUBLE) + {eps}) AS x2, ln(c_vol22 / sqrt(365.0::DOUBLE) + {eps}) AS x3")
+
+
+# Least squares by elimination on the 3 x 3 covariances.
+cte("har_b", f"""
+WITH x AS (SELECT * FROM (SELECT fold, {har_x()}, label_logvol5 AS y FROM feat_split WHERE split = 'train')
+ WHERE x1 IS NOT NULL AND x2 IS NOT NULL AND x3 IS NOT NULL AND y IS NOT NULL),
+s AS (SELECT fold, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2, avg(x3) AS m3, avg(y) AS my, covar_pop(x1, x1) AS s11, covar_pop(x1, x2) AS s12,
+ covar_pop(x1, x3) AS s13, covar_pop(x2, x2) AS s22, covar_pop(x2, x3) AS s23, covar_pop(x3, x3) AS s33, covar_pop(x1, y) AS c1, covar_pop(x2, y) AS c2, covar_pop(x3, y) AS c3 FROM x GROUP BY fold),
+e AS (SELECT *, s22 - s12 / s11 * s12 AS t22, s23 - s12 / s11 * s13 AS t23, s33 - s13 / s11 * s13 AS t33, c2 - s12 / s11 * c1 AS d2, c3 - s13 / s11 * c1 AS d3 FROM s),
+b3 AS (SELECT *, (d3 - t23 / t22 * d2) / (t33 - t23 / t22 * t23) AS h3 FROM e), b2 AS (SELECT *, (d2 - t23 * h3) / t22 AS h2 FROM b3),
+b1 AS (SELECT *, (c1 - s12 * h2 - s13 * h3) / s11 AS h1 FROM b2)
+SELECT fold, n AS n_fit, my - h1 * m1 - h2 * m2 - h3 * m3 AS har_0, h1 AS har_1, h2 AS har_2, h3 AS har_3 FROM b1""")
+HAR_SIGMA = "exp(har_0 + har_1 * x1 + har_2 * x2 + har_3 * x3)"
+
+
+@query("m8_har_regression", "fold:i n_fit:i har_0:5 har_1:5 har_2:5 har_3:5", "SELECT * FROM har_b")
 def _m8(t):
     return models.har_fit(tagged(t).where("split = 'train' and label_logvol5 is not null"), ["fold"])
 
 
-@query("x23_har_forecasts", "variant fold:i n:i mean_sigma:5 mean_mult:5")
+@query("x23_har_forecasts", "variant fold:i n:i mean_sigma:5 mean_mult:5", f"""
+WITH h AS (SELECT fold, sigma_ref, {HAR_SIGMA} AS sigma_hat FROM (SELECT fold, {har_x()} FROM feat_split WHERE split = 'test' AND c_ret252_n IS NOT NULL) JOIN har_b USING (fold) JOIN fold_c USING (fold)),
+p AS (SELECT variant, fold, sigma_hat, multiplier FROM preds UNION ALL SELECT 'B2', fold, sigma_hat, greatest(least(sigma_ref / greatest(sigma_hat, 1e-8), 1), 0) FROM h)
+SELECT variant, fold, count(*) AS n, avg(sigma_hat) AS mean_sigma, avg(multiplier) AS mean_mult FROM p GROUP BY 1, 2""")
 def _x23b(t):
     p = overlay.baseline_forecasts(tagged(t))
     return p.groupBy("variant", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg("sigma_hat").alias("mean_sigma"), F.avg("multiplier").alias("mean_mult"))
@@ -357,7 +377,12 @@ def _x31(t):
     return v.withColumnRenamed("check", "check_name")
 
 
-@query("x24_decision_log", "decision_ts:t symbol variant sigma_hat:6 base_weight:6")
+@query("x24_decision_log", "decision_ts:t symbol variant sigma_hat:6 base_weight:6", f"""
+WITH l AS (SELECT decision_ts, symbol, c_sigma20d, {har_x()} FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY decision_ts DESC) AS rn
+ FROM (SELECT DISTINCT feat.* FROM feat JOIN feat_folds ON decision_ts <= test_end)) WHERE rn = 1),
+m AS (SELECT decision_ts, symbol, 'B1' AS variant, c_sigma20d AS sigma_hat FROM l
+ UNION ALL SELECT decision_ts, symbol, 'B2', {HAR_SIGMA} FROM l CROSS JOIN (SELECT * FROM har_b WHERE fold = (SELECT max(fold) FROM feat_folds)))
+SELECT m.*, w.weight AS base_weight FROM m LEFT JOIN base_w w ON w.symbol = m.symbol AND w.ts = m.decision_ts - INTERVAL 1 DAY""")
 def _x24(t):
     g = tagged(t)
     f = g.drop("fold", "split", "train_end", "val_end", "test_end", "complete").dropDuplicates(["decision_ts", "symbol"])

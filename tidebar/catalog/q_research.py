@@ -175,13 +175,6 @@ def _x10(t):
     return research.market_table(t.bars, cut_lineage(bt.variant_returns(t.bars)))
 
 
-@query("x11_portfolio_table", "family sharpe:3 cagr_pct:3 ann_vol_pct:3 max_dd_pct:3 n_bars:i dsr_n4:4 dsr_n32:4")
-def _x11(t):
-    from tidebar.session import cut_lineage
-
-    return research.portfolio_table(cut_lineage(bt.variant_returns(t.bars)))
-
-
 @query("x11_family_portfolios", "family ts:t net:7", """
 WITH e AS (SELECT symbol, family, ts, avg(net) AS net FROM all_net GROUP BY 1, 2, 3), c AS (SELECT *, row_number() OVER (PARTITION BY symbol, family ORDER BY ts) AS i FROM e)
 SELECT family, ts, avg(net) AS net FROM c WHERE i > 730 GROUP BY 1, 2 HAVING count(*) = 6""")
@@ -239,7 +232,29 @@ def _m5(t):
     return m.withColumn("z", metrics.deflated_z(m, 1, num(0)))
 
 
-@query("m5_deflated_sharpe", "symbol family dsr:5")
+def normal_cdf_sql(z: str) -> str:
+    """The series phi(z) * (z + z^3/3 + z^5/15 + ...), all terms of one sign; DuckDB has no erf."""
+    term = f"exp((2 * k + 1) * ln(greatest(abs({z}), 1e-300)) + 0.5 * ln(pi()) - (k + 1) * ln(2) - lgamma(k + 1.5))"
+    return (
+        f"CASE WHEN {z} > 8 THEN 1 WHEN {z} < -8 THEN 0 ELSE 0.5 + sign({z}) * exp(-{z} * {z} / 2) / sqrt(2 * pi()) * "
+        f"list_sum([{term} for k in range(0, 200)]) END::DOUBLE")
+
+
+def dsr_sql(n_trials: int, variance: str) -> str:
+    """Deflated Sharpe of a row with n, sr, skew and ex_kurt."""
+    z = (f"((sr - CASE WHEN {variance} > 0 THEN sqrt({variance}) * {expected_max_factor(n_trials)!r}::DOUBLE ELSE 0 END) * sqrt(CAST(n - 1 AS DOUBLE)) "
+         "/ sqrt(greatest(1 - skew * sr + (ex_kurt + 2) / 4 * sr * sr, 1e-12)))")
+    return f"CASE WHEN n < 20 THEN 0 ELSE {normal_cdf_sql(z)} END"
+
+
+def moments_sql(src: str, keys: str) -> str:
+    return f"SELECT {keys}, count(net) AS n, {sharpe_pp('net')} AS sr, coalesce(skewness(net), 0) AS skew, coalesce(kurtosis(net), 0) AS ex_kurt FROM {src} GROUP BY {keys}"
+
+
+@query("m5_deflated_sharpe", "symbol family dsr:5", f"""
+WITH e AS (SELECT symbol, family, ts, avg(net) AS net FROM dc_net GROUP BY 1, 2, 3), m AS ({moments_sql('e', 'symbol, family')}),
+v AS (SELECT symbol, coalesce(var_samp(sr), 0) AS v FROM (SELECT symbol, params, {sharpe_pp('net')} AS sr FROM dc_net GROUP BY 1, 2) GROUP BY 1)
+SELECT symbol, family, {dsr_sql(4, 'v')} AS dsr FROM m JOIN v USING (symbol)""")
 def _m5b(t):
     r = bt.variant_returns(t.bars, ["donchian"])
     v = metrics.trial_variance(research.trial_sharpes(r, ["symbol"]), ["symbol"])
@@ -247,6 +262,25 @@ def _m5b(t):
     return metrics.deflated_sharpe(metrics.moments(ens, ["symbol", "family"]).join(v, "symbol"), 4, "sr_variance")
 
 
+cte("fam_port", """
+WITH e AS (SELECT symbol, family, ts, avg(net) AS net FROM all_net GROUP BY 1, 2, 3), c AS (SELECT *, row_number() OVER (PARTITION BY symbol, family ORDER BY ts) AS i FROM e)
+SELECT family, ts, avg(net) AS net FROM c WHERE i > 730 GROUP BY 1, 2 HAVING count(net) = (SELECT count(DISTINCT symbol) FROM c WHERE i > 730)""")
+cte("trial_port", """
+WITH c AS (SELECT *, row_number() OVER (PARTITION BY symbol, family, params ORDER BY ts) AS i FROM all_net)
+SELECT family, params, ts, avg(net) AS net FROM c WHERE i > 730 GROUP BY 1, 2, 3 HAVING count(net) = (SELECT count(DISTINCT symbol) FROM c WHERE i > 730)""")
+
+
+@query("x11_portfolio_table", "family sharpe:3 cagr_pct:e9 ann_vol_pct:3 max_dd_pct:e9 n_bars:i dsr_n4:4 dsr_n32:4", f"""
+WITH m AS ({moments_sql('fam_port', 'family')}),
+v AS (SELECT (SELECT coalesce(var_samp(sr), 0) FROM m) AS v4, (SELECT coalesce(var_samp(sr), 0) FROM (SELECT family, params, {sharpe_pp('net')} AS sr FROM trial_port GROUP BY 1, 2)) AS v32)
+SELECT p.*, d.dsr_n4, d.dsr_n32 FROM ({_perf('fam_port', 'family')}) p JOIN (
+ SELECT family, {dsr_sql(4, 'v4')} AS dsr_n4, {dsr_sql(32, 'v32')} AS dsr_n32 FROM m CROSS JOIN v) d USING (family)""")
+def _x11(t):
+    from tidebar.session import cut_lineage
+
+    return research.portfolio_table(cut_lineage(bt.variant_returns(t.bars)))
+
+
 def pbo_sql(src: str, keys: str, variant: str, order: str) -> str:
     half = lambda on: (
         f"SELECT {keys}, m, {variant}, {order}, round(CASE WHEN v > 0 THEN mu / sqrt(v) ELSE 0 END, 10) AS sr FROM (SELECT {keys}, m, {variant}, {order}, s / n AS mu, "
@@ -315,14 +349,28 @@ def _m11(t):
     return metrics.downside(capped(t), ["symbol"])
 
 
-@query("m12_isotonic_pools", "event_type lo:3 hi:3 w:1 value:6")
+# Max-min formula: the fit at a score is the largest, over starts at or below it, of the smallest mean from the start
+# to an end at or above it. Sums are whole numbers, so equal means are equal doubles and name a pool.
+cte("iso_pools", """
+WITH l AS (SELECT event_type, p, count(*) AS n, sum(y) AS pos FROM labelled WHERE p IS NOT NULL AND y IS NOT NULL GROUP BY 1, 2),
+c AS (SELECT *, CAST(sum(n) OVER k AS BIGINT) AS cn, CAST(sum(pos) OVER k AS BIGINT) AS cp, row_number() OVER k AS i FROM l
+ WINDOW k AS (PARTITION BY event_type ORDER BY p ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
+a AS (SELECT s.event_type, s.i AS j, e.i, CAST(e.cp - s.cp + s.pos AS DOUBLE) / (e.cn - s.cn + s.n) AS mean FROM c s JOIN c e ON e.event_type = s.event_type AND e.i >= s.i),
+b AS (SELECT event_type, j, i, min(mean) OVER (PARTITION BY event_type, j ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS low FROM a),
+f AS (SELECT event_type, i, max(low) AS value FROM b GROUP BY 1, 2)
+SELECT event_type, min(p) AS lo, max(p) AS hi, sum(n) AS w, value FROM f JOIN c USING (event_type, i)
+WHERE event_type IN (SELECT event_type FROM labelled WHERE p IS NOT NULL GROUP BY 1 HAVING sum(y) >= 10) GROUP BY event_type, value""")
+
+
+@query("m12_isotonic_pools", "event_type lo:3 hi:3 w:1 value:6", "SELECT * FROM iso_pools")
 def _m12(t):
     from tidebar.operators.models import isotonic_pools
 
     return isotonic_pools(labelled(t), ["event_type"], "p", "y")
 
 
-@query("m12_calibrated_scores", "event_type n:i mean_p:6 mean_y:6")
+@query("m12_calibrated_scores", "event_type n:i mean_p:6 mean_y:6", """
+SELECT l.event_type, count(*) AS n, avg(value) AS mean_p, avg(y) AS mean_y FROM labelled l JOIN iso_pools i ON i.event_type = l.event_type AND l.p BETWEEN lo AND hi GROUP BY 1""")
 def _m12b(t):
     from tidebar.functions.columns import interpolate
     from tidebar.operators.models import isotonic_breakpoints, isotonic_pools

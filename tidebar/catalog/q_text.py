@@ -29,8 +29,9 @@ def collapsed(t):
 
 
 # The recursion runs over the sets that have a similar set, in order of preference.
-GREEDY = f"""
-WITH RECURSIVE f AS MATERIALIZED (SELECT doc_id, feed, {TOKENS} AS toks, (CASE WHEN feed = 'curated' THEN 0 ELSE 1 END, -epoch_us(t), doc_id) AS pref FROM headlines),
+def greedy(src: str) -> str:
+    return f"""
+WITH RECURSIVE f AS MATERIALIZED (SELECT doc_id, feed, {TOKENS} AS toks, (CASE WHEN feed = 'curated' THEN 0 ELSE 1 END, -epoch_us(t), doc_id) AS pref FROM {src}),
 z AS MATERIALIZED (SELECT arg_min(doc_id, pref) AS id, min(pref) AS pref, toks, len(toks) AS n FROM f WHERE len(toks) > 0 GROUP BY toks),
 p AS (SELECT x.id AS a, y.id AS b, x.n + y.n AS n, len(list_intersect(x.toks, y.toks)) AS k FROM z x JOIN z y
   ON x.pref < y.pref AND x.n >= 4 AND y.n >= 4 AND least(x.n, y.n) >= 0.6 * greatest(x.n, y.n)),
@@ -43,12 +44,21 @@ gone AS (SELECT id FROM o WHERE NOT list_contains((SELECT kept FROM r ORDER BY i
 SELECT doc_id, feed FROM f WHERE len(toks) = 0 OR doc_id IN (SELECT id FROM z WHERE id NOT IN (SELECT id FROM gone))"""
 
 
-@query("x19_near_duplicate_collapse", "doc_id:i feed", GREEDY)
+@query("x19_near_duplicate_collapse", "doc_id:i feed", greedy("headlines"))
 def _x19(t):
     return collapsed(t)
 
 
-@query("o3_recent_headlines", "doc_id:i feed")
+cte("recent_once", """
+SELECT max(doc_id) AS doc_id, title, feed, t FROM (SELECT *, max(t) OVER (PARTITION BY feed, title) AS last FROM headlines WHERE t >= (SELECT max(t) FROM headlines) - INTERVAL 48 HOUR)
+WHERE t = last GROUP BY title, feed, t""")
+
+
+@query("o3_recent_headlines", "doc_id:i feed", f"""
+WITH g AS ({greedy('recent_once')}), r AS (SELECT doc_id, g.feed, t, row_number() OVER (PARTITION BY g.feed ORDER BY t DESC, doc_id) AS rn FROM g JOIN headlines h USING (doc_id)),
+n AS (SELECT count(CASE WHEN feed = 'curated' THEN 1 END) AS cur, count(CASE WHEN feed <> 'curated' THEN 1 END) AS oth FROM r WHERE rn <= 80),
+k AS (SELECT least(oth, greatest(0, 80 - least(40, cur))) AS places FROM n)
+SELECT doc_id, feed FROM r CROSS JOIN k WHERE rn <= CASE WHEN feed = 'curated' THEN 80 - places ELSE places END ORDER BY t DESC, doc_id LIMIT 80""")
 def _o3(t):
     """Recent window, title dedup, collapse, then the reserved-quota selection."""
     from tidebar.operators.sets import pick
