@@ -12,9 +12,9 @@ that returns k rows per query; a query's k best of all blocks follow. Memory of
 search without an index reads every candidate block once per query block; both block sizes are parameters.
 
 Edge cases: vectors that are null or empty, or hold a null or non-finite component, and rows without vec_id, take no
-part. A shorter vector counts as ended by zeros. Of rows with one vec_id the smallest vector counts, so a query's own
-row is never its candidate. Fewer than k candidates give all. Ties go to the smaller vec_id. Empty tables give an
-empty result. Other columns are left alone.
+part. A shorter vector counts as ended by zeros. Rows that repeat a vec_id are candidates each, but of no query with
+that vec_id; queries that repeat one share its k ranks. Fewer than k candidates give all. Ties go to the smaller
+vec_id. Empty tables give an empty result. Other columns are left alone.
 """
 
 from __future__ import annotations
@@ -41,18 +41,13 @@ def usable(vectors: DataFrame, scale: int) -> DataFrame:
 
 
 def block_table(t: pa.Table, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """(ids, one padded row of integers per id); of equal ids the smallest vector."""
+    """(ids, one padded row of integers for each); ids can repeat."""
     ids = t.column("vec_id").to_numpy()
     lists = t.column("v").combine_chunks()
     sizes = np.diff(lists.offsets.to_numpy())
     rows = np.zeros((len(ids), width), np.int64)
     at = np.arange(len(lists.flatten())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
     rows[np.repeat(np.arange(len(ids)), sizes), at] = lists.flatten().to_numpy()
-    if len(np.unique(ids)) < len(ids):
-        order = np.lexsort([*rows.T[::-1], ids])
-        ids, rows = ids[order], rows[order]
-        first = np.concatenate([[True], ids[1:] != ids[:-1]])
-        ids, rows = ids[first], rows[first]
     return ids, rows
 
 
@@ -84,7 +79,7 @@ def best_of_block(queries: tuple[np.ndarray, np.ndarray], rows: tuple[np.ndarray
             own = vid == qid[i] if len(vid) and vid[min(np.searchsorted(vid, qid[i]), len(vid) - 1)] == qid[i] else None
             if own is not None:
                 near = np.where(own, -np.inf, near)
-            live = len(vid) - (own is not None)
+            live = len(vid) - (0 if own is None else int(own.sum()))
             if live <= 0:
                 continue
             if live > k:
