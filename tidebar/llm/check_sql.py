@@ -4,6 +4,7 @@ and the pipeline have none."""
 from __future__ import annotations
 
 from tidebar.llm.pii import KINDS
+from tidebar.llm.secret_links import BREAK_PLAIN, ENDPOINT, ID, NAMED, PARTS, REACH, SECRET, SECRET_NAMES, VALUE
 from tidebar.llm.token_rollup import VERSIONS
 
 WORD = r"[^\x20\x09-\x0D]+"
@@ -184,7 +185,86 @@ SELECT k.page_id, k.host, k.path, f.best[2] AS rule,
 FROM k LEFT JOIN f USING (page_id) LEFT JOIN m USING (page_id)
 """
 
+SECRET_VALID = {
+    "assign": rf"length(regexp_extract(hit, '^(?:{SECRET_NAMES}){NAMED}({VALUE}+)', 1)) >= 8".replace("\"']", "\"'']"),
+    "blob": "length(hit) <= 64 AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]') AND regexp_matches(hit, '[0-9]')",
+}
+
+
+def secrets_sql() -> str:
+    kinds = [(i, k.name, k.plain, SECRET_VALID.get(k.name, "true")) for i, k in enumerate(PARTS)] + [(len(PARTS), "break", BREAK_PLAIN, "true")]
+    found = [
+        f"""
+          SELECT rid, {i} AS kind, '{name}' AS name, start, stop FROM (
+            SELECT rid, h[i] AS hit, list_sum([length(x) FOR x IN p[1:i]]) + coalesce(list_sum([length(x) FOR x IN h[1:i - 1]]), 0) AS start,
+              list_sum([length(x) FOR x IN p[1:i]]) + list_sum([length(x) FOR x IN h[1:i]]) AS stop
+            FROM (SELECT *, unnest(range(1, len(h) + 1)) AS i FROM (
+              SELECT rid, regexp_extract_all(text, '{plain.replace("'", "''")}') AS h, regexp_split_to_array(text, '{plain.replace("'", "''")}') AS p FROM d)))
+          WHERE {valid}"""
+        for i, name, plain, valid in kinds
+    ]
+    of = lambda role: ", ".join(str(i) for i, k in enumerate(PARTS) if k.role == role)
+    weak, base = ([i for i, k in enumerate(PARTS) if k.weak is w] for w in (True, False))
+    listed = lambda ks: ", ".join(map(str, ks))
+    near = lambda role: f"EXISTS (FROM c AS o WHERE o.rid = c.rid AND o.scope = c.scope AND o.kind IN ({of(role)}) AND abs(o.start - c.start) <= {REACH})"
+    weak_of = lambda role: f"kind IN ({listed([i for i in weak if PARTS[i].role == role])})"
+    counts = ", ".join(f"count(*) FILTER (kind = {i})::BIGINT AS n_{PARTS[i].name}" for i in base)
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, row_number() OVER () AS rid FROM documents),
+s AS MATERIALIZED ({" UNION ALL ".join(found)}),
+b AS (SELECT s.*, (SELECT count(*) FROM s AS o WHERE o.rid = s.rid AND o.kind = {len(PARTS)} AND o.start < s.start) AS scope FROM s WHERE kind < {len(PARTS)}),
+c AS MATERIALIZED (SELECT * FROM b WHERE NOT (kind IN ({listed([i for i in weak if PARTS[i].role == SECRET])}) AND EXISTS (
+       FROM b AS o WHERE o.rid = b.rid AND o.kind IN ({listed(base)}) AND o.start <= b.start AND o.stop > b.start))),
+l AS (SELECT *, {near(ID)} AS has_id, {near(SECRET)} AS has_secret FROM c),
+k AS (SELECT *, kind IN ({listed(base)}) OR ({weak_of(ID)} AND has_secret) OR ({weak_of(SECRET)} AND has_id) OR ({weak_of(ENDPOINT)} AND has_id AND has_secret) AS stays FROM l),
+a AS (SELECT rid, {counts},
+        string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (kind IN ({listed(base)})) AS base,
+        string_agg(name || ':' || start || ':' || stop, ',' ORDER BY start, kind) FILTER (stays) AS spans,
+        count(*) FILTER (stays AND kind IN ({listed(weak)}))::BIGINT AS n_added, count(*) FILTER (kind IN ({of(SECRET)}) AND has_id)::BIGINT AS n_linked FROM k GROUP BY rid)
+SELECT doc_id, {", ".join(f"coalesce(n_{PARTS[i].name}, 0) AS n_{PARTS[i].name}" for i in base)}, sha256(coalesce(base, '')) AS base_sha256,
+       coalesce(spans, '') AS spans, coalesce(n_added, 0) AS n_added, coalesce(n_linked, 0) AS n_linked
+FROM d LEFT JOIN a USING (rid)
+"""
+
+
+SPELLING = r"""
+WITH RECURSIVE t AS (SELECT [list_reduce([i] || [0, 0, 0, 0, 0, 0, 0, 0], lambda c, z: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END) FOR i IN range(256)] AS tab),
+w AS (SELECT coalesce(doc_id::VARCHAR, '') AS id, translate(unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents),
+r AS (SELECT id, run, count(*) AS n FROM w WHERE length(run) >= 6 GROUP BY ALL),
+h AS (SELECT *, xor(list_reduce([4294967295] || flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195::BIGINT, (unicode(c) - 64)::BIGINT] END FOR c IN string_split(id || ':' || run, '')]),
+        lambda c, b: xor(c >> 8, tab[(xor(c, b) & 255) + 1])), 4294967295) AS h FROM r, t),
+m AS (SELECT n, CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word FROM h),
+v AS MATERIALIZED (SELECT word, sum(n)::BIGINT AS n FROM m WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+e AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM v),
+x AS MATERIALIZED (SELECT word, n, i, left(word, i - 1) || substr(word, i + 1) AS cut FROM e),
+p AS (SELECT a.word, b.word AS near, b.n AS near_n FROM x a JOIN x b ON a.i = b.i AND a.cut = b.cut AND a.word <> b.word
+      UNION SELECT x.word, v.word, v.n FROM x JOIN v ON x.cut = v.word
+      UNION SELECT v.word, x.word, x.n FROM x JOIN v ON x.cut = v.word),
+g AS (SELECT word, count(*) AS n_near, max(near_n) AS top FROM p GROUP BY word),
+q AS (SELECT p.word, min(p.near) AS near FROM p JOIN g USING (word) WHERE p.near_n = g.top GROUP BY p.word),
+f AS MATERIALIZED (SELECT v.word, v.n, coalesce(g.n_near, 0)::BIGINT AS n_near, CASE WHEN g.top >= 5 * v.n THEN q.near END AS form, CASE WHEN g.top >= 5 * v.n THEN g.top END AS form_n
+      FROM v LEFT JOIN g USING (word) LEFT JOIN q USING (word)),
+s AS (SELECT word, word AS last, 0 AS steps FROM f UNION ALL SELECT s.word, f.form, steps + 1 FROM s JOIN f ON s.last = f.word WHERE f.form IS NOT NULL)
+SELECT f.word, f.form, arg_max(s.last, s.steps) AS root, f.n, f.n_near, f.form_n FROM f JOIN s USING (word) GROUP BY ALL
+"""
+
+TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+RANKED = rf"""
+WITH low AS (SELECT 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' AS a, 'abcdefghijklmnopqrstuvwxyz' AS b),
+i AS (SELECT row_number() OVER () AS iid, item_id, list_distinct(regexp_extract_all(translate(text, a, b), '{TERM}')) AS ts FROM benchmark, low),
+it AS (SELECT iid, item_id, unnest(ts) AS term FROM i),
+d AS (SELECT row_number() OVER () AS rid, doc_id, regexp_extract_all(translate(text, a, b), '{TERM}') AS ts FROM documents, low),
+c AS (SELECT rid, doc_id, len(ts)::BIGINT AS n, ts FROM d WHERE len(ts) > 0),
+nl AS (SELECT count(*)::BIGINT AS nd, sum(n)::BIGINT AS l FROM c),
+tf AS (SELECT rid, term, count(*)::BIGINT AS tf FROM (SELECT rid, unnest(ts) AS term FROM c) WHERE term IN (SELECT term FROM it) GROUP BY ALL),
+df AS (SELECT term, floor(1000 * ln((2 * nd + 2)::DOUBLE / (2 * count(*) + 1)::DOUBLE))::BIGINT AS w FROM tf, nl GROUP BY term, nd),
+p AS (SELECT tf.rid, c.doc_id, tf.term, df.w * ((1000000000 * tf) // (1000 * tf + 20 * (50 + (50 * c.n * nd) // l))) AS s FROM tf JOIN c USING (rid) JOIN df USING (term), nl),
+z AS (SELECT it.iid, it.item_id, p.rid, p.doc_id, sum(p.s)::BIGINT AS score FROM it JOIN p USING (term) GROUP BY ALL HAVING sum(p.s) > 0)
+SELECT item_id, (row_number() OVER (PARTITION BY iid ORDER BY score DESC, doc_id NULLS LAST))::INT AS rank, doc_id, score FROM z QUALIFY rank <= 50
+"""
+
 SQL: dict[str, str] = {
     "op1_line_templates": LINES, "op2_quality_rules": QUALITY, "op3_source_mix": MIX, "op4_topk_search": TOPK,
     "op5_substring_dedup": REPEATS, "op6_token_rollup": ROLLUP, "op7_pii": pii_sql(), "op9_url_rules": URLS,
+    "op11_secret_links": secrets_sql(), "op12_spelling_variants": SPELLING, "op13_ranked_search": RANKED,
 }

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidebar.llm import (
-    line_templates, packing, pii, quality_rules, simhash, source_mix, substring_dedup, token_rollup, topk_search, url_rules,
+    line_templates, packing, pii, quality_rules, ranked_search, secret_links, simhash, source_mix, spelling, substring_dedup, token_rollup,
+    topk_search, url_rules,
 )
 from tidebar.llm.check_sql import SQL
 from tidebar.llm.common import staged
@@ -84,9 +85,21 @@ def op10_packing(spark: SparkSession, path: str) -> DataFrame:
     return packing.pack(table(spark, path, "documents"))
 
 
+def op11_secret_links(spark: SparkSession, path: str) -> DataFrame:
+    return secret_links.report(table(spark, path, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, path: str) -> DataFrame:
+    return spelling.variants(table(spark, path, "documents"))
+
+
+def op13_ranked_search(spark: SparkSession, path: str) -> DataFrame:
+    return ranked_search.search(table(spark, path, "documents"), table(spark, path, "benchmark"))
+
+
 ALL = (
     op1_line_templates, op2_quality_rules, op3_source_mix, op4_topk_search, op5_substring_dedup, op6_token_rollup,
-    op7_pii, op8_simhash, op9_url_rules, op10_packing,
+    op7_pii, op8_simhash, op9_url_rules, op10_packing, op11_secret_links, op12_spelling_variants, op13_ranked_search,
 )
 
 
