@@ -270,6 +270,42 @@ def test_line_templates(docs, empty):
     assert line_templates.drop_recurring(empty).count() == 0
 
 
+def test_two_families_share_a_leaf(spark):
+    texts = [f"user has just logged in from {w} today" for w in ("oslo", "rome", "lima", "cairo", "quito", "paris", "bonn", "bern", "riga", "kyiv")]
+    texts += [f"user has just changed the password of {w}" for w in ("ann", "bob", "cem", "dan", "eve", "fay", "gus", "hal")]
+    texts += [f"user has just {w} one two three four" for w in "abcd"]  # a third, but in four documents only
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = dict(taken(line_templates.drop_recurring(docs), "doc_id", "line_dropped"))
+    assert got == {i: int(0 < i < 10 or 10 < i < 18) for i in range(22)}
+
+
+def test_equal_lines_recur_from_two_documents_and_short_ones_from_twenty(spark):
+    rows = [(i, f"own words of number {'x' * i} here\nShare this page\nread more") for i in range(20)]
+    rows = [(i, t if i < 19 else t.replace("read more", "the end")) for i, t in rows]
+    rows += [(30, "a line with 7 tokens of its own"), (31, "a line with 12 tokens of its own"), (32, "alone"), (33, "alone")]
+    got = dict(taken(line_templates.drop_recurring(spark.createDataFrame(rows, "doc_id bigint, text string")), "doc_id", "text"))
+    # Families of 5 documents and more recur as well, so the own lines go but for the first.
+    assert got[0] == rows[0][1] and got[30] == rows[20][1] and got[31] == "" and got[33] == "alone"
+    assert all("Share this page" not in got[i] and ("read more" in got[i]) == (i < 19) for i in range(1, 20))
+
+
+def test_line_dedup_leaves_clashing_columns_alone(spark):
+    names = ["lines", "gone", "line_doc", "line_hash", "line_count", "line_dropped", "line_drop", "doc", "hash", "no", "own", "leaf"]
+    rows = [(1, "a b c d e", *"x" * 12), (2, "a b c d e", *"y" * 12), (3, "g h", *[None] * 12)]
+    got = line_templates.without_lines(spark.createDataFrame(rows, "doc_id bigint, text string" + "".join(f", {c} string" for c in names)))
+    assert got.columns == ["doc_id", "text", *names] and sorted(map(tuple, got.collect())) == [rows[0], rows[2]]
+
+
+def test_mix_leaves_clashing_columns_alone(spark):
+    names = ["mix_weight", "mix_source", "mix_key", "mix_times", "mix_size", "mix_bucket", "mix", "mix_copy", "goal", "weight", "words"]
+    rows = [(i, "a b c", "s" if i % 2 else "t", *[10_000 + i] * 11) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string" + "".join(f", {c} bigint" for c in names))
+    plain = source_mix.mixed_documents(docs.drop(*names), source_mix.label_weights(spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")))
+    got = source_mix.mixed_documents(docs, source_mix.label_weights(spark.createDataFrame([(1, 1)], "doc_id bigint, quality int")))
+    assert got.columns == docs.columns and all(tuple(r) in rows for r in got.collect())
+    assert sorted(taken(got, "doc_id")) == sorted(taken(plain, "doc_id"))
+
+
 def test_line_templates_generalise_words(spark):
     texts = [f"user logged in from {w} at the desk" for w in ("berlin", "rome", "oslo", "lima", "cairo", "quito")]
     texts += ["user logged in with nothing else like that", None]
@@ -329,6 +365,15 @@ def test_rollup_is_additive_and_idempotent(spark, docs):
     assert sorted(map(str, taken(r.totals(), *key, "n_docs", "n_tokens"))) == want
     assert r.compact("e") and r.committed() == ["e"] and not r.commit("b", token_rollup.signed(counts, new=F.col("tokens")))
     assert sorted(map(str, taken(r.totals(), *key, "n_docs", "n_tokens"))) == want
+    toxic = counts.where("doc_id < 5")
+    one = token_rollup.Rollup(spark, scratch_path(spark, "rollup-test"))
+    one.commit("a", token_rollup.signed(counts, new=F.col("tokens")))
+    one.commit("b", token_rollup.signed(toxic, old=F.col("tokens")))  # a deleted document leaves every version
+    left = counts.where("NOT doc_id <=> 0 AND NOT coalesce(doc_id < 5, false)").groupBy(*key).agg(F.count("*").alias("n_docs"), F.sum("tokens").alias("n_tokens"))
+    assert sorted(map(str, taken(one.totals(), *key, "n_docs", "n_tokens"))) == sorted(map(str, taken(left, *key, "n_docs", "n_tokens")))
+    for r in counts.join(docs.select("doc_id", "text").dropDuplicates(), "doc_id").collect():
+        plain = WORD.findall(r.text or "") if r.tokenizer == "words-1" else re.findall("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+|[!-/:-@\\[-`{-~]", r.text or "")
+        assert r.tokens == len(plain)
     lost = docs.where("doc_id = 5").limit(0)
     assert token_rollup.counted(lost).count() == 0
 
@@ -350,6 +395,21 @@ def test_url_rules(spark):
     assert url_rules.judge(pages.limit(0), labelled).count() == 0
 
 
+def test_url_tokens_are_whole_and_long_rules_are_found(spark):
+    row = spark.createDataFrame([("http://a.b.c.d.e.evil9.com/x/y/z/w/casino88/p7?a=1&b2=&c&d&e",)], "url string")
+    got = row.select(url_rules.tokens_of(F.col("url")).alias("t")).first().t
+    want = [f"h:{x}" for x in ("a", "b", "c", "d", "e", "evil0", "com")] + [f"p:{x}" for x in ("x", "y", "z", "w", "casino0", "p0")] + [f"q:{x}" for x in ("a", "b0", "c", "d", "e")]
+    assert got == sorted(want)
+    five = "abcde"
+    bad = [f"http://h/{'/'.join(five)}"] * 20
+    good = [f"http://h/{'/'.join(x for x in five if x != y)}" for y in five for _ in range(20)]
+    pages = spark.createDataFrame([(0, bad[0], "k"), (0, bad[0], "k"), (1, good[0], "k"), (None, None, "k")], "page_id bigint, url string, tokens string")
+    labelled = spark.createDataFrame([(u, True) for u in bad] + [(u, False) for u in good], "url string, bad boolean")
+    rules = url_rules.mined_rules(labelled, 0.05, 0.8).collect()
+    assert [r.tokens for r in rules] == [[f"p:{x}" for x in five]]  # no shorter list is bad, no longer one is kept
+    assert sorted((r.page_id, r.verdict) for r in url_rules.judge(pages, labelled, support=0.05).collect() if r.page_id is not None) == [(0, "block"), (0, "block"), (1, "allow")]
+
+
 def test_empty_tables(empty):
     assert substring_dedup.remove_repeats(empty).count() == 0
     assert simhash.near_duplicates(empty).count() == 0 and simhash.keep_one(empty).count() == 0

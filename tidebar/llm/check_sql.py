@@ -3,6 +3,7 @@ and the pipeline have none."""
 
 from __future__ import annotations
 
+from tidebar.llm.line_templates import LEVELS
 from tidebar.llm.pii import KINDS
 from tidebar.llm.secret_links import BREAK_PLAIN, ENDPOINT, ID, NAMED, PARTS, REACH, SECRET, SECRET_NAMES, VALUE
 from tidebar.llm.token_rollup import VERSIONS
@@ -10,25 +11,34 @@ from tidebar.llm.token_rollup import VERSIONS
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
 
+def level_sql(i: int) -> str:
+    """One level of the template tree: from r{i} (leaf, line, lines, toks) what the templates take, g{i}, and what goes down, r{i + 1}."""
+    return f"""
+x{i} AS (SELECT leaf, line, lines, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM r{i}),
+y{i} AS (SELECT leaf, pos, token, sum(lines) AS c FROM x{i} GROUP BY ALL),
+z{i} AS (SELECT leaf, pos, token AS top FROM y{i} QUALIFY row_number() OVER (PARTITION BY leaf, pos ORDER BY c DESC, token DESC) = 1),
+b{i} AS MATERIALIZED (SELECT leaf, line, count(*) FILTER (token = top) - 3 >= (count(*) - 3) * 0.7::DOUBLE AS fits, min(pos) FILTER (token <> top) AS away FROM x{i} JOIN z{i} USING (leaf, pos) GROUP BY ALL),
+g{i} AS (SELECT line, '{i}' || leaf AS family FROM b{i} WHERE fits),
+q{i} AS (SELECT b{i}.leaf || chr(1) || away || chr(1) || toks[away + 1] AS leaf, line, lines, toks FROM b{i} JOIN r{i} USING (leaf, line) WHERE NOT fits),
+r{i + 1} AS MATERIALIZED (SELECT * FROM q{i} WHERE leaf IN (SELECT leaf FROM q{i} GROUP BY leaf HAVING count(*) > 1 AND sum(lines) >= 5)),"""
+
+
 LINES = rf"""
 WITH d AS (SELECT doc_id, text, coalesce(doc_id, 9223372036854775807) AS did FROM documents),
 s AS (SELECT DISTINCT did, text, string_split(text, chr(10)) AS ls FROM d WHERE text IS NOT NULL),
 l AS (SELECT did, text, unnest(range(len(ls))) AS no, regexp_replace(unnest(ls), '[0-9]+', '0', 'g') AS line FROM s),
 k AS (SELECT did, text, no, line, regexp_extract_all(line, '{WORD}') AS toks, regexp_extract(line, '{WORD}(?:{GAP}{WORD}){{0,2}}') AS lead FROM l),
-f AS (SELECT *, len(toks) AS n FROM k WHERE len(toks) >= 4),
-u AS (SELECT n, lead, line, any_value(toks) AS toks, count(*) AS lines FROM f GROUP BY ALL),
-v AS (SELECT n, lead FROM u GROUP BY ALL HAVING count(*) > 1 AND sum(lines) >= 5),
-w AS (SELECT u.* FROM u JOIN v USING (n, lead)),
-x AS (SELECT n, lead, lines, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM w),
-y AS (SELECT n, lead, pos, token, sum(lines) AS c FROM x GROUP BY ALL),
-z AS (SELECT n, lead, pos, token FROM y QUALIFY row_number() OVER (PARTITION BY n, lead, pos ORDER BY c DESC, token DESC) = 1),
-e AS (SELECT n, lead, line, unnest(range(len(toks))) AS pos, unnest(toks) AS token FROM w),
-g AS (SELECT e.n, e.lead, e.line FROM e LEFT JOIN z USING (n, lead, pos, token)
-      GROUP BY ALL HAVING count(z.token) - 3 >= (e.n - 3) * 0.7::DOUBLE),
-t AS (SELECT f.did, f.text, f.no, g.line IS NOT NULL AS joint, f.n, CASE WHEN g.line IS NULL THEN f.line ELSE f.lead END AS template
-      FROM f LEFT JOIN g ON f.n = g.n AND f.lead = g.lead AND f.line = g.line),
-r AS (SELECT joint, n, template, min((did, no)) AS first FROM t GROUP BY ALL HAVING count(DISTINCT (did, text)) >= 5),
-o AS (SELECT t.did, t.text, list(t.no) AS gone FROM t JOIN r USING (joint, n, template) WHERE (t.did, t.no) <> r.first GROUP BY ALL)
+f AS MATERIALIZED (SELECT *, len(toks) AS n FROM k WHERE len(toks) > 0),
+u AS MATERIALIZED (SELECT n, lead, line, any_value(toks) AS toks, count(*) AS lines, count(DISTINCT (did, text)) AS docs, min((did, no)) AS first FROM f GROUP BY n, lead, line),
+eq AS (SELECT line, first FROM u WHERE docs >= CASE WHEN n < 4 THEN 20 ELSE 2 END),
+v AS (SELECT n || chr(1) || lead AS leaf, line, lines, toks FROM u WHERE n >= 4),
+r0 AS MATERIALIZED (SELECT * FROM v WHERE leaf IN (SELECT leaf FROM v GROUP BY leaf HAVING count(*) > 1 AND sum(lines) >= 5)),
+{"".join(level_sql(i) for i in range(LEVELS))}
+g AS MATERIALIZED ({" UNION ALL ".join(f"SELECT * FROM g{i}" for i in range(LEVELS))}),
+m AS MATERIALIZED (SELECT f.did, f.text, f.no, g.family FROM f JOIN g USING (line)),
+fr AS (SELECT family, min((did, no)) AS first FROM m GROUP BY family HAVING count(DISTINCT (did, text)) >= 5),
+lost AS (SELECT did, text, no FROM f JOIN eq USING (line) WHERE (did, no) <> first UNION SELECT did, text, no FROM m JOIN fr USING (family) WHERE (did, no) <> first),
+o AS (SELECT did, text, list(no) AS gone FROM lost GROUP BY ALL)
 SELECT d.doc_id, CASE WHEN o.gone IS NULL THEN d.text ELSE
          array_to_string([q[1] FOR q IN list_zip(string_split(d.text, chr(10)), range(len(string_split(d.text, chr(10))))) IF NOT list_contains(o.gone, q[2])], chr(10)) END AS text,
        CASE WHEN d.text IS NULL THEN 0 ELSE len(string_split(d.text, chr(10))) END::BIGINT AS n_lines,
@@ -97,16 +107,22 @@ SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(len(gone), 0)::BIGINT AS n
 FROM d LEFT JOIN p USING (rid)
 """
 
+
+
+def tokens_sql(text: str, version: str) -> str:
+    pattern, marks = VERSIONS[version]
+    found = f"len(regexp_extract_all({text}, '{pattern}'))"
+    return f"({found} + length(regexp_replace({text}, '[^!-/:-@\\x5B-\\x60{{-~]', '', 'g')))" if marks else found
+
+
 V1, V2 = VERSIONS
 ROLLUP = rf"""
-WITH c AS (SELECT doc_id, source, lang, len(regexp_extract_all(coalesce(text, ''), '{VERSIONS[V1]}')) AS n1,
-             len(regexp_extract_all(coalesce(text, ''), '{VERSIONS[V2]}')) AS n2 FROM documents),
+WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS a, regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g') AS b FROM documents),
+c AS (SELECT doc_id, source, lang, '{V1}' AS tokenizer, {tokens_sql("a", V1)} AS n, {tokens_sql("b", V1)} AS revised FROM t
+      UNION ALL SELECT doc_id, source, lang, '{V2}', {tokens_sql("a", V2)}, {tokens_sql("b", V2)} FROM t),
 m AS (SELECT doc_id, max(toxic) AS toxic, min(quality) AS quality FROM labels GROUP BY doc_id),
-j AS (SELECT c.*, m.toxic, m.quality FROM c LEFT JOIN m USING (doc_id)),
-r AS (SELECT source, lang, '{V2}' AS tokenizer, 1 AS k, n2 AS n FROM j
-      UNION ALL SELECT source, lang, '{V1}', CASE WHEN toxic = 1 THEN 0 ELSE 1 END,
-        CASE WHEN toxic = 1 THEN 0 WHEN quality = 0 THEN n2 ELSE n1 END FROM j)
-SELECT source, lang, tokenizer, sum(k)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM r GROUP BY ALL HAVING sum(k) <> 0 OR sum(n) <> 0
+r AS (SELECT source, lang, tokenizer, CASE WHEN quality = 0 THEN revised ELSE n END AS n FROM c LEFT JOIN m USING (doc_id) WHERE toxic IS DISTINCT FROM 1)
+SELECT source, lang, tokenizer, count(*)::BIGINT AS n_docs, sum(n)::BIGINT AS n_tokens FROM r GROUP BY ALL
 """
 
 
@@ -162,23 +178,20 @@ FROM d LEFT JOIN a USING (rid)
 
 TAIL = "CASE WHEN instr(url, '://') > 0 THEN substr(url, instr(url, '://') + 3) END"
 URLS = rf"""
-WITH u AS (SELECT page_id, url, {TAIL} AS tail FROM pages),
+WITH RECURSIVE u AS (SELECT page_id, url, {TAIL} AS tail FROM pages),
 h AS (SELECT page_id, tail, coalesce(translate(regexp_extract(tail, '^[^/?#]*'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
         coalesce(regexp_extract(tail, '^[^/?#]*([^?#]*)', 1), '') AS path FROM u),
 k AS (SELECT *, list_sort(list_distinct(
-        ['h:' || x FOR x IN list_reverse(list_reverse(string_split(host, '.'))[1:5]) IF x <> '']
-        || ['p:' || x FOR x IN [y FOR y IN string_split(path, '/') IF y <> '' AND NOT regexp_matches(y, '[0-9]')][1:4]]
-        || ['q:' || x FOR x IN [y FOR y IN [regexp_extract(z, '^[^=]*') FOR z IN string_split(coalesce(regexp_extract(tail, '^[^?#]*\?([^#]*)', 1), ''), '&')] IF y <> ''][1:3]])) AS tokens FROM h),
-b AS (SELECT doc_id AS page_id, min(quality) = 0 AS bad FROM labels GROUP BY doc_id),
-t AS (SELECT tokens, bad, row_number() OVER () AS rid FROM k JOIN b USING (page_id) WHERE len(tokens) > 0),
-x AS (SELECT rid, bad, unnest(tokens) AS token FROM t),
-c AS (SELECT rid, bad, [token] AS ts FROM x
-      UNION ALL SELECT a.rid, a.bad, [a.token, b.token] FROM x a JOIN x b ON a.rid = b.rid AND a.token < b.token
-      UNION ALL SELECT a.rid, a.bad, [a.token, b.token, c.token] FROM x a JOIN x b ON a.rid = b.rid AND a.token < b.token JOIN x c ON b.rid = c.rid AND b.token < c.token),
-r AS (SELECT ts FROM c GROUP BY ts HAVING count(*) FILTER (bad) >= ceil(0.005::DOUBLE * (SELECT count(*) FROM t)) AND count(*) FILTER (bad) >= 0.8::DOUBLE * count(*) AND count(*) FILTER (bad) > 0),
+        ['h:' || regexp_replace(x, '[0-9]+', '0', 'g') FOR x IN string_split(host, '.') IF x <> '']
+        || ['p:' || regexp_replace(x, '[0-9]+', '0', 'g') FOR x IN string_split(path, '/') IF x <> '']
+        || ['q:' || regexp_replace(y, '[0-9]+', '0', 'g') FOR y IN [regexp_extract(z, '^[^=]*') FOR z IN string_split(coalesce(regexp_extract(tail, '^[^?#]*\?([^#]*)', 1), ''), '&')] IF y <> ''])) AS tokens FROM h),
 g AS (SELECT * FROM (VALUES ('block', 'net', '/'), ('allow', 'example.net', '/en/'), ('block', 'example.com', '/de/'), ('allow', 'org', '/fr/')) AS v(verdict, rhost, rpath)),
 f AS (SELECT page_id, arg_max((verdict, rhost || rpath), length(rhost) * 1000 + length(rpath)) AS best
       FROM k JOIN g ON (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath) GROUP BY page_id),
+t AS (SELECT tokens, f.best[1] = 'block' AS bad, row_number() OVER () AS rid FROM k JOIN f USING (page_id) WHERE len(tokens) > 0),
+x AS (SELECT rid, bad, unnest(tokens) AS token FROM t),
+c AS (SELECT rid, bad, [token] AS ts, token AS last FROM x UNION ALL SELECT c.rid, c.bad, list_append(c.ts, x.token), x.token FROM c JOIN x ON c.rid = x.rid AND x.token > c.last),
+r AS (SELECT ts FROM c GROUP BY ts HAVING count(*) FILTER (bad) >= ceil(0.005::DOUBLE * (SELECT count(*) FROM t)) AND count(*) FILTER (bad) >= 0.8::DOUBLE * count(*) AND count(*) FILTER (bad) > 0),
 m AS (SELECT DISTINCT page_id FROM k JOIN r ON list_has_all(k.tokens, r.ts))
 SELECT k.page_id, k.host, k.path, f.best[2] AS rule,
        CASE WHEN f.best IS NOT NULL THEN f.best[1] WHEN m.page_id IS NOT NULL THEN 'block' ELSE 'allow' END AS verdict

@@ -20,7 +20,51 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = scratch_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_path = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables, by the very paths just made. Only for tables whose every reader has been written."""
+    for t in tables:
+        spark = t.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(t.staged_path)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+SIEVE_WORDS = 1 << 18  # most words of 64 bits of a sieve: 16 bits a key up to a million keys, fewer beyond
+
+
+def sieve(keys: DataFrame, key: str) -> DataFrame:
+    """(word, bits): a bit map of the keys (bigint), of bounded size, staged. It says which rows may have one of them, so
+    that the others need not be shuffled to a join; what passes is joined, so a full map costs time and no result."""
+    words = min(SIEVE_WORDS, 1 << max(6, (keys.count() // 4).bit_length()))
+    at = F.pmod(F.col(key), F.lit(64 * words))
+    bits = F.bit_or(F.expr(f"shiftleft(1L, CAST(pmod({key}, 64) AS INT))")).alias("bits")
+    return staged(keys.groupBy(F.floor(at / 64).alias("word"), F.lit(words).alias("words")).agg(bits), "sieve")
+
+
+def sieved(rows: DataFrame, key: str, through: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows that may have a key of the sieve, rows that have none); ``key`` names a column or field, never null."""
+    first = through.select("words").first()
+    if first is None:
+        return rows.where(F.lit(False)), rows
+    cols = [F.col(f"`{c}`") for c in rows.columns]
+    own = free_name(rows, "sieve")
+    small = F.broadcast(through.select(F.struct("word", "bits").alias(own)))
+    at = F.floor(F.pmod(F.expr(key), F.lit(64 * first.words)) / 64)
+    met = rows.join(small, at == F.col(f"{own}.word"), "left")
+    hit = F.expr(f"shiftright(coalesce({own}.bits, 0L), CAST(pmod({key}, 64) AS INT)) & 1L") == 1
+    return met.where(hit).select(*cols), met.where(~hit).select(*cols)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, with underscores behind until the table has no such column in any case: for own values that travel along."""
+    there = {c.lower() for c in df.columns}
+    while name.lower() in there:
+        name += "_"
+    return name
 
 
 def n_words(text: Column) -> Column:

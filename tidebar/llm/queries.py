@@ -16,6 +16,9 @@ from tidebar.llm.common import staged
 from tidebar.session import scratch_path
 
 
+JUNK = "#*$%&|<>"
+
+
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{path.rstrip('/')}/{name}.parquet")
 
@@ -46,21 +49,19 @@ def op5_substring_dedup(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op6_token_rollup(spark: SparkSession, path: str) -> DataFrame:
-    """Inserts all documents under the first tokenizer version, deletes the toxic ones, revises the counts of those
-    labelled as poor to the counts of the second version, then sends a batch again and compacts."""
+    """Inserts all documents under every tokenizer version, deletes the toxic ones from every version, and revises each
+    version's own counts of those labelled as poor to those of the text without symbols of junk; then sends a batch again
+    and compacts."""
     docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
-    first, second = token_rollup.VERSIONS
-    counts = staged(token_rollup.counted(docs), "token-counts")
+    counts = staged(token_rollup.counted(docs, revised=F.translate("text", JUNK, "")), "token-counts")
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
-    known = counts.where(F.col("tokenizer") == first)
-    marked = known.join(marks, "doc_id")
-    better = counts.where(F.col("tokenizer") == second).select("doc_id", F.col("tokens").alias("better"))
-    rollup = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
+    marked = counts.join(marks, "doc_id")
     toxic = token_rollup.signed(marked.where("toxic = 1"), old=F.col("tokens"))
+    poor = marked.where("quality = 0 AND NOT toxic <=> 1")
+    rollup = token_rollup.Rollup(spark, scratch_path(spark, "token-rollup"))
     rollup.commit("b1", token_rollup.signed(counts, new=F.col("tokens")))
     rollup.commit("b2", toxic)
-    poor = marked.where("quality = 0 AND NOT toxic <=> 1").join(better, "doc_id")
-    rollup.commit("b3", token_rollup.signed(poor, new=F.col("better"), old=F.col("tokens")))
+    rollup.commit("b3", token_rollup.signed(poor, new=F.col("revised"), old=F.col("tokens")))
     rollup.commit("b2", toxic)
     rollup.compact("base-3")
     return rollup.totals()
@@ -75,10 +76,12 @@ def op8_simhash(spark: SparkSession, path: str) -> DataFrame:
 
 
 def op9_url_rules(spark: SparkSession, path: str) -> DataFrame:
-    """The label of a page is that of the same number in ``labels``: bad if its quality is 0."""
+    """Labelled are the pages that a given rule judges, bad if it blocks them: what their urls have in common is mined and
+    judges the pages that no given rule fits."""
     pages = table(spark, path, "pages").select("page_id", "url")
-    bad = table(spark, path, "labels").groupBy(F.col("doc_id").alias("page_id")).agg((F.min("quality") == 0).alias("bad"))
-    return url_rules.judge(pages, pages.join(bad, "page_id").select("url", "bad"))
+    name, verdict = url_rules.given_rule(url_rules.host_of(F.col("url")), url_rules.path_of(F.col("url")), url_rules.GIVEN)
+    labelled = pages.where(name.isNotNull()).select("url", (verdict == "block").alias("bad"))
+    return url_rules.judge(pages, labelled)
 
 
 def op10_packing(spark: SparkSession, path: str) -> DataFrame:

@@ -4,7 +4,9 @@ A rollup holds additive totals (documents, tokens) by source, language and token
 inserts add, deletes subtract, and a revised count subtracts the old and adds the new. A batch of changes is summed to
 one row per key and written to a folder of its own; a marker in the commit log makes it count. A batch that is sent
 again under its number finds its marker and changes nothing; one that failed before its marker is simply written
-again. ``compact`` folds committed batches into one base, itself a commit that names them.
+again. A number names one content: other changes sent under a committed number are ignored. ``compact`` folds committed
+batches into one base, itself a commit that names them. One writer at a time: two that commit one number at once could
+both pass the look for its marker.
 
 Sums combine before the shuffle, so a source with a third of all rows is one row per task. The folder has to be shared
 by all executors.
@@ -23,15 +25,25 @@ from pyspark.sql import functions as F
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-# Versions of a countable tokenizer: words between white space, and the same with every ASCII mark on its own.
-VERSIONS = {"words-1": r"[^\x20\x09-\x0D]+", "marks-2": r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+|[!-/:-@\x5B-\x60{-~]"}
+MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
+# Versions of a countable tokenizer, as (pattern of a token, ASCII marks that are tokens of their own): words between
+# white space; and runs without ASCII marks and control characters, every mark on its own.
+VERSIONS = {"words-1": (r"[^\x20\x09-\x0D]+", ""), "marks-2": (r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", MARKS)}
 
 
-def counted(docs: DataFrame, versions: dict[str, str] = VERSIONS) -> DataFrame:
-    """(doc_id, source, lang, tokenizer, tokens): one row per document and version, from one pass over the texts."""
+def n_tokens(text: Column, pattern: str, marks: str) -> Column:
+    found = F.regexp_count(text, F.lit(pattern))
+    if marks:
+        found = found + F.length(text) - F.length(F.translate(text, marks, ""))
+    return F.coalesce(found, F.lit(0)).cast("bigint")
+
+
+def counted(docs: DataFrame, versions: dict[str, tuple[str, str]] = VERSIONS, revised: Column | None = None) -> DataFrame:
+    """(doc_id, source, lang, tokenizer, tokens): one row per document and version, from one pass over the texts; with
+    ``revised``, a text derived from the document's, also its count (revised)."""
+    texts = {"tokens": F.col("text")} if revised is None else {"tokens": F.col("text"), "revised": revised}
     n = F.array(*[
-        F.struct(F.lit(v).alias("tokenizer"), F.coalesce(F.regexp_count("text", F.lit(p)), F.lit(0)).cast("bigint").alias("tokens"))
-        for v, p in versions.items()
+        F.struct(F.lit(v).alias("tokenizer"), *[n_tokens(t, *how).alias(c) for c, t in texts.items()]) for v, how in versions.items()
     ])
     rows = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), n.alias("n"))
     return rows.select("doc_id", "source", "lang", F.inline("n"))

@@ -4,10 +4,11 @@ A given rule fits its host and all hosts below it if the path starts with the ru
 path). URLs that no given rule fits are judged by mined rules: FP-growth finds token combinations of labelled URLs
 that are bad in ``confidence`` of at least ``support`` of them, and a URL with all tokens of such a rule is blocked.
 
-A mined rule is entered in an inverted index under its rarest token, so a URL meets only the rules of the tokens that
-it has, and a token that half of all URLs share brings no rules with it. Their number is bounded by the support: a URL
-has at most ``TOKENS`` tokens, so there are at most C(TOKENS, up to 3) / support of them, whatever the table's size.
-Distinct token lists are matched once.
+Tokens are all host labels, all path segments and all parameter names of a URL, each with its runs of digits written as 0,
+so that page numbers fall together and no segment is lost. Rules are those that no shorter rule is part of, of any
+length; the support bounds their number. A mined rule is entered in an inverted index under its rarest token, so a URL
+meets only the rules of the tokens that it has, and a token that half of all URLs share brings no rules with it. Distinct
+token lists are matched once.
 
 Edge cases: a null url, or one without "://", has empty host and path and no tokens, so no rule and verdict allow. An
 empty table, no labels or no bad label give no mined rules. Repeated rows are judged alike, labels that disagree count
@@ -25,8 +26,6 @@ from pyspark.sql import functions as F
 from tidebar.llm.common import staged
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-HOSTS, SEGMENTS, PARAMS = 5, 4, 3
-TOKENS = HOSTS + SEGMENTS + PARAMS
 BAD = "=bad"
 
 
@@ -69,36 +68,39 @@ def given_rule(host: Column, path: Column, given: tuple[Given, ...]) -> tuple[Co
 
 
 def tokens_of(url: Column) -> Column:
-    """Distinct tokens: the last host labels, the first path segments without digits, the first parameter names."""
-    labels = F.reverse(F.slice(F.reverse(F.split(host_of(url), "\\.")), 1, HOSTS))
-    steps = F.filter(F.split(path_of(url), "/"), lambda s: (s != "") & ~s.rlike("[0-9]"))
+    """Distinct tokens: host labels, path segments and parameter names, runs of digits as 0."""
     query = F.regexp_extract(behind(url), "^[^?#]*\\?([^#]*)", 1)
     params = F.transform(F.split(query, "&"), lambda p: F.regexp_extract(p, "^[^=]*", 0))
-    mark = lambda sign, xs: F.transform(F.filter(xs, lambda s: s != ""), lambda s: F.concat(F.lit(sign), s))
-    every = F.concat(mark("h:", labels), F.slice(mark("p:", steps), 1, SEGMENTS), F.slice(mark("q:", params), 1, PARAMS))
+    def mark(sign: str, parts: Column) -> Column:
+        return F.transform(F.filter(parts, lambda s: s != ""), lambda s: F.concat(F.lit(sign), F.regexp_replace(s, "[0-9]+", "0")))
+
+    every = F.concat(mark("h:", F.split(host_of(url), "\\.")), mark("p:", F.split(path_of(url), "/")), mark("q:", params))
     return F.coalesce(F.array_sort(F.array_distinct(every)), F.array().cast("array<string>"))
 
 
-def mined_rules(labelled: DataFrame, support: float, confidence: float, longest: int = 3) -> DataFrame:
-    """(tokens, anchor): token lists that are bad; ``labelled`` has (url, bad). All labelled rows are mined."""
+def mined_rules(labelled: DataFrame, support: float, confidence: float) -> DataFrame:
+    """(tokens, anchor): token lists that are bad, none part of another, staged; ``labelled`` has (url, bad). All labelled
+    rows are mined."""
     spark = labelled.sparkSession
     none = spark.createDataFrame([], "tokens array<string>, anchor string")
     rows = labelled.where("bad IS NOT NULL").select(tokens_of(F.col("url")).alias("tokens"), "bad")
     rows = rows.where(F.size("tokens") > 0).select("tokens", F.when(F.col("bad"), F.concat("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
-    if rows.where(F.array_contains("items", BAD)).limit(1).count() == 0:
+    if rows.where(F.array_contains("items", BAD)).isEmpty():
         return none
     model = FPGrowth(itemsCol="items", minSupport=support, minConfidence=confidence).fit(rows.select("items"))
-    rules = model.associationRules.where(F.array_contains("consequent", BAD) & (F.size("antecedent") <= longest))
-    rules = rules.select(F.array_sort("antecedent").alias("tokens"))
+    rules = model.associationRules.where(F.array_contains("consequent", BAD)).select(F.array_sort("antecedent").alias("tokens"))
     often = rows.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count("*").alias("n"))
     each = rules.select("tokens", F.explode("tokens").alias("token")).join(often, "token")
-    return each.groupBy("tokens").agg(F.min(F.struct("n", "token")).alias("rare")).select("tokens", F.col("rare.token").alias("anchor"))
+    each = each.groupBy("tokens").agg(F.min(F.struct("n", "token")).alias("rare")).select("tokens", F.col("rare.token").alias("anchor"))
+    each = staged(each, "url-rules")
+    return staged(each.join(bad_token_lists(each.select("tokens"), each, proper=True), "tokens", "left_anti"), "url-rules")
 
 
-def bad_token_lists(lists: DataFrame, rules: DataFrame) -> DataFrame:
-    """The distinct token lists that some rule is part of."""
+def bad_token_lists(lists: DataFrame, rules: DataFrame, proper: bool = False) -> DataFrame:
+    """The distinct token lists that some rule is part of; ``proper``: some other, shorter rule."""
     index = rules.select(F.col("tokens").alias("rule_tokens"), "anchor")
     met = lists.select("tokens", F.explode("tokens").alias("anchor")).join(index, "anchor")
+    met = met.where(F.size("rule_tokens") < F.size("tokens")) if proper else met
     return met.where(F.size(F.array_except("rule_tokens", "tokens")) == 0).select("tokens").distinct()
 
 
