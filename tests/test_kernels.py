@@ -2,6 +2,7 @@
 
 import math
 import random
+from datetime import datetime, timedelta
 
 import pandas as pd
 import pytest
@@ -113,6 +114,55 @@ def test_blocks_equal_plain_windows(spark):
     assert rows(r.select("i", F.round("m", 9)), "i") == rows(plain, "i")
 
 
+def test_a_day_with_most_rows_is_cut_by_row_count(spark, monkeypatch):
+    """90% of the rows in one day: no block above a fraction of them, and the results of the plain windows."""
+    from pyspark.sql import Window as W
+
+    rng = random.Random(9)
+    start = datetime(2024, 3, 7)
+    data = [(None if rng.random() < 0.3 else "k", start + timedelta(seconds=rng.randrange(86_400) if i % 10 else rng.randrange(-4_000_000, 4_000_000)), i, float(i % 7) if i % 5 == 0 else None) for i in range(4000)]
+    d = spark.createDataFrame(data, "k string, ts timestamp, i int, x double")
+    most = lambda df: df.groupBy("k", blocks.BLOCK).count().agg(F.max("count")).first()[0]
+    assert most(blocks.with_blocks(d, ["k"], "ts", "month")) > 2000
+    assert most(blocks.with_blocks(d, ["k"], "ts", "month", rows=100)) <= 100
+    w = W.partitionBy("k").orderBy("ts", "i").rowsBetween(W.unboundedPreceding, 0)
+    want = rows(d.select("i", F.sum(F.coalesce("x", F.lit(0.0))).over(w), F.last("x", ignorenulls=True).over(w), F.row_number().over(W.partitionBy("k").orderBy("ts", "i"))), "i")
+    got = blocks.running_sum(d, ["k"], ["ts", "i"], {"s": "x"}, rows=100)
+    got = blocks.carry_forward(got, ["k"], ["ts", "i"], {"l": "x"}, rows=100)
+    got = blocks.row_positions(got, ["k"], ["ts", "i"], "p", rows=100)
+    assert rows(got.select("i", "s", "l", "p"), "i") == want
+    monkeypatch.setattr("tidebar.operators.joins.ROWS", 100)
+    marks = d.where("x IS NOT NULL").select("ts", F.col("i").alias("j"))
+    met = rows(asof_join(d.select("i", "ts"), marks, "ts", "ts", cols=["j"], tie=["j"], span="year").select("i", "j"), "i")
+    line = sorted((r.ts, r.j) for r in marks.collect())
+    at = {r.i: r.ts for r in d.collect()}
+    assert met == [(i, max((m for m in line if m[0] <= at[i]), default=(None, None))[1]) for i in sorted(at)]
+
+
+def test_similarity_join_finds_all_pairs_with_a_hot_token(spark):
+    """A token in a third of the sets is cut into tiles; every similar pair is found and no group exceeds a tile."""
+    from tidebar.operators import setjoin
+
+    rng = random.Random(3)
+    sets = [sorted({f"w{rng.randrange(60)}" for _ in range(rng.randint(2, 25))} | ({"hot"} if i % 3 == 0 else set())) for i in range(500)]
+    sets += [[x for x in s if rng.random() < 0.9] for s in sets[:200]]
+    sets = [list(x) for x in {tuple(s) for s in sets}]
+    d = spark.createDataFrame(list(enumerate(sets)), "id bigint, toks array<string>")
+    want = {}
+    for a, x in enumerate(sets):
+        for b in range(a + 1, len(sets)):
+            both = len(set(x) & set(sets[b]))
+            j = both / (len(x) + len(sets[b]) - both) if min(len(x), len(sets[b])) >= 4 else 0
+            if j >= 0.6:
+                want[a, b] = j
+    for tile in (setjoin.TILE, 20):
+        got = {(r.a, r.b): r.jaccard for r in setjoin.similar_pairs(d, "id", "toks", 0.6, 4, tile).collect()}
+        assert got == want and len(want) > 100
+    named = setjoin.entered(d.where("size(toks) >= 4").select(F.col("id").alias("k"), F.col("toks").alias("t")), 0.6)
+    largest = lambda tile: setjoin.dealt(named, tile).groupBy("tile").count().agg(F.max("count")).first()[0]
+    assert largest(setjoin.TILE) > 60 and largest(20) <= 40
+
+
 def test_asof_ties_and_age(spark):
     left = spark.createDataFrame([(1, "2024-01-01 10:00:00"), (2, "2024-01-01 09:59:59"), (3, "2024-03-05 00:00:00")], "i int, t string").withColumn("t", F.col("t").cast("timestamp"))
     right = spark.createDataFrame([("2024-01-01 10:00:00", 7)], "at string, v int").withColumn("at", F.col("at").cast("timestamp"))

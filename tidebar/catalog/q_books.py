@@ -271,14 +271,13 @@ def _x13(t):
     return ledger.rebalance_plan(a, b, ["ts"])
 
 
-@query("o8_sells_first", "seq:i symbol side", f"""
-SELECT row_number() OVER (ORDER BY CASE WHEN tgt < cur THEN 0 ELSE 1 END, symbol) AS seq, symbol, CASE WHEN tgt < cur THEN 'sell' ELSE 'buy' END AS side FROM (
- SELECT a.symbol, a.pos * 0.3 AS tgt, b.pos * 0.25 AS cur FROM ({donchian_pos(20, 10)}) a JOIN ({donchian_pos(55, 27)}) b USING (symbol, ts)
- WHERE ts = TIMESTAMP '2000-11-20') WHERE abs(tgt - cur) > 0.02""")
+@query("o8_sells_first", "ts:t seq:i symbol side", f"""
+SELECT ts, row_number() OVER (PARTITION BY ts ORDER BY CASE WHEN tgt < cur THEN 0 ELSE 1 END, symbol) AS seq, symbol, CASE WHEN tgt < cur THEN 'sell' ELSE 'buy' END AS side FROM (
+ SELECT a.symbol, ts, a.pos * 0.3 AS tgt, b.pos * 0.25 AS cur FROM ({donchian_pos(20, 10)}) a JOIN ({donchian_pos(55, 27)}) b USING (symbol, ts)) WHERE abs(tgt - cur) > 0.02""")
 def _o8(t):
     from pyspark.sql import Window as W
 
-    plan = _x13(t).where("ts = timestamp '2000-11-20'")
+    plan = _x13(t)
     first = F.when(F.col("side") == "sell", 0).otherwise(1)
     # a day's plan holds at most one row per symbol of the book
     return ledger.ordered_plan(plan, ["symbol"]).withColumn("seq", F.row_number().over(W.partitionBy("ts").orderBy(first, "symbol")))
@@ -340,9 +339,9 @@ def _x14(t):
 # ---------------- review ----------------
 
 
-@query("x29_book_review", "book n_days:i cum_paper:5 cum_model:5 te_ann:5 sharpe_paper:4 sharpe_model:4", f"""
+@query("x29_book_review", "book n_days:i cum_paper:5 cum_model:e6 te_ann:e6 sharpe_paper:4 sharpe_model:4", f"""
 WITH r AS (SELECT book, day, equity / coalesce(lag(equity) OVER (PARTITION BY book ORDER BY day), {CAPITAL}) - 1 AS ret FROM equity_d),
-m AS (SELECT ts AS day, avg(greatest(least(ret, 0.01), -0.01)) AS net FROM bt_in WHERE symbol = 'NO' GROUP BY ts),
+m AS (SELECT ts AS day, avg(ret) AS net FROM bt_in GROUP BY ts),
 j AS (SELECT book, ret, coalesce(net, 0) AS model FROM r LEFT JOIN m USING (day))
 SELECT book, count(*) AS n_days, product(1 + ret) - 1 AS cum_paper, product(1 + model) - 1 AS cum_model, stddev_samp(ret - model) * sqrt(365.0) AS te_ann,
  {sharpe('ret')} AS sharpe_paper, {sharpe('model')} AS sharpe_model FROM j GROUP BY 1""")
@@ -351,12 +350,11 @@ def _x29(t):
 
 
 def _paper_and_model(t):
-    from tidebar.functions.columns import clip
     from tidebar.plans.backtest import bar_inputs
 
     paper = review.paper_returns(equity(t), ["book"], CAPITAL)
-    ret = bar_inputs(t.bars).where("symbol = 'NO'")
-    model = ret.select(F.col("ts").alias("day"), clip("ret", -0.01, 0.01).alias("net"))
+    # the model holds all symbols in equal parts
+    model = bar_inputs(t.bars).groupBy(F.col("ts").alias("day")).agg(F.avg("ret").alias("net"))
     return paper, model.crossJoin(F.broadcast(t.trades.select("book").distinct()))
 
 
@@ -367,20 +365,24 @@ def _x29b(t):
     return review.band_flags(r, bootstrap.block_band(model, ["book"], "day", "net", 60), ["book"])
 
 
-@query("e4_session_providers", "provider symbol n:i", """
-SELECT 'vendor_csv' AS provider, symbol, count(*) AS n FROM sessions WHERE symbol = '2-HIGH' GROUP BY 2
-UNION ALL SELECT 'index_csv', symbol, count(*) FROM sessions WHERE symbol = '5-LOW' GROUP BY 2""")
+@query("e4_session_providers", "provider symbol n:i first:d close:5 volume:1", """
+SELECT provider, symbol, count(*) AS n, min(session_date) AS first, avg(close) AS close, sum(volume) AS volume
+FROM sessions CROSS JOIN (SELECT unnest(['vendor_csv', 'index_csv', 'chart_json']) AS provider) GROUP BY 1, 2""")
 def _e4(t):
+    from tidebar.functions.times import seconds
     from tidebar.sources.readers import read_sessions
 
     now = F.lit("2010-01-01 00:00:00").cast("timestamp")
-    parts = []
-    for name, sym in (("vendor_csv", "2-HIGH"), ("index_csv", "5-LOW")):
-        path = scratch_path(t.spark, "e4")
-        cols = [F.col(c).cast("string").alias(c.upper()) for c in ("open", "high", "low", "close", "volume")]
-        t.sessions.where(F.col("symbol") == sym).select(F.col("session_date").cast("string").alias("Date"), *cols).write.option("header", True).csv(path)
-        parts.append(read_sessions(name, t.spark, path, sym, now))
-    u = parts[0].unionByName(parts[1])
-    return u.groupBy(F.col("source").alias("provider"), "symbol").agg(F.count(F.lit(1)).alias("n"))
-
-
+    cols = ("open", "high", "low", "close", "volume")
+    csv, json = scratch_path(t.spark, "e4"), scratch_path(t.spark, "e4")
+    text = [F.col(c).cast("string").alias(c.upper()) for c in cols]
+    t.sessions.select("symbol", F.col("session_date").cast("string").alias("Date"), *text).write.partitionBy("symbol").option("header", True).csv(csv)
+    # a symbol's chart is one file, whose parallel arrays hold all its sessions
+    bar = F.struct(seconds("bar_start").cast("long").alias("timestamp"), *cols)
+    bars = t.sessions.groupBy("symbol").agg(F.collect_list(bar).alias("_b"))
+    body = F.to_json(F.struct(*[F.col("_b")[c].alias(c) for c in ("timestamp", *cols)]))
+    bars.select("symbol", body.alias("body")).write.partitionBy("symbol").text(json)
+    read = [read_sessions(name, t.spark, json if name == "chart_json" else csv, None, now) for name in ("vendor_csv", "index_csv", "chart_json")]
+    u = read[0].unionByName(read[1]).unionByName(read[2])
+    return u.groupBy(F.col("source").alias("provider"), "symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.min("session_date").alias("first"), F.avg("close").alias("close"), F.sum("volume").alias("volume"))

@@ -251,7 +251,7 @@ def _a17(t):
     return aggregates.multiplier_stats(overlay.baseline_forecasts(tagged(t), with_har=False))
 
 
-_SC = ["c_vol20", "c_range", "x_spy_ret20", "x_vix_log", "x_gld_ma20"]
+_SC = X.ALL_FEATURES
 _OWN = {c: m for cols, m in X.GROUPS.values() for c in cols}
 _fit = " UNION ALL ".join(
     f"SELECT fold, '{c}' AS feature, CASE WHEN count(v) > 20 THEN avg(v) ELSE 0 END AS mean, CASE WHEN count(v) > 20 AND stddev_samp(v) > 1e-9 THEN stddev_samp(v) ELSE 1 END AS std "
@@ -265,11 +265,12 @@ def _p15(t):
 
 
 _z = ", ".join(
-    f"avg({f'CASE WHEN {_OWN[c]} = 0 THEN 0 ELSE' if c in _OWN else 'CASE WHEN FALSE THEN 0 ELSE'} coalesce(CASE WHEN {c} IS NOT NULL THEN greatest(least(({c} - (SELECT mean FROM scaler z WHERE z.fold = s.fold AND feature = '{c}')) "
-    f"/ (SELECT std FROM scaler z WHERE z.fold = s.fold AND feature = '{c}'), 8), -8) END, 0) END) AS {c}" for c in _SC)
+    f"avg({f'CASE WHEN {_OWN[c]} = 0 THEN 0 ELSE' if c in _OWN else 'CASE WHEN FALSE THEN 0 ELSE'} coalesce(CASE WHEN {c} IS NOT NULL THEN greatest(least(({c} - m['{c}'].mean) / m['{c}'].std, 8), -8) END, 0) END) AS {c}" for c in _SC)
 
 
-@query("p15_scaled_features", "fold:i split " + " ".join(f"{c}:5" for c in _SC), f"SELECT fold, split, {_z} FROM feat_split s WHERE split IS NOT NULL GROUP BY fold, split")
+@query("p15_scaled_features", "fold:i split " + " ".join(f"{c}:5" for c in _SC), f"""
+WITH m AS (SELECT fold, map_from_entries(list((feature, {{'mean': mean, 'std': std}}))) AS m FROM scaler GROUP BY fold)
+SELECT fold, split, {_z} FROM feat_split JOIN m USING (fold) WHERE split IS NOT NULL GROUP BY fold, split""")
 def _p15b(t):
     g = tagged(t)
     sc = X.fit_scaler(g.where("split = 'train'"), ["fold"], _SC)

@@ -129,14 +129,14 @@ CAL = "(SELECT DISTINCT session_date, available_at FROM sessions)"
 
 
 @query("t5_catch_up_days", "book day:d", """
-WITH spine AS (SELECT b.book, d.day FROM (SELECT DISTINCT book FROM trades) b CROSS JOIN (SELECT DISTINCT CAST(ts AS DATE) AS day FROM bars WHERE ts >= TIMESTAMP '1999-01-01') d),
+WITH spine AS (SELECT b.book, d.day FROM (SELECT DISTINCT book FROM trades) b CROSS JOIN (SELECT DISTINCT CAST(ts AS DATE) AS day FROM bars) d),
 runs AS (SELECT DISTINCT book, day FROM trades WHERE day < DATE '2000-01-01'),
 good AS (SELECT CAST(ts AS DATE) AS day FROM bars GROUP BY 1 HAVING count(DISTINCT symbol) = 6),
 todo AS (SELECT * FROM spine ANTI JOIN runs USING (book, day)),
 stop AS (SELECT book, min(day) AS s FROM todo ANTI JOIN good USING (day) GROUP BY book)
 SELECT book, day FROM todo LEFT JOIN stop USING (book) WHERE s IS NULL OR day < s""")
 def _t5(t):
-    days = t.bars.where("ts >= timestamp '1999-01-01'").select(F.col("ts").cast("date").alias("day")).distinct()
+    days = t.bars.select(F.col("ts").cast("date").alias("day")).distinct()
     spine = days.crossJoin(F.broadcast(t.trades.select("book").distinct()))
     runs = t.trades.where("day < date '2000-01-01'").select("book", "day")
     good = joins.complete_dates(t.bars, "ts", "symbol", "close").select(F.col("ts").cast("date").alias("day"))

@@ -121,24 +121,25 @@ def _s8(t):
     return readers.shape_flow_html(page.withColumn("html", html), "asset", "html", F.lit("2024-02-01"))
 
 
-@query("s8_html_cells", "page_id:i n_cells:i", "SELECT page_id, 0 AS n_cells FROM pages WHERE html LIKE '%<tr%'")
+# the lists of the pages as tables: an item becomes a row of its number of characters and its text
+@query("s8_html_cells", "page_id:i n_cells:i first last", r"""
+WITH l AS (SELECT page_id, unnest(regexp_extract_all(html, '<li>(.*?)</li>', 1)) AS item FROM pages)
+SELECT page_id, 2 AS n_cells, 'li' AS first, trim(regexp_replace(item, '<[^>]*>', '', 'g')) AS last FROM l""")
 def _s8b(t):
-    cells = readers.html_rows(t.pages.select("page_id", "html"), ["page_id"], "html")
-    return cells.select("page_id", F.size("cells").alias("n_cells"))
+    table = F.replace(F.replace("html", F.lit("<li>"), F.lit("<TR class='i'><th>li</th><td>&nbsp;")), F.lit("</li>"), F.lit("</td >\n</TR>"))
+    cells = readers.html_rows(t.pages.select("page_id", table.alias("html")), ["page_id"], "html")
+    return cells.select("page_id", F.size("cells").alias("n_cells"), F.get("cells", F.lit(0)).alias("first"), F.get("cells", F.lit(1)).alias("last"))
 
 
 @query("s9_vendor_csv", "symbol session_date:d open:6 close:6", """
-SELECT symbol, session_date, open, CASE WHEN volume >= 2 THEN close END AS close FROM sessions
-WHERE session_date BETWEEN DATE '1996-01-01' AND DATE '1999-12-31' AND symbol = '1-URGENT'""")
+SELECT symbol, session_date, open, CASE WHEN volume >= 2 THEN close END AS close FROM sessions""")
 def _s9(t):
-    s = t.sessions.where("symbol = '1-URGENT'")
-    raw = s.select(
-        F.col("session_date").cast("string").alias(" DATE "), F.col("open").cast("string").alias("Open"),
+    raw = t.sessions.select(
+        "symbol", F.col("session_date").cast("string").alias(" DATE "), F.col("open").cast("string").alias("Open"),
         F.when(F.col("volume") >= 2, F.col("close").cast("string")).otherwise(".").alias("CLOSE"))
     path = scratch_path(t.spark, "s9")
-    raw.write.option("header", True).csv(path)
-    lo, hi = F.lit("1996-01-01").cast("date"), F.lit("1999-12-31").cast("date")
-    return readers.read_vendor_csv(t.spark, path, "1-URGENT", first=lo, last=hi)
+    raw.write.partitionBy("symbol").option("header", True).csv(path)
+    return readers.read_vendor_csv(t.spark, path)
 
 
 @query("s10_chart_json", "symbol session_date:d close:4 volume:1", """

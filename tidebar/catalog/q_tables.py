@@ -178,13 +178,15 @@ def _p14(t):
 SELECT symbol, decision_ts - INTERVAL 1 DAY AS ts, close, session_date, x_close,
   (epoch_us(decision_ts) - epoch_us(bar_end)) / 86400e6 AS days_since FROM (
   {asof("(SELECT symbol, ts + INTERVAL 1 DAY AS decision_ts, close FROM bars)",
-        "(SELECT session_date, available_at, bar_end, close AS x_close FROM sessions WHERE symbol = '1-URGENT')",
+        "(SELECT max(session_date) AS session_date, available_at, max(bar_end) AS bar_end, avg(close) AS x_close FROM sessions GROUP BY available_at)",
         '', 'decision_ts', 'available_at', 'r.session_date, r.bar_end, r.x_close')})""")
 def _j1(t):
     from tidebar.functions.times import staleness_days
 
     left = t.bars.select("symbol", "ts", "close", plus_days("ts", 1).alias("decision_ts"))
-    right = t.sessions.where("symbol = '1-URGENT'").select("session_date", "available_at", "bar_end", F.col("close").alias("x_close"))
+    # the session market as a whole: one row per time at which it becomes known
+    right = t.sessions.groupBy("available_at").agg(
+        F.max("session_date").alias("session_date"), F.max("bar_end").alias("bar_end"), F.avg("close").alias("x_close"))
     out = joins.asof_join(left, right, "decision_ts", "available_at", cols=["session_date", "bar_end", "x_close"], span="year")
     return out.withColumn("days_since", staleness_days("decision_ts", "bar_end"))
 
@@ -461,15 +463,19 @@ def _o5(t):
     return selection.best_variant(s, ["symbol"], "sr", "grid_order", ["params"]).where("sr > 0")
 
 
+# each width trades the sign of the change over so many bars before
 @query("o6_parameter_choice", "symbol best_width:i", f"""
+WITH m AS (SELECT symbol, ret, sign(lag(close) {sqlwin()} - lag(close, 33) {sqlwin()}) AS a, sign(lag(close) {sqlwin()} - lag(close, 65) {sqlwin()}) AS b,
+  sign(lag(close) {sqlwin()} - lag(close, 129) {sqlwin()}) AS c FROM ret_bars)
 SELECT symbol, arg_max(width, row(s, -width)) AS best_width FROM (SELECT symbol, width, round({sharpe('x')}, 2) AS s FROM (
-  SELECT symbol, width, CASE WHEN width = 32 THEN ret ELSE ret * 1.0 END AS x FROM ret_bars CROSS JOIN (SELECT unnest([32, 64, 128]) AS width)) GROUP BY 1, 2) GROUP BY 1""")
+  SELECT symbol, width, CASE width WHEN 32 THEN ret * a WHEN 64 THEN ret * b ELSE ret * c END AS x FROM m CROSS JOIN (SELECT unnest([32, 64, 128]) AS width)) GROUP BY 1, 2) GROUP BY 1""")
 def _o6(t):
     from tidebar.operators.metrics import sharpe as sh
 
-    r = t.bars.select("symbol", win.pct_change("close", w()).alias("x"))
-    widths = t.spark.createDataFrame([(32,), (64,), (128,)], "width long")
-    s = r.crossJoin(F.broadcast(widths)).groupBy("symbol", "width").agg(sh("x").alias("s"))
+    side = lambda n: F.signum(F.lag("close").over(w()) - F.lag("close", n + 1).over(w())).alias("side")
+    trades = F.array(*[F.struct(F.lit(n).cast("long").alias("width"), side(n)) for n in (32, 64, 128)])
+    r = t.bars.select("symbol", win.pct_change("close", w()).alias("x"), trades.alias("_w")).select("symbol", "x", F.inline("_w"))
+    s = r.groupBy("symbol", "width").agg(sh(F.col("x") * F.col("side")).alias("s"))
     return selection.widest_first(s, ["symbol"], "s", "width", 2)
 
 

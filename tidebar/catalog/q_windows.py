@@ -162,15 +162,14 @@ def _w16(t):
     return n.withColumn("ret_next", F.try_divide(F.col("close_next"), F.col("close")) - 1)
 
 
-@query("w17_equity_drawdown", f"{K} equity:6 drawdown:6", f"""
+@query("w17_equity_drawdown", f"{K} equity:e6 drawdown:6", f"""
 SELECT symbol, ts, eq AS equity, eq / max(eq) {sqlwin(frame='ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} - 1 AS drawdown
 FROM (SELECT symbol, ts, product(1 + r) {sqlwin(frame='ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW')} AS eq
-  FROM (SELECT symbol, ts, greatest(least(ret, 0.02), -0.02) AS r FROM ret_bars WHERE ret IS NOT NULL))""")
+  FROM (SELECT symbol, ts, ret AS r FROM ret_bars WHERE ret IS NOT NULL))""")
 def _w17(t):
-    from tidebar.functions.columns import clip
     from tidebar.operators.metrics import with_drawdown
 
-    r = t.bars.select("symbol", "ts", clip(win.pct_change("close", w()), -0.02, 0.02).alias("r"))
+    r = t.bars.select("symbol", "ts", win.pct_change("close", w()).alias("r"))
     return with_drawdown(r, ["symbol"], "ts", "r")
 
 

@@ -9,6 +9,10 @@ work inside blocks, and pass a one-row summary per block forward:
    those summaries (rows = blocks per key, bounded by the calendar);
 3. an equi-join of the summaries back on (keys, block).
 
+A calendar block can hold most of a log itself. With ``rows``, blocks above that many rows are cut again: their instants
+are summed up to edges with about equally many rows between, so a day with 90% of all rows spreads like any other. One
+count per block, combined map-side, tells which blocks these are. Rows of one instant stay together.
+
 The results equal those of the plain unbounded window.
 """
 
@@ -21,12 +25,36 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from tidebar.functions.columns import col
+from tidebar.session import cut_lineage
 
 BLOCK = "_block"
-
-
-def _with_block(df: DataFrame, ts: str, span: str) -> DataFrame:
-    return df.withColumn(BLOCK, F.date_trunc(span, F.col(ts)))
+ROWS = 1 << 20  # rows of a calendar block above which it is cut
+CUTS = 256  # parts of such a block
+
+
+def with_blocks(df: DataFrame, keys: list[str], ts: str, span: str, rows: int | None = None) -> DataFrame:
+    """Add ``_block``, a value that does not decrease with time: the calendar's ``span``, and above ``rows`` rows a part of it."""
+    named = df.withColumn(BLOCK, F.date_trunc(span, F.col(ts)))
+    if rows is None:
+        return named
+    parts = [*keys, BLOCK]
+    large = cut_lineage(named.groupBy(*parts).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > rows).drop("_n"))
+    if large.isEmpty():
+        return named
+    instant = F.col(ts).cast("timestamp").cast("double")
+    edges = F.percentile_approx(instant, [i / CUTS for i in range(1, CUTS)], 20 * CUTS)
+    times = _join_summary(named.select(*parts, ts), large.withColumn("_large", F.lit(True)), keys).where("_large")
+    cuts = cut_lineage(times.groupBy(*parts).agg(edges.alias("_edges")))
+    out = _join_summary(named, cuts, keys)
+    return out.withColumn(BLOCK, F.struct(BLOCK, F.coalesce(_step(instant), F.lit(0)).alias("part"))).drop("_edges")
+
+
+def _step(x: Column) -> Column:
+    """Number of ``_edges`` below x, sought among every ``step``-th and then among the ``step`` behind it."""
+    step = int(CUTS**0.5)
+    coarse = F.transform(F.sequence(F.lit(step), F.greatest(F.size("_edges"), F.lit(step)), F.lit(step)), lambda i: F.get("_edges", i - 1))
+    full = F.size(F.filter(coarse, lambda e: e < x))
+    return full * step + F.size(F.filter(F.slice("_edges", full * step + 1, F.lit(step)), lambda e: e < x))
 
 
 def _join_summary(inner: DataFrame, summary: DataFrame, keys: list[str]) -> DataFrame:
@@ -48,13 +76,14 @@ def running_sum(
     values: dict[str, Column | str],
     span: str = "month",
     block: Column | None = None,
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``name`` = running sum of each value in ``order`` (first element is the time).
 
     ``block`` replaces the calendar block where the order is not a time; it must
     not decrease along the order.
     """
-    d = _with_block(df, order[0], span) if block is None else df.withColumn(BLOCK, block)
+    d = with_blocks(df, keys, order[0], span, rows) if block is None else df.withColumn(BLOCK, block)
     for name, v in values.items():
         d = d.withColumn(f"_v_{name}", F.coalesce(col(v), F.lit(0.0)))
     totals = d.groupBy(*keys, BLOCK).agg(
@@ -75,10 +104,10 @@ def running_sum(
 
 
 def row_positions(
-    df: DataFrame, keys: list[str], order: list[str], out: str = "pos", span: str = "month"
+    df: DataFrame, keys: list[str], order: list[str], out: str = "pos", span: str = "month", rows: int | None = None
 ) -> DataFrame:
     """1-based position of each row in its series."""
-    d = _with_block(df, order[0], span)
+    d = with_blocks(df, keys, order[0], span, rows)
     totals = d.groupBy(*keys, BLOCK).agg(F.count(F.lit(1)).alias("_t"))
     earlier = W.partitionBy(*keys).orderBy(BLOCK).rowsBetween(W.unboundedPreceding, -1)
     carried = totals.select(*keys, BLOCK, F.coalesce(F.sum("_t").over(earlier), F.lit(0)).alias("_c"))
@@ -120,9 +149,10 @@ def carry_forward(
     order: list[str],
     values: dict[str, str],
     span: str = "month",
+    rows: int | None = None,
 ) -> DataFrame:
     """Add ``out`` = last non-null ``value`` at or before each row, per series."""
-    d = _with_block(df, order[0], span)
+    d = with_blocks(df, keys, order[0], span, rows)
     inside = W.partitionBy(*keys, BLOCK).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
     where = F.struct(*order)
     summary = d.groupBy(*keys, BLOCK).agg(

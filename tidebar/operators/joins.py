@@ -8,22 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import col, num
 from tidebar.functions.times import hours_before, plus_days, seconds
-from tidebar.operators.blocks import BLOCK, carry_forward
-
-# Sides below this many bytes may be broadcast. The estimate comes from the
-# optimizer's own statistics, so a side that grows past it is shuffled instead.
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def estimated_bytes(df: DataFrame) -> int:
-    """The optimizer's size estimate of a plan; never runs a job."""
-    stats = df._jdf.queryExecution().optimizedPlan().stats()
-    return int(str(stats.sizeInBytes()))
-
-
-def broadcast_if_small(df: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    return F.broadcast(df) if estimated_bytes(df) <= limit else df
-
+from tidebar.operators.blocks import BLOCK, ROWS, carry_forward
 
 def asof_many(
     left: DataFrame,
@@ -34,13 +19,15 @@ def asof_many(
     span: str = "month",
     tie: list[str] | None = None,
     bounded: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Backward as-of join of several right tables at once.
 
     Each entry of ``rights`` is (table, its time column, {output name: column}).
     All sides are unioned and forward-filled together, so any number of right
     tables costs one pass: no range join, and no task that holds a whole key,
-    since the fill runs in time blocks. ``bounded`` declares that a key's rows are
+    since the fill runs in time blocks; without keys, or with ``rows``, blocks above
+    so many rows are cut again. ``bounded`` declares that a key's rows are
     limited by the calendar (daily decisions, sessions); then a single window is
     the cheaper plan. Right rows sort before left rows at equal time; ``tie``
     orders right rows of equal time. An older match than ``max_age_hours`` is null.
@@ -77,7 +64,7 @@ def asof_many(
         w = W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, 0)
         filled = both.select("*", *[F.last(r, ignorenulls=True).over(w).alias(h) for h, r in hits.items()])
     else:
-        filled = carry_forward(both, keys, order, hits, span)
+        filled = carry_forward(both, keys, order, hits, span, rows if by or rows else ROWS)
     out = filled.where(F.col("_side") == 1)
     picked = []
     for i, (_, _, cols) in enumerate(rights):
@@ -99,6 +86,7 @@ def asof_join(
     span: str = "month",
     tie: list[str] | None = None,
     bounded: bool = False,
+    rows: int | None = None,
 ) -> DataFrame:
     """Backward as-of join: for each left row the latest right row at or before it.
 
@@ -106,7 +94,7 @@ def asof_join(
     """
     cols = cols or [c for c in right.columns if c not in (by or [])]
     names = {(f"{c}_right" if c in left.columns else c): c for c in cols}
-    return asof_many(left, [(right, right_ts, names)], left_ts, by, max_age_hours, span, tie, bounded)
+    return asof_many(left, [(right, right_ts, names)], left_ts, by, max_age_hours, span, tie, bounded, rows)
 
 
 def asof_top_k(
@@ -124,40 +112,12 @@ def asof_top_k(
         by, row_day, F.collect_list(payload).over(w.rowsBetween(-(k - 1), 0)).alias("_last")
     )
     keys = rows.select(by).distinct()
-    spine = days.select(day).distinct().crossJoin(broadcast_if_small(keys))
+    spine = days.select(day).distinct().crossJoin(keys)
     hit = asof_join(spine, trailing, day, row_day, [by], ["_last"])
     exploded = hit.select(day, F.explode("_last").alias("_r"))
     return exploded.select(day, "_r.*")
 
 
-def interval_join(
-    points: DataFrame,
-    events: DataFrame,
-    at: str,
-    event_at: str,
-    before_hours: float,
-    after_hours: float,
-    event_cols: list[str],
-) -> DataFrame:
-    """(point, event) pairs with at in [event - before, event + after].
-
-    Each event is listed under the days its window touches (two or three), so the
-    join is an equi-join on day plus an exact range check, whichever side grows.
-    """
-    lo = hours_before(F.col(event_at), before_hours)
-    hi = hours_before(F.col(event_at), -after_hours)
-    windows = events.select(
-        *event_cols, lo.alias("_lo"), hi.alias("_hi"),
-        F.explode(F.sequence(lo.cast("date"), hi.cast("date"))).alias("_day"),
-    )
-    p = points.withColumn("_day", F.col(at).cast("date"))
-    return (
-        p.join(windows, "_day")
-        .where((F.col(at) >= F.col("_lo")) & (F.col(at) <= F.col("_hi")))
-        .drop("_day", "_lo", "_hi")
-    )
-
-
 def event_gate(
     points: DataFrame, events: DataFrame, at: str = "ts", before_hours: float = 36, after_hours: float = 1,
     span: str = "month",
@@ -211,7 +171,7 @@ def fill_join(left: DataFrame, right: DataFrame, on: list[str], fill: dict[str,
 
 def align_outer(df: DataFrame, date: str, key: str, value: str) -> DataFrame:
     """Every (date, key) cell of the observed dates and keys; absent cells stay null."""
-    spine = df.select(date).distinct().crossJoin(broadcast_if_small(df.select(key).distinct()))
+    spine = df.select(date).distinct().crossJoin(df.select(key).distinct())
     return spine.join(df.select(date, key, value), [date, key], "left")
 
 
@@ -232,7 +192,7 @@ def missing_days(df: DataFrame, keys: list[str], ts: str) -> DataFrame:
 
 def missing_cells(days: DataFrame, keys: DataFrame, valid: DataFrame, on: list[str]) -> DataFrame:
     """(day, key) cells of the spine without a valid row."""
-    return days.crossJoin(broadcast_if_small(keys)).join(valid.select(*on), on, "left_anti")
+    return days.crossJoin(keys).join(valid.select(*on), on, "left_anti")
 
 
 def compare_sources(ours: DataFrame, theirs: DataFrame, on: list[str], value: str) -> DataFrame:
@@ -268,7 +228,7 @@ def next_on_spine(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
     succ = dates.withColumn("_next", F.lead(date).over(W.orderBy(date)))
     ahead = df.select(key, F.col(date).alias("_next"), F.col(value).alias("_ahead"))
     return (
-        df.join(broadcast_if_small(succ), date, "left")
+        df.join(F.broadcast(succ), date, "left")
         .join(ahead, [key, "_next"], "left")
         .drop("_next")
         .withColumnRenamed("_ahead", f"{value}_next")
@@ -276,7 +236,7 @@ def next_on_spine(df: DataFrame, key: str, date: str, value: str) -> DataFrame:
 
 
 __all__ = [
-    "align_outer", "asof_join", "asof_many", "asof_top_k", "broadcast_if_small", "col", "compare_sources",
-    "complete_dates", "estimated_bytes", "event_gate", "fill_join", "interval_join",
+    "align_outer", "asof_join", "asof_many", "asof_top_k", "col", "compare_sources",
+    "complete_dates", "event_gate", "fill_join",
     "missing_cells", "missing_days", "next_on_spine", "plus_days", "seconds", "source_fill",
 ]

@@ -25,6 +25,28 @@ def sharpe_pp(ret: Column | str) -> Column:
     )
 
 
+def merged_moments(parts: Column) -> Column:
+    """(n, mean, m2) of an array of such, n above 0 in each; m2 is the sum of squared deviations from the mean.
+
+    Means are moved by their difference, so equal ones stay exactly equal.
+    """
+    def merge(a: Column, b: Column) -> Column:
+        n, delta = a["n"] + b["n"], b["mean"] - a["mean"]
+        mean = a["mean"] + F.when(n > 0, delta * b["n"] / n).otherwise(num(0))
+        m2 = a["m2"] + b["m2"] + F.when(n > 0, delta * delta * a["n"] * b["n"] / n).otherwise(num(0))
+        return F.struct(n.alias("n"), mean.alias("mean"), m2.alias("m2"))
+
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), num(0).alias("mean"), num(0).alias("m2"))
+    return F.aggregate(F.slice(parts, 2, 1 << 30), F.coalesce(F.get(parts, F.lit(0)), zero), merge)
+
+
+def sharpe_of_moments(parts: Column) -> Column:
+    """``sharpe_pp`` of the rows that an array of moments stands for."""
+    m = merged_moments(parts)
+    sd = F.sqrt(m["m2"] / F.nullif(m["n"] - 1, F.lit(0)))
+    return F.when((m["n"] < 3) | (sd == 0), num(0)).otherwise(F.coalesce(F.try_divide(m["mean"], sd), num(0)))
+
+
 def sharpe(ret: Column | str, timeframe: str = "1d") -> Column:
     return sharpe_pp(ret) * F.sqrt(num(BARS_PER_YEAR[timeframe]))
 

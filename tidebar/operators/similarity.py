@@ -2,12 +2,11 @@
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.text import fold_tokens
+from tidebar.operators.setjoin import similar_pairs
 from tidebar.session import cut_lineage
 
 THRESHOLD, MIN_TOKENS = 0.6, 4
@@ -25,58 +24,11 @@ def token_sets(items: DataFrame, title: str, prefer: list[Column], id_col: str)
     return toks, sets
 
 
-def similar_pairs(
-    sets: DataFrame, key: str, tokens: str, threshold: float = THRESHOLD, min_tokens: int = MIN_TOKENS
-) -> DataFrame:
-    """Pairs (a, b), a < b, of distinct token sets with Jaccard at or above the threshold.
-
-    Prefix filter: two sets that similar share a token among the rarest
-    ``n - ceil(t*n) + 1`` of each. Sizes fall into buckets that grow by the factor
-    ``1/t``; similar sets lie in one bucket or in neighbouring ones, so each set is
-    entered under (token, bucket) and probes its own bucket and the one below, two
-    rows per token whatever its size. At the rarest token of a similar pair enough
-    tokens must follow in both sets; meetings that leave too few are no candidates.
-    Every candidate is then verified, and no
-    candidate is capped.
-    """
-    n = F.size(tokens)
-    big = sets.where(n >= min_tokens).select(F.col(key).alias("k"), F.col(tokens).alias("t"), n.alias("n"))
-    freq = big.select(F.explode("t").alias("tok")).groupBy("tok").agg(F.count(F.lit(1)).alias("f"))
-    ranked = big.select("k", F.explode("t").alias("tok")).join(freq, "tok")
-    # per set: tokens from rare to common; a set's size is its own bound
-    ordered = ranked.groupBy("k").agg(F.array_sort(F.collect_list(F.struct("f", "tok"))).alias("o"))
-    keep = F.col("n") - F.ceil(F.lit(threshold) * F.col("n") - F.lit(1e-9)).cast("int") + 1
-    prefixed = big.join(ordered, "k").select(
-        "k", "n", F.slice("o", F.lit(1), keep.cast("int")).alias("o")
-    )
-    # a little above 1/t, so that rounding never puts similar sizes two buckets apart
-    bucket = F.floor(F.ln("n") / F.lit(math.log(1.001 / threshold))).cast("int")
-    probes = prefixed.select("k", "n", bucket.alias("s"), F.posexplode("o.tok").alias("i", "tok"))
-    larger = probes.select(
-        F.col("k").alias("kb"), F.col("n").alias("nb"), F.col("i").alias("ib"), "tok", F.explode(F.array(F.col("s") - 1, F.col("s"))).alias("s")
-    )
-    smaller = probes.select(F.col("k").alias("ka"), F.col("n").alias("na"), F.col("i").alias("ia"), "tok", "s")
-    common = F.lit(threshold / (1 + threshold)) * (F.col("na") + F.col("nb")) - F.lit(1e-9)
-    cand = (
-        smaller.join(larger, ["tok", "s"])
-        .where((F.col("na") < F.col("nb")) | ((F.col("na") == F.col("nb")) & (F.col("ka") < F.col("kb"))))
-        .where(F.col("na") >= F.lit(threshold) * F.col("nb") - F.lit(1e-9))
-        .where(F.least(F.col("na") - F.col("ia"), F.col("nb") - F.col("ib")) >= common)
-        .select(F.least("ka", "kb").alias("a"), F.greatest("ka", "kb").alias("b")).distinct()
-    )
-    left = big.select(F.col("k").alias("a"), F.col("t").alias("ta"))
-    right = big.select(F.col("k").alias("b"), F.col("t").alias("tb"))
-    both = cand.join(left, "a").join(right, "b")
-    inter = F.size(F.array_intersect("ta", "tb"))
-    jac = inter / (F.size("ta") + F.size("tb") - inter)
-    return both.select("a", "b", jac.alias("jaccard")).where(F.col("jaccard") >= threshold)
-
-
 def near_duplicate_pairs(items: DataFrame, title: str, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Similar pairs between the representatives (smallest id) of distinct token sets."""
     _, sets = token_sets(items, title, [], id_col)
-    reps = sets.select(F.col("_pref.id").alias("id"), F.col("_toks").alias("toks"))
-    return similar_pairs(reps, "id", "toks", threshold)
+    reps = cut_lineage(sets.select(F.col("_pref.id").alias("id"), F.col("_toks").alias("toks")))
+    return similar_pairs(reps, "id", "toks", threshold, MIN_TOKENS)
 
 
 def collapse(

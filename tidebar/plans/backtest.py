@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import clip, cost_rate, num, slippage_bps
 from tidebar.operators import windows as win
-from tidebar.operators.joins import broadcast_if_small
 
 
 def bar_inputs(bars: DataFrame, window: int = 20, fill_ahead: bool = False) -> DataFrame:
@@ -86,7 +85,7 @@ def run(
     )
     if extra:
         variants = positions.select("symbol", *extra).distinct()
-        inputs = inputs.join(broadcast_if_small(variants), "symbol")
+        inputs = inputs.join(variants, "symbol")
     joined = inputs.join(positions.select(*keys, "ts", "pos"), [*keys, "ts"], "left")
     name = None
     if funding is not None:

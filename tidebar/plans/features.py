@@ -16,6 +16,8 @@ from tidebar.functions.columns import div, num
 from tidebar.functions.times import plus_days, staleness_days
 from tidebar.operators import windows as win
 from tidebar.operators.joins import asof_many
+from tidebar.operators.rolling import Roll, rolling_many
+from tidebar.session import cut_lineage
 
 SCHEMA_VERSION = "xa-dl-v1"
 
@@ -62,92 +64,91 @@ def schema_hash() -> str:
 def crypto_features(bars: DataFrame, funding: DataFrame | None = None) -> DataFrame:
     """Per-symbol bar features and forward labels, keyed by (symbol, ts)."""
     w = win.series("symbol")
-    base = bars
+    base = bars.select("symbol", "ts", *[F.col(c).cast("double").alias(c) for c in ("high", "low", "close", "volume")])
     if funding is not None:
-        base = base.join(funding.select("symbol", "ts", F.col("funding").alias("_f")), ["symbol", "ts"], "left")
+        base = base.join(funding.select("symbol", "ts", F.col("funding").cast("double").alias("_f")), ["symbol", "ts"], "left")
     else:
         base = base.withColumn("_f", F.lit(None).cast("double"))
-    base = base.withColumn("lr", win.log_diff("close", w))
-    base = base.withColumns(
-        {"c_sigma20d": win.rolling_std("lr", w, 20), "_known": win.running_count("lr", w)}
-    )
-    made = {}
-    for h in (1, 5, 21, 63, 126, 252):
-        scale = F.nullif(F.col("c_sigma20d") * F.sqrt(num(h)), num(0))
-        made[f"c_ret{h}_n"] = div(win.rolling_log_return("close", "_known", w, h), scale)
-    for n in (5, 20, 22, 60):
-        made[f"c_vol{n}"] = win.rolling_std("lr", w, n) * F.sqrt(num(365))
-    c = F.col("close")
-    made["c_range"] = div(F.col("high") - F.col("low"), c)
-    made["c_volz20"] = win.rolling_zscore("volume", w, 20)
-    made["c_dch_high55"] = div(c, win.rolling_max("close", w, 55)) - 1
-    made["c_dch_low20"] = div(c, win.rolling_min("close", w, 20)) - 1
-    made["c_ma20"] = div(c, win.rolling_mean("close", w, 20)) - 1
-    made["c_ma100"] = div(c, win.rolling_mean("close", w, 100)) - 1
-    made["c_fund_d"] = F.coalesce("_f", num(0))
-    made["c_fund_m21"] = F.coalesce(win.rolling_mean("_f", w, 21, min_rows=10), num(0))
-    made["m_fund"] = F.col("_f").isNotNull().cast("double")
-    made["label_logvol5"] = win.forward_log_vol("lr", w)
-    made["label_minz5"] = win.forward_min_z(F.ln("close"), "c_sigma20d", w)
-    out = base.withColumns(made)
-    return out.select(
+    base = base.withColumns({"_p": F.ln("close"), "lr": win.log_diff("close", w)})
+    horizons, vols = (1, 5, 21, 63, 126, 252), (5, 20, 22, 60)
+    made = rolling_many(base, ["symbol"], "ts", {
+        "c_sigma20d": Roll("std", "lr", 20), **{f"_sum{h}": Roll("sum", "lr", h) for h in horizons},
+        **{f"_std{n}": Roll("std", "lr", n) for n in vols}, **{f"_move{h}": Roll("change", "_p", h) for h in horizons},
+        "_v20": Roll("mean", "volume", 20), "_vs20": Roll("std", "volume", 20), "_hi55": Roll("max", "close", 55),
+        "_lo20": Roll("min", "close", 20), "_ma20": Roll("mean", "close", 20), "_ma100": Roll("mean", "close", 100),
+        "_f21": Roll("mean", "_f", 21, 10),
+    })
+    c, sigma = F.col("close"), F.col("c_sigma20d")
+    out = {}
+    for h in horizons:
+        # the sum says whether all returns are known; its value is one difference of log prices
+        total = F.when(F.col(f"_sum{h}").isNotNull(), F.col(f"_move{h}"))
+        out[f"c_ret{h}_n"] = div(total, F.nullif(sigma * F.sqrt(num(h)), num(0)))
+    for n in vols:
+        out[f"c_vol{n}"] = F.col(f"_std{n}") * F.sqrt(num(365))
+    out["c_range"] = div(F.col("high") - F.col("low"), c)
+    out["c_volz20"] = div(F.col("volume") - F.col("_v20"), F.nullif(F.col("_vs20"), num(0)))
+    out["c_dch_high55"], out["c_dch_low20"] = div(c, F.col("_hi55")) - 1, div(c, F.col("_lo20")) - 1
+    out["c_ma20"], out["c_ma100"] = div(c, F.col("_ma20")) - 1, div(c, F.col("_ma100")) - 1
+    out["c_fund_d"], out["c_fund_m21"] = F.coalesce("_f", num(0)), F.coalesce("_f21", num(0))
+    out["m_fund"] = F.col("_f").isNotNull().cast("double")
+    out["label_logvol5"] = win.forward_log_vol("lr", w)
+    out["label_minz5"] = win.forward_min_z(F.col("_p"), "c_sigma20d", w)
+    return made.select(
         plus_days("ts", 1).alias("decision_ts"), F.col("ts").alias("bar_date"), "symbol", "c_sigma20d",
-        *CRYPTO, "m_fund", *LABELS,
+        *[x.alias(n) for n, x in out.items()],
     )
 
 
-def etf_features(sessions: DataFrame, prefix: str) -> DataFrame:
-    w = win.series("symbol", order="session_date")
-    base = sessions.withColumn("lr", win.log_diff("close", w))
+def session_features(sessions: DataFrame, roles: dict[str, str], lead_bars: DataFrame) -> DataFrame:
+    """Measures of the sessions of all roles in one pass, staged: (role, session_date, available_at, bar_end, lr, ...).
+
+    The lead asset's return of the session's date rides along, for correlations with it.
+    """
+    lead = lead_bars.select(F.col("ts").cast("date").alias("session_date"), win.log_diff("close", win.series("symbol")).alias("lead"), F.lit(True).alias("lead_there"))
+    role = F.array(*[F.struct(F.lit(r).alias("role"), F.lit(s).alias("symbol")) for r, s in roles.items()])
+    dim = F.explode(F.filter(role, lambda x: x["symbol"] == F.col("symbol")))
+    rows = sessions.select(dim.alias("_r"), "session_date", "available_at", "bar_end", F.col("close").cast("double").alias("close"))
+    rows = rows.select("_r.role", "session_date", "available_at", "bar_end", "close", F.ln("close").alias("p"))
+    rows = rows.withColumn("lr", win.log_diff("close", win.series("role", order="session_date")))
+    rows = rows.join(lead, "session_date", "left")
+    return cut_lineage(rolling_many(rows, ["role"], "session_date", {
+        "ret5": Roll("sum", "lr", 5), "ret20": Roll("sum", "lr", 20), "std20": Roll("std", "lr", 20), "hi20": Roll("max", "close", 20),
+        "hi60": Roll("max", "close", 60), "m20": Roll("mean", "close", 20), "m100": Roll("mean", "close", 100), "chg5": Roll("change", "p", 5),
+        "pctile": Roll("rank", "close", 1, 60),
+    }))
+
+
+def etf_features(rows: DataFrame, prefix: str) -> DataFrame:
     c = F.col("close")
-    return base.select(
-        "symbol", "session_date", "available_at", "bar_end",
-        F.col("lr").alias(f"{prefix}_ret1"),
-        win.rolling_sum("lr", w, 5).alias(f"{prefix}_ret5"),
-        win.rolling_sum("lr", w, 20).alias(f"{prefix}_ret20"),
-        (win.rolling_std("lr", w, 20) * F.sqrt(num(252))).alias(f"{prefix}_vol20"),
-        (div(c, win.rolling_max("close", w, 20)) - 1).alias(f"{prefix}_dd20"),
-        (div(c, win.rolling_max("close", w, 60)) - 1).alias(f"{prefix}_dd60"),
-        (div(c, win.rolling_mean("close", w, 20)) - 1).alias(f"{prefix}_ma20"),
-        (div(c, win.rolling_mean("close", w, 100)) - 1).alias(f"{prefix}_ma100"),
+    return rows.select(
+        "session_date", "available_at", "bar_end", "lead", F.col("lr").alias(f"{prefix}_ret1"),
+        F.col("ret5").alias(f"{prefix}_ret5"), F.col("ret20").alias(f"{prefix}_ret20"),
+        (F.col("std20") * F.sqrt(num(252))).alias(f"{prefix}_vol20"),
+        (div(c, F.col("hi20")) - 1).alias(f"{prefix}_dd20"), (div(c, F.col("hi60")) - 1).alias(f"{prefix}_dd60"),
+        (div(c, F.col("m20")) - 1).alias(f"{prefix}_ma20"), (div(c, F.col("m100")) - 1).alias(f"{prefix}_ma100"),
     )
 
 
-def vix_features(sessions: DataFrame) -> DataFrame:
-    w = win.series("symbol", order="session_date")
-    ranked = win.expanding_pct_rank(
-        sessions.select("symbol", "session_date", "available_at", "bar_end", "close"),
-        ["symbol"], "session_date", "close", "x_vix_pctile",
-    )
-    lvl = F.ln("close")
-    return ranked.select(
-        "symbol", "session_date", "available_at", "bar_end",
-        lvl.alias("x_vix_log"),
-        win.log_diff("close", w).alias("x_vix_chg1"),
-        win.log_diff("close", w, 5).alias("x_vix_chg5"),
-        "x_vix_pctile",
-        (div(F.col("close"), win.rolling_mean("close", w, 20)) - 1).alias("x_vix_ma20"),
+def vix_features(rows: DataFrame) -> DataFrame:
+    return rows.select(
+        "session_date", "available_at", "bar_end", F.col("p").alias("x_vix_log"), F.col("lr").alias("x_vix_chg1"),
+        F.col("chg5").alias("x_vix_chg5"), F.col("pctile").alias("x_vix_pctile"),
+        (div(F.col("close"), F.col("m20")) - 1).alias("x_vix_ma20"),
     )
 
 
-def correlation_features(spy: DataFrame, lead_bars: DataFrame) -> DataFrame:
-    """Rolling correlation and beta of the lead asset with the equity index.
+def correlation_features(spy: DataFrame) -> DataFrame:
+    """Rolling correlation and beta of the lead asset with the equity index, over the sessions that the lead asset has.
 
     The lead asset's same-date close is final only at the next midnight, so these
     values become available then.
     """
-    w0 = win.series("symbol")
-    lead = lead_bars.select(
-        F.col("ts").cast("date").alias("session_date"), win.log_diff("close", w0).alias("_lead")
-    )
-    j = spy.select("symbol", "session_date", "x_spy_ret1").join(lead, "session_date")
-    w = win.series("symbol", order="session_date")
-    made = j.select(
-        "session_date",
-        win.rolling_corr("_lead", "x_spy_ret1", w, 20).alias("x_corr20_btc_spy"),
-        win.rolling_corr("_lead", "x_spy_ret1", w, 60).alias("x_corr60_btc_spy"),
-        win.rolling_beta("_lead", "x_spy_ret1", w, 60).alias("x_beta60_btc_spy"),
-    )
+    j = spy.select(F.lit(1).alias("one"), "session_date", "x_spy_ret1", "lead")
+    made = rolling_many(j, ["one"], "session_date", {
+        "x_corr20_btc_spy": Roll("corr", "lead", 20, y="x_spy_ret1"), "x_corr60_btc_spy": Roll("corr", "lead", 60, y="x_spy_ret1"),
+        "x_beta60_btc_spy": Roll("beta", "lead", 60, y="x_spy_ret1"),
+    })
     return made.withColumn("available_at", plus_days(F.col("session_date").cast("timestamp"), 1))
 
 
@@ -162,11 +163,9 @@ def feature_table(
     role leaves its group empty and masked, never invented."""
     base = crypto_features(bars, funding)
 
-    def pick(role: str) -> DataFrame:
-        return sessions.where(F.col("symbol") == roles.get(role, "\0"))
-
-    spy, qqq, gld = (etf_features(pick(r), f"x_{r}") for r in ("spy", "qqq", "gld"))
-    vix = vix_features(pick("vix"))
+    done = session_features(sessions, roles, bars.where(F.col("symbol") == lead_symbol))
+    spy, qqq, gld = (etf_features(done.where(F.col("role") == r), f"x_{r}") for r in ("spy", "qqq", "gld"))
+    vix = vix_features(done.where(F.col("role") == "vix"))
     spread = (
         spy.select("session_date", "available_at", "x_spy_ret20")
         .join(qqq.select("session_date", "x_qqq_ret20"), "session_date")
@@ -178,7 +177,7 @@ def feature_table(
         .withColumn("x_stress", F.greatest(-F.col("x_spy_ret1"), num(0)) * F.col("x_vix_pctile"))
     )
     stress = stress.withColumn("x_stress", F.when(F.col("x_spy_ret1").isNotNull(), F.col("x_stress")))
-    corr = correlation_features(spy, bars.where(F.col("symbol") == lead_symbol))
+    corr = correlation_features(etf_features(done.where((F.col("role") == "spy") & F.col("lead_there")), "x_spy"))
 
     etf = lambda p: [f"x_{p}_{s}" for s in ("ret1", "ret5", "ret20", "vol20", "dd20", "dd60", "ma20", "ma100")]
     vix_cols = ["x_vix_log", "x_vix_chg1", "x_vix_chg5", "x_vix_pctile", "x_vix_ma20"]
@@ -268,12 +267,15 @@ def fit_scaler(train: DataFrame, keys: list[str], features: list[str]) -> DataFr
 def scale(df: DataFrame, scaler: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """(x - mean)/std clipped to ±8, null as 0, masked groups back to exactly 0."""
     owner = {c: m for cols, m in GROUPS.values() for c in cols}
+    # one row per key with the statistics in the order of the features, so that a row finds them by place
     entry = F.map_from_entries(F.collect_list(F.struct("feature", F.struct("mean", "std"))))
-    stats = scaler.groupBy(*keys).agg(entry.alias("_stats"))
+    stats = scaler.groupBy(*keys).agg(entry.alias("_by_name"))
+    names = F.array(*[F.lit(c) for c in features])
+    stats = stats.select(*keys, F.transform(names, lambda c: F.element_at("_by_name", c)).alias("_stats"))
     out = df.join(F.broadcast(stats), keys)
     made = {}
-    for c in features:
-        s = F.element_at("_stats", F.lit(c))
+    for i, c in enumerate(features):
+        s = F.get("_stats", F.lit(i))
         z = (F.col(c) - s["mean"]) / s["std"]
         z = F.coalesce(F.when(z.isNotNull(), F.greatest(F.least(z, num(8)), num(-8))), num(0))
         made[c] = F.when(F.col(owner[c]) == 0, num(0)).otherwise(z) if c in owner else z

@@ -8,8 +8,8 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import num
 from tidebar.functions.times import plus_days
-from tidebar.operators.blocks import running_sum
-from tidebar.operators.joins import asof_join, broadcast_if_small
+from tidebar.operators.blocks import BLOCK, ROWS, running_sum, with_blocks
+from tidebar.operators.joins import asof_join
 from tidebar.operators.selection import sells_first
 
 DUST = 1e-12
@@ -36,15 +36,16 @@ def cash_now(trades: DataFrame, keys: list[str], capital: float) -> DataFrame:
 
 
 def running_book(
-    trades: DataFrame, keys: list[str], order: list[str], capital: float, span: str = "month"
+    trades: DataFrame, keys: list[str], order: list[str], capital: float, span: str = "month", rows: int = ROWS
 ) -> DataFrame:
     """Cash after every trade of a book and quantity after every trade of a symbol.
 
-    A book's log has no bound, so both run block-wise.
+    A book's log has no bound, so both run block-wise, in time blocks that are cut above ``rows`` rows. The blocks of a
+    book serve its symbols too, whose trades are some of the book's.
     """
-    d = signed(trades)
-    d = running_sum(d, keys, order, {"_cash": "cash_flow"}, span)
-    d = running_sum(d, [*keys, "symbol"], order, {"position": "qty_flow"}, span)
+    d = with_blocks(signed(trades), keys, order[0], span, rows)
+    d = running_sum(d, keys, order, {"_cash": "cash_flow"}, block=F.col(BLOCK))
+    d = running_sum(d, [*keys, "symbol"], order, {"position": "qty_flow"}, block=F.col(BLOCK)).drop(BLOCK)
     return d.withColumn("cash", num(capital) + F.col("_cash")).drop("_cash", "cash_flow", "qty_flow")
 
 
@@ -64,7 +65,7 @@ def daily_equity(
     wk = W.partitionBy(*keys).orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     cash = cash_day.select(*keys, "day", (num(capital) + F.sum("_c").over(wk)).alias("cash"))
     symbols = flows.select(*keys, "symbol").distinct()
-    cells = days.join(broadcast_if_small(symbols), keys) if keys else days.crossJoin(broadcast_if_small(symbols))
+    cells = days.join(symbols, keys) if keys else days.crossJoin(symbols)
     ws = W.partitionBy(*keys, "symbol").orderBy("day").rowsBetween(W.unboundedPreceding, 0)
     held = (
         cells.join(flows.drop("_c"), [*keys, "symbol", "day"], "left")
@@ -118,7 +119,7 @@ def missing_decision_bars(bars: DataFrame, days: DataFrame, symbols: DataFrame)
     valid = bars.where("open is not null and close is not null").select(
         plus_days("ts", 1).alias("day"), "symbol"
     )
-    return days.select("day").crossJoin(broadcast_if_small(symbols.select("symbol").distinct())).join(
+    return days.select("day").crossJoin(symbols.select("symbol").distinct()).join(
         valid, ["day", "symbol"], "left_anti"
     )
 

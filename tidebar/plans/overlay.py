@@ -11,7 +11,6 @@ from tidebar.operators import metrics, models
 from tidebar.operators import windows as win
 from tidebar.operators.aggregates import sigma_floor, sigma_reference
 from tidebar.operators.blocks import quantiles
-from tidebar.operators.joins import broadcast_if_small
 from tidebar.operators.selection import last_n
 from tidebar.operators.sets import upsert_first
 from tidebar.plans.backtest import account, bar_inputs
@@ -78,7 +77,7 @@ def overlay_targets(weights: DataFrame, preds: DataFrame, with_base: bool = True
         variants = variants.unionByName(
             variants.sparkSession.createDataFrame([("B0",)], "variant string")
         )
-    spread = weights.crossJoin(broadcast_if_small(variants))
+    spread = weights.crossJoin(F.broadcast(variants))
     mult = preds.select("variant", "symbol", plus_days("decision_ts", -1).alias("ts"), "multiplier")
     j = spread.join(mult, ["variant", "symbol", "ts"], "left")
     target = clip(F.col("weight") * F.coalesce("multiplier", num(1)), 0, 1)
@@ -104,13 +103,13 @@ def oos_dates(preds: DataFrame) -> DataFrame:
 
 def overlay_portfolio(legs: DataFrame, preds: DataFrame) -> DataFrame:
     """Equal-weight net per (variant, ts) on the out-of-sample dates, skipping absent legs."""
-    inside = legs.join(broadcast_if_small(oos_dates(preds)), "ts", "left_semi")
+    inside = legs.join(F.broadcast(oos_dates(preds)), "ts", "left_semi")
     return inside.groupBy("variant", "ts").agg(F.avg("net").alias("net"))
 
 
 def per_symbol_gain(legs: DataFrame, preds: DataFrame, base: str = "B0") -> DataFrame:
     """Sharpe of each variant's leg minus the base variant's leg, per symbol."""
-    inside = legs.join(broadcast_if_small(oos_dates(preds)), "ts", "left_semi")
+    inside = legs.join(F.broadcast(oos_dates(preds)), "ts", "left_semi")
     sr = inside.groupBy("variant", "symbol").agg(metrics.sharpe("net").alias("sharpe"))
     ref = sr.where(F.col("variant") == base).select("symbol", F.col("sharpe").alias("_base"))
     out = sr.where(F.col("variant") != base).join(ref, "symbol")

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import num
 from tidebar.operators import windows as win
-from tidebar.operators.joins import broadcast_if_small
 
 # Fixed values of the selection rule.
 SLOTS, EXIT_RANK, SLOT_WEIGHT = 5, 10, 0.20
@@ -45,7 +44,7 @@ def rank_band(
     grid = panel.select("date").distinct().withColumn("_g", F.row_number().over(W.orderBy("date")))
     marked = ranked.withColumn("_come", F.coalesce(come, F.lit(False))).withColumn(
         "_go", F.coalesce(go, F.lit(True))
-    ).join(broadcast_if_small(grid), "date")
+    ).join(F.broadcast(grid), "date")
     w = win.series("symbol", order="date")
     gap = F.coalesce(F.lag("_g").over(w) < F.col("_g") - 1, F.lit(False))
     marked = marked.withColumn("_gap", gap)
@@ -78,7 +77,7 @@ def holdings_account(
     grid = panel.select("date").distinct()
     grid = grid.withColumn("_g", F.row_number().over(W.orderBy("date")))
     info = panel.select("date", "symbol", "ret_next", "cost_rate")
-    live = weights.where(F.col("weight") != 0).join(broadcast_if_small(grid), "date")
+    live = weights.where(F.col("weight") != 0).join(F.broadcast(grid), "date")
     cells = live.join(info, ["date", "symbol"], "left").select(
         *keys, "date", "_g", "symbol", "weight", "ret_next", "cost_rate"
     )
@@ -103,7 +102,7 @@ def holdings_account(
     )
     # exits: a name still carried that is absent on the next grid date
     nxt = grid.select((F.col("_g") - 1).alias("_g"), F.col("date").alias("_exit"))
-    exits = cells.where(~F.col("_stays") & ~F.col("_closed")).join(broadcast_if_small(nxt), "_g")
+    exits = cells.where(~F.col("_stays") & ~F.col("_closed")).join(F.broadcast(nxt), "_g")
     rates = info.select(F.col("date").alias("_exit"), "symbol", F.col("cost_rate").alias("_rate"))
     exits = exits.drop("cost_rate").join(rates, ["_exit", "symbol"], "left")
     exit_rate = F.coalesce("_rate", num(UNKNOWN_COST)) * (

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import num
 from tidebar.operators import metrics
-from tidebar.operators.joins import broadcast_if_small
 from tidebar.plans import grids
 from tidebar.plans.backtest import run
 from tidebar.plans.signals import buy_and_hold
@@ -60,7 +59,7 @@ def market_table(
         *k, F.col("sharpe").alias("oos_sharpe"), F.col("cagr_pct").alias("oos_cagr_pct"),
         F.col("max_dd_pct").alias("oos_max_dd_pct"), F.col("n_bars").alias("n_oos"),
     )
-    m = metrics.moments(oos, k).join(broadcast_if_small(var_family), k).join(broadcast_if_small(var_all), "symbol")
+    m = metrics.moments(oos, k).join(var_family, k).join(var_all, "symbol")
     m = _dsr_by_family(m, "_vf", "dsr")
     m = metrics.deflated_sharpe(m, grids.TOTAL_TRIALS, "_va", "dsr_all").select(*k, "dsr", "dsr_all")
     pbo = metrics.pbo(returns, k, "params", "grid_order", "ts", "net").select(*k, "pbo")

@@ -86,9 +86,8 @@ def ranker_panel(
     # position of each date on the shared grid; consecutive grid steps make a valid return
     grid = p.select("date").distinct()
     grid = grid.withColumn("_g", F.row_number().over(W.orderBy("date")).cast("long"))
-    from tidebar.operators.joins import broadcast_if_small
-
-    p = p.join(broadcast_if_small(grid), "date")
+    
+    p = p.join(F.broadcast(grid), "date")
     w = W.partitionBy("symbol").orderBy("date")
     adjacent = F.lag("_g").over(w) == F.col("_g") - 1
     p = p.withColumn("ret", F.when(adjacent, F.ln("close") - F.lag(F.ln("close")).over(w)))

@@ -6,9 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import num
+from tidebar.functions.columns import col, num
 from tidebar.operators import metrics
-from tidebar.operators.joins import broadcast_if_small
 from tidebar.operators.selection import best_variant
 
 TRAIN_BARS, TEST_BARS, MIN_TEST_BARS = 730, 182, 30
@@ -40,55 +39,54 @@ def walk_forward(
 ) -> tuple[DataFrame, DataFrame]:
     """(stitched out-of-sample returns, fold ledger).
 
-    Every bar lists the folds it trains (at most ceil(train/test)) and the one it
-    tests, so all folds of all series and variants are one grouped aggregate. The
-    best variant by train Sharpe is deployed when its Sharpe is positive; else flat.
+    Bars are cut where any fold begins or ends to train, so a piece lies in a train window whole or not at all. Each
+    piece is summed up once, to moments that merge without cancellation (count, mean, squared deviations), and only these
+    are dealt to the folds that it trains: no bar is copied. A piece of a test window also keeps its rows, of which the
+    best variant's are unpacked. All this follows one pass over the trials, dealt by series and variant. The best variant
+    by train Sharpe is deployed when its Sharpe is positive; else flat.
     """
     w = W.partitionBy(*keys, variant).orderBy(ts)
-    numbered = returns.select(*keys, variant, order, ts, ret).withColumn(
-        "_i", (F.row_number().over(w) - 1).cast("long")
+    numbered = returns.select(
+        *keys, variant, order, ts, ret, (F.row_number().over(w) - 1).cast("long").alias("_i"),
+        F.count(F.lit(1)).over(W.partitionBy(*keys, variant)).cast("long").alias("_bars"),
+    )
+    i, n, lo = F.col("_i"), F.count(col(ret)), F.col("_lo")
+    mean = F.when(F.min(ret) == F.max(ret), F.min(ret)).otherwise(F.avg(ret))  # equal returns have no dispersion at all
+    pieces = numbered.groupBy(
+        *keys, variant, order, F.floor(i / F.lit(test)).alias("_start"),
+        F.when(i >= train, F.floor((i - train) / F.lit(test)).cast("int")).alias("_test"),
+    ).agg(
+        F.max("_bars").alias("_bars"), F.min("_i").alias("_lo"),
+        F.struct(n.alias("n"), mean.alias("mean"), (F.var_pop(ret) * n).alias("m2")).alias("_m"),
+        F.when(F.min("_i") >= train, F.collect_list(F.struct(F.col(ts).alias("ts"), F.col(ret).alias("ret")))).alias("_rows"),
     )
-    n = F.count(F.lit(1)).over(W.partitionBy(*keys, variant))
-    numbered = numbered.withColumn("n_bars", n.cast("long"))
-    i = F.col("_i")
-    test_fold = F.when(i >= train, F.floor((i - train) / F.lit(test)).cast("int"))
-    first_train = F.greatest(F.lit(0), F.ceil((i - train + 1) / F.lit(test)).cast("int"))
 
     def live(fold: Column) -> Column:
-        lo = F.lit(train) + fold * F.lit(test)
-        return (lo < F.col("n_bars")) & (F.least(lo + test, F.col("n_bars")) - lo >= min_test)
-
-    # train roles: folds k with k*test <= i < train + k*test
-    last_train_k = F.floor(i / F.lit(test)).cast("int")
-    roles = F.filter(
-        F.concat(
-            F.transform(
-                F.filter(F.sequence(first_train, F.greatest(first_train, last_train_k)),
-                         lambda k: (k * test <= i) & (i < k * test + train)),
-                lambda k: F.struct(k.alias("fold"), F.lit(0).alias("role")),
-            ),
-            F.when(
-                test_fold.isNotNull(), F.array(F.struct(test_fold.alias("fold"), F.lit(1).alias("role")))
-            ).otherwise(F.array().cast("array<struct<fold:int,role:int>>")),
-        ),
-        lambda e: live(e["fold"]),
-    )
-    tagged = numbered.select(*keys, variant, order, ts, ret, F.explode(roles).alias("_r"))
-    tagged = tagged.select(*keys, variant, order, ts, ret, "_r.fold", "_r.role")
-    scored = (
-        tagged.where("role = 0").groupBy(*keys, "fold", variant, order)
-        .agg(metrics.sharpe_pp(ret).alias("train_sr"))
+        at = F.lit(train) + fold * F.lit(test)
+        return (at < F.col("_bars")) & (F.least(at + test, F.col("_bars")) - at >= min_test)
+
+    first = F.greatest(F.lit(0), F.ceil((lo - train + 1) / F.lit(test)).cast("int"))
+    trained = F.filter(
+        F.sequence(first, F.greatest(first, F.floor(lo / F.lit(test)).cast("int"))),
+        lambda k: (k * test <= lo) & (lo < k * test + train) & live(k),
     )
-    chosen = best_variant(scored, [*keys, "fold"], "train_sr", order, [variant])
-    chosen = chosen.select(
-        *keys, "fold", "train_sr", F.col(variant).alias("_chosen"), (F.col("train_sr") > 0).alias("deployed")
+    none = F.lit(None).cast("int")
+    roles = F.concat(
+        F.transform(trained, lambda k: F.struct(k.alias("fold"), F.lit(True).alias("train"))),
+        F.filter(F.array(F.struct(F.coalesce("_test", none).alias("fold"), F.lit(False).alias("train"))), lambda r: r["fold"].isNotNull() & live(r["fold"])),
     )
-    test_rows = tagged.where("role = 1").join(broadcast_if_small(chosen), [*keys, "fold"])
-    pick = test_rows.where(F.col(variant) == F.col("_chosen"))
-    oos = pick.select(
-        *keys, "fold", ts,
+    dealt = pieces.withColumn("_r", F.explode(roles))
+    trains = F.col("_r.train")
+    scored = dealt.groupBy(*keys, F.col("_r.fold").alias("fold"), variant, order).agg(
+        F.collect_list(F.when(trains & (F.col("_m.n") > 0), F.col("_m"))).alias("_parts"),
+        F.flatten(F.collect_list(F.when(~trains, F.col("_rows")))).alias("_rows"),
+    ).withColumn("train_sr", metrics.sharpe_of_moments(F.col("_parts")))
+    chosen = best_variant(scored, [*keys, "fold"], "train_sr", order, [variant, "_rows"])
+    rows = chosen.withColumn("deployed", F.col("train_sr") > 0).withColumn("_row", F.explode("_rows"))
+    oos = rows.select(
+        *keys, "fold", F.col("_row.ts").alias(ts),
         F.when(F.col("deployed"), F.col(variant)).otherwise(F.lit("(flat)")).alias("chosen"),
-        F.when(F.col("deployed"), F.col(ret)).otherwise(num(0)).alias(ret),
+        F.when(F.col("deployed"), F.col("_row.ret")).otherwise(num(0)).alias(ret),
         "train_sr", "deployed",
     )
     ledger = oos.groupBy(*keys, "fold", "chosen", "train_sr", "deployed").agg(
@@ -125,8 +123,8 @@ def fold_schedule(
 def split_rows(df: DataFrame, folds: DataFrame, ts: str, embargo_days: int = 5) -> DataFrame:
     """(fold, split) of each row. The label horizon is embargoed before each boundary.
 
-    The fold table has a handful of rows, so a broadcast range condition is exact
-    and keeps the large side in place.
+    The fold table has one row per half year of the calendar, so a broadcast range
+    condition is exact and keeps the large side in place.
     """
     emb = F.make_dt_interval(F.lit(embargo_days))
     t = F.col(ts)
@@ -135,7 +133,7 @@ def split_rows(df: DataFrame, folds: DataFrame, ts: str, embargo_days: int = 5)
         .when((t > F.col("train_end")) & (t <= F.col("val_end") - emb), "val")
         .when((t > F.col("val_end")) & (t <= F.col("test_end")), "test")
     )
-    crossed = df.join(broadcast_if_small(folds), t <= F.col("test_end"))
+    crossed = df.join(F.broadcast(folds), t <= F.col("test_end"))
     return crossed.withColumn("split", split).where("split is not null")
 
 

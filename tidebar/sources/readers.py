@@ -293,9 +293,10 @@ def shape_vendor_csv(
     return out if last is None else out.where(F.col("session_date") <= last)
 
 
-def read_vendor_csv(spark: SparkSession, path: str, symbol: str, date: str = "date", **kw) -> DataFrame:
+def read_vendor_csv(spark: SparkSession, path: str, symbol: str | None = None, date: str = "date", **kw) -> DataFrame:
+    """One symbol's files, or, without ``symbol``, a folder with a part per symbol (symbol=...)."""
     raw = spark.read.option("header", True).option("nullValue", ".").option("inferSchema", False).csv(path)
-    return shape_vendor_csv(raw, F.lit(symbol), date, **kw)
+    return shape_vendor_csv(raw, F.col("symbol") if symbol is None else F.lit(symbol), date, **kw)
 
 
 CHART = (
@@ -360,19 +361,20 @@ def provider(name: str) -> Callable[[Callable[..., DataFrame]], Callable[..., Da
 
 
 @provider("vendor_csv")
-def vendor_sessions(spark: SparkSession, path: str, symbol: str, now: Column, **kw) -> DataFrame:
+def vendor_sessions(spark: SparkSession, path: str, symbol: str | None, now: Column, **kw) -> DataFrame:
     return canonical_sessions(read_vendor_csv(spark, path, symbol, **kw), F.lit("vendor_csv"), now)
 
 
 @provider("index_csv")
-def index_sessions(spark: SparkSession, path: str, symbol: str, now: Column, **kw) -> DataFrame:
+def index_sessions(spark: SparkSession, path: str, symbol: str | None, now: Column, **kw) -> DataFrame:
     """An index computed into the 16:15 settlement window."""
     return canonical_sessions(read_vendor_csv(spark, path, symbol, **kw), F.lit("index_csv"), now, 16, 15)
 
 
 @provider("chart_json")
-def chart_sessions(spark: SparkSession, path: str, symbol: str, now: Column) -> DataFrame:
-    body = spark.read.text(path, wholetext=True).withColumn("symbol", F.lit(symbol))
+def chart_sessions(spark: SparkSession, path: str, symbol: str | None, now: Column) -> DataFrame:
+    body = spark.read.text(path, wholetext=True)
+    body = body if symbol is None else body.withColumn("symbol", F.lit(symbol))
     return canonical_sessions(shape_chart_json(body, "symbol", "value"), F.lit("chart_json"), now)
 
 
