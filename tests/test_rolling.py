@@ -10,6 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidebar.catalog.base import Tables
+from tidebar.catalog.q_research import bar_funding
 from tidebar.operators import metrics, rolling
 from tidebar.plans import features, walkforward
 
@@ -112,9 +113,9 @@ def test_features_do_not_look_ahead(spark):
 
     prices = ["open", "high", "low", "close", "volume"]
     lead = t.bars.select(F.min("symbol")).first()[0]
-    before = features.feature_table(t.bars, t.sessions, t.funding, lead, roles)
+    before = features.feature_table(t.bars, t.sessions, bar_funding(t), lead, roles)
     bars, sessions = moved(t.bars, "ts", prices), moved(t.sessions, "session_date", prices)
-    after = features.feature_table(bars, sessions, moved(t.funding, "ts", ["funding"]), lead, roles)
+    after = features.feature_table(bars, sessions, moved(bar_funding(t), "ts", ["funding"]), lead, roles)
     names = [c for c in before.columns if c not in features.LABELS]
     read = lambda df: {(r.symbol, r.decision_ts): r for r in df.where(F.col("decision_ts") <= F.lit(cut).cast("timestamp")).select(*names).collect()}
     x, y = read(before), read(after)

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar.catalog.base import cte, query
 from tidebar.catalog.q_tables import K
-from tidebar.catalog.tables_sql import asof, donchian_pos, sharpe, win as sqlwin
+from tidebar.catalog.tables_sql import asof, block_band_sql, donchian_pos, sharpe, win as sqlwin
 from tidebar.functions.columns import num
 from tidebar.functions.times import plus_days
 from tidebar.operators import aggregates, bootstrap, joins, models, selection
@@ -339,10 +339,12 @@ def _x14(t):
 # ---------------- review ----------------
 
 
+cte("model_day", "SELECT ts AS day, avg(ret) AS net FROM bt_in GROUP BY ts")
+
+
 @query("x29_book_review", "book n_days:i cum_paper:5 cum_model:e6 te_ann:e6 sharpe_paper:4 sharpe_model:4", f"""
 WITH r AS (SELECT book, day, equity / coalesce(lag(equity) OVER (PARTITION BY book ORDER BY day), {CAPITAL}) - 1 AS ret FROM equity_d),
-m AS (SELECT ts AS day, avg(ret) AS net FROM bt_in GROUP BY ts),
-j AS (SELECT book, ret, coalesce(net, 0) AS model FROM r LEFT JOIN m USING (day))
+j AS (SELECT book, ret, coalesce(net, 0) AS model FROM r LEFT JOIN model_day USING (day))
 SELECT book, count(*) AS n_days, product(1 + ret) - 1 AS cum_paper, product(1 + model) - 1 AS cum_model, stddev_samp(ret - model) * sqrt(365.0) AS te_ann,
  {sharpe('ret')} AS sharpe_paper, {sharpe('model')} AS sharpe_model FROM j GROUP BY 1""")
 def _x29(t):
@@ -358,7 +360,11 @@ def _paper_and_model(t):
     return paper, model.crossJoin(F.broadcast(t.trades.select("book").distinct()))
 
 
-@query("x29_band_flags", "book cum_paper:5 p2_5:3 p97_5:3 in_band95:b")
+@query("x29_band_flags", "book cum_paper:5 p2_5:e6 p97_5:e6 in_band95:b", f"""
+WITH r AS (SELECT book, equity / coalesce(lag(equity) OVER (PARTITION BY book ORDER BY day), {CAPITAL}) - 1 AS ret FROM equity_d),
+c AS (SELECT book, product(1 + ret) - 1 AS cum_paper FROM r GROUP BY 1),
+b AS ({block_band_sql('(SELECT 1 AS one, * FROM model_day)', 'one', 'day', 'net', 60)})
+SELECT book, cum_paper, p2_5, p97_5, cum_paper BETWEEN p2_5 AND p97_5 AS in_band95 FROM c CROSS JOIN b""")
 def _x29b(t):
     paper, model = _paper_and_model(t)
     r = review.compare_to_model(paper, model, ["book"])

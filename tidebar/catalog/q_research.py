@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidebar.catalog.base import cte, query
 from tidebar.catalog.q_tables import folds_of
 from tidebar.catalog.tables_sql import (
-    VK, backtest, donchian_pos, roll, rsi_pos, sharpe, sharpe_pp, sma_pos, tsmom_pos, win as sqlwin,
+    VK, backtest, block_band_sql, donchian_pos, paired_sql, roll, rsi_pos, sharpe, sharpe_pp, sma_pos, tsmom_pos, win as sqlwin,
 )
 from tidebar.functions.columns import num
 from tidebar.functions.normal import expected_max_factor
@@ -310,7 +310,7 @@ def _j13(t):
     return metrics.pbo(bt.variant_returns(t.bars, ["donchian"]), ["symbol"], "params", "grid_order", "ts", "net")
 
 
-@query("m7_block_bootstrap", "symbol p2_5:4 p10:4 p50:4 p90:4 p97_5:4 n_paths:i")
+@query("m7_block_bootstrap", "symbol p2_5:e6 p10:e6 p50:e6 p90:e6 p97_5:e6 n_paths:i", block_band_sql("capped", "symbol", "ts", "net", 25))
 def _m7(t):
     return bootstrap.block_band(capped(t), ["symbol"], "ts", "net", horizon=25)
 
@@ -334,7 +334,11 @@ def _m9(t):
     return metrics.average_precision(labelled(t), ["event_type"], "y", "p")
 
 
-@query("m10_paired_bootstrap", "symbol n:i sharpe_diff:6 sharpe_p:3 mean_diff:7 mean_p:3")
+cte("hold_net", backtest("(SELECT symbol, ts, 1.0 AS pos FROM bars)"))
+cte("ens_hold", "SELECT e.symbol, e.ts, e.a, h.net AS b FROM (SELECT symbol, ts, avg(net) AS a FROM dc_net GROUP BY 1, 2) e JOIN hold_net h USING (symbol, ts)")
+
+
+@query("m10_paired_bootstrap", "symbol n:i sharpe_diff:6 sharpe_p:3 mean_diff:7 mean_p:3", paired_sql("ens_hold", "symbol", "ts"))
 def _m10(t):
     pair = bt.variant_returns(t.bars, ["donchian"])
     ens = pair.groupBy("symbol", "ts").agg(F.avg("net").alias("a"))

@@ -188,6 +188,36 @@ def sharpe(x: str) -> str:
     return f"({SHARPE.format(x)} * sqrt(365.0))"
 
 
+def md5_draw(*parts: str) -> str:
+    """An integer in [0, 2^52) from SQL expressions and quoted texts."""
+    return "('0x' || substr(md5(concat_ws('|', " + ", ".join(parts) + ")), 1, 13))::BIGINT"
+
+
+def block_band_sql(src: str, key: str, ts: str, ret: str, horizon: int, n_boot: int = 4000, block: int = 10, seed: int = 42) -> str:
+    """Every row of every path, multiplied up: (key, p2_5 ... n_paths)."""
+    qs = ", ".join(f"quantile_cont(sim, {q}) AS {n}" for n, q in (("p2_5", 0.025), ("p10", 0.1), ("p50", 0.5), ("p90", 0.9), ("p97_5", 0.975)))
+    return f"""
+WITH r AS (SELECT {key}, {ret} AS r, row_number() OVER (PARTITION BY {key} ORDER BY {ts}) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS t FROM {src} WHERE {ret} IS NOT NULL),
+d AS (SELECT {key}, t, path, b, {md5_draw(f"'{seed}'", "path", "b")} % greatest(1, t - {block}) AS s FROM (SELECT DISTINCT {key}, t FROM r), range({n_boot}) AS p(path), range({-(-horizon // block)}) AS q(b)),
+e AS (SELECT {key}, path, (s + k) % t AS i FROM d, range({block}) AS o(k) WHERE b * {block} + k < {horizon})
+SELECT {key}, {qs}, count(*) AS n_paths FROM (SELECT {key}, path, product(1 + r) - 1 AS sim FROM e JOIN r USING ({key}, i) GROUP BY {key}, path) GROUP BY {key}"""
+
+
+def paired_sql(src: str, key: str, ts: str, n_boot: int = 2000, mean: int = 20, seed: int = 7, least: int = 100) -> str:
+    """Every row of every draw: blocks of random start and geometric length until the draw is as long as the series."""
+    return f"""
+WITH r AS (SELECT {key}, a::DOUBLE AS a, b::DOUBLE AS b, row_number() OVER (PARTITION BY {key} ORDER BY {ts}) - 1 AS i, count(*) OVER (PARTITION BY {key}) AS t FROM {src} WHERE a IS NOT NULL AND b IS NOT NULL),
+z AS (SELECT {key}, t, CAST(ceil({1.5 / mean}::DOUBLE * t) AS BIGINT) + 40 AS blocks FROM r WHERE t >= {least} GROUP BY ALL),
+g AS (SELECT {key}, t, blocks, draw, unnest(range(blocks)) AS j FROM z, range({n_boot}) AS n(draw)),
+l AS (SELECT *, {md5_draw(f"'{seed}'", "draw", "j", "'s'")} % t AS s, floor(ln(({md5_draw(f"'{seed}'", "draw", "j", "'l'")} + 0.5::DOUBLE) / 4503599627370496.0::DOUBLE) / ln(1 - 1 / {mean}.0::DOUBLE))::BIGINT + 1 AS n FROM g),
+c AS (SELECT *, coalesce(sum(n) OVER (PARTITION BY {key}, draw ORDER BY j ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS done FROM l),
+u AS (SELECT {key}, draw, t, s, CASE WHEN j = blocks - 1 THEN t - done ELSE least(n, t - done) END AS n FROM c WHERE done < t),
+e AS (SELECT {key}, draw, (s + unnest(range(n))) % t AS i FROM u),
+p AS (SELECT {key}, draw, {sharpe_pp('a')} - {sharpe_pp('b')} AS d_sr, avg(a - b) AS d_mu FROM e JOIN r USING ({key}, i) GROUP BY {key}, draw),
+v AS (SELECT {key}, avg(CAST(d_sr <= 0 AS DOUBLE)) AS sharpe_p, avg(CAST(d_mu <= 0 AS DOUBLE)) AS mean_p FROM p GROUP BY {key})
+SELECT o.*, v.sharpe_p, v.mean_p FROM (SELECT {key}, count(*) AS n, {sharpe_pp('a')} - {sharpe_pp('b')} AS sharpe_diff, avg(a - b) AS mean_diff FROM r GROUP BY {key}) o LEFT JOIN v USING ({key})"""
+
+
 def asof(left: str, right: str, on: str, lt: str, rt: str, cols: str, by: str = "") -> str:
     link = f"l.{by} = r.{by} AND " if by else ""
     return f"SELECT l.*, {cols} FROM {left} l ASOF LEFT JOIN {right} r ON {link}l.{lt} >= r.{rt}"
