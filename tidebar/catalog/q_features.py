@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidebar.catalog.base import cte, query
 from tidebar.catalog.q_research import bar_funding
-from tidebar.catalog.tables_sql import backtest, roll, sharpe, win as sqlwin
+from tidebar.catalog.tables_sql import backtest, paired_sql, roll, sharpe, win as sqlwin
 from tidebar.functions.columns import num
 from tidebar.operators import aggregates, metrics, models
 from tidebar.operators import windows as win
@@ -358,11 +358,15 @@ SELECT *, sr * sqrt(CAST(n - 1 AS DOUBLE)) / sqrt(greatest(1 - sk * sr + (ku + 2
 FROM s JOIN d USING (variant) JOIN c USING (variant) LEFT JOIN t USING (variant) LEFT JOIN g USING (variant)""")
 
 
+cte("gain_pairs", "SELECT v.variant, v.ts, v.net AS a, b.net AS b FROM overlay_port v JOIN overlay_port b ON b.ts = v.ts AND b.variant = 'B0' WHERE v.variant <> 'B0'")
+cte("gain_p", paired_sql("gain_pairs", "variant", "ts"))
+
+
 @query("x31_gate_verdict", "variant check_name passed:b all_pass:b n_known:i n_passed:i", """
-WITH v AS (SELECT s.*, b.sharpe AS b_sharpe, b.max_dd_pct AS b_dd, b.cagr_pct AS b_cagr, (SELECT max(sharpe) FROM gate_stats WHERE variant <> 'B0') AS best
- FROM gate_stats s, gate_stats b WHERE b.variant = 'B0' AND s.variant <> 'B0'),
+WITH v AS (SELECT s.*, g.sharpe_p, b.sharpe AS b_sharpe, b.max_dd_pct AS b_dd, b.cagr_pct AS b_cagr, (SELECT max(sharpe) FROM gate_stats WHERE variant <> 'B0') AS best
+ FROM gate_stats s JOIN gate_stats b ON b.variant = 'B0' AND s.variant <> 'B0' LEFT JOIN gain_p g ON g.variant = s.variant),
 l AS (SELECT variant, unnest([
- {'c': 'sharpe_above_base', 'p': sharpe > b_sharpe}, {'c': 'sharpe_above_best_baseline', 'p': sharpe > best}, {'c': 'gain_significant', 'p': NULL},
+ {'c': 'sharpe_above_base', 'p': sharpe > b_sharpe}, {'c': 'sharpe_above_best_baseline', 'p': sharpe > best}, {'c': 'gain_significant', 'p': sharpe_p < 0.05},
  {'c': 'deflated_sharpe', 'p': n >= 20 AND z >= 1.6448536269514722}, {'c': 'drawdown', 'p': abs(max_dd_pct) <= 0.85 * abs(b_dd)},
  {'c': 'growth', 'p': b_cagr <= 0 OR cagr_pct >= 0.8 * b_cagr}, {'c': 'folds', 'p': folds_positive >= 0.7 * greatest(folds_total, 1)},
  {'c': 'double_costs', 'p': stress_sharpe > 0}, {'c': 'without_best_fold', 'p': gap > 0}], recursive := true) FROM v)

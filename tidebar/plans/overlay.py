@@ -11,6 +11,7 @@ from tidebar.operators import metrics, models
 from tidebar.operators import windows as win
 from tidebar.operators.aggregates import sigma_floor, sigma_reference
 from tidebar.operators.blocks import quantiles
+from tidebar.operators.bootstrap import paired_test
 from tidebar.operators.selection import last_n
 from tidebar.operators.sets import upsert_first
 from tidebar.plans.backtest import account, bar_inputs
@@ -149,10 +150,11 @@ def increment_summary(port: DataFrame, preds: DataFrame, base: str = "B0") -> Da
 
 
 def gate_stats(legs: DataFrame, preds: DataFrame, n_trials: int, base: str = "B0", baselines: str = "B") -> DataFrame:
-    """What the overlay gate compares, one row per variant but the base; gain_p is left unknown.
+    """What the overlay gate compares, one row per variant but the base.
 
     ``n_trials`` deflates the Sharpe ratio with the variance over the variants; the best of the variants whose name
-    starts with ``baselines``, the base aside, is the baseline. Under stress every cost is paid twice.
+    starts with ``baselines``, the base aside, is the baseline. Under stress every cost is paid twice. gain_p is the
+    share of paired bootstrap draws in which a variant's Sharpe ratio is not above the base's.
     """
     port = overlay_portfolio(legs, preds)
     s = metrics.summary(port, ["variant"], "ts")
@@ -167,7 +169,10 @@ def gate_stats(legs: DataFrame, preds: DataFrame, n_trials: int, base: str = "B0
         *[F.max(F.when(is_base, F.col(c))).alias(f"base_{c}") for c in ("sharpe", "cagr_pct", "max_dd_pct")],
         F.max(F.when(~is_base & F.startswith("variant", F.lit(baselines)), F.col("sharpe"))).alias("baseline_sharpe"),
     )
-    return mine.crossJoin(F.broadcast(refs)).withColumn("gain_p", F.lit(None).cast("double"))
+    base_net = port.where(is_base).select("ts", F.col("net").alias("b"))
+    pairs = port.where(~is_base).select("variant", "ts", F.col("net").alias("a")).join(base_net, "ts")
+    gain = paired_test(pairs, ["variant"], "ts", "a", "b").select("variant", F.col("sharpe_p").alias("gain_p"))
+    return mine.crossJoin(F.broadcast(refs)).join(gain, "variant", "left")
 
 
 def decision_log(
