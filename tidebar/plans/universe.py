@@ -38,12 +38,12 @@ def eligible(symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
 
 
 def panel(bars: DataFrame, adv_window: int = ADV_WINDOW, top_n: int = TOP_RANK) -> DataFrame:
-    """Ranked daily panel: only symbols with a full trailing volume window on the date."""
+    """Ranked daily panel: only symbols with a full trailing volume window on the date; n_bars counts a symbol's bars so far."""
     w = win.series("symbol")
     adv = win.rolling_mean("quote_volume", w, adv_window)
     out = bars.select(
         F.col("ts").alias("date"), "symbol", "close", F.col("quote_volume").alias("dollar_vol"),
-        adv.alias("adv30"),
+        adv.alias("adv30"), F.row_number().over(w).cast("long").alias("n_bars"),
     ).where(F.col("adv30").isNotNull())
     rank = win.first_tie_rank("adv30", "date", "symbol").cast("long")
     return out.withColumn("rank", rank).withColumn("in_universe", F.col("rank") <= top_n)
@@ -78,15 +78,9 @@ def ranker_panel(
     p = panel(bars, adv_window, top_rank)
     if start is not None:
         p = p.where(F.col("date") >= start)
-    counts = bars.select(
-        F.col("ts").alias("date"), "symbol",
-        F.row_number().over(win.series("symbol")).cast("long").alias("n_bars"),
-    )
-    p = p.join(counts, ["date", "symbol"], "left")
     # position of each date on the shared grid; consecutive grid steps make a valid return
     grid = p.select("date").distinct()
     grid = grid.withColumn("_g", F.row_number().over(W.orderBy("date")).cast("long"))
-    
     p = p.join(F.broadcast(grid), "date")
     w = W.partitionBy("symbol").orderBy("date")
     adjacent = F.lag("_g").over(w) == F.col("_g") - 1

@@ -79,6 +79,7 @@ def upsert_partitions(
         merged = new
         if stored is not None:
             touched = new.select(partition).distinct()
+            # one row per partition folder, which the driver lists anyway; only so does the scan skip the other folders
             same = stored.join(F.broadcast(touched), partition, "left_semi")
             merged = upsert_last(same, new, keys)
         stage = f"{path}_staging/batch={batch_id}"
