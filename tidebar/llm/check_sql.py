@@ -6,7 +6,7 @@ from __future__ import annotations
 from tidebar.llm.line_templates import LEVELS
 from tidebar.llm.pii import KINDS
 from tidebar.llm.secret_links import BREAK_PLAIN, ENDPOINT, ID, NAMED, PARTS, REACH, SECRET, SECRET_NAMES, VALUE
-from tidebar.llm.token_rollup import VERSIONS
+from tidebar.llm.token_rollup import PATTERNS
 
 WORD = r"[^\x20\x09-\x0D]+"
 GAP = r"[\x20\x09-\x0D]+"
@@ -110,12 +110,10 @@ FROM d LEFT JOIN p USING (rid)
 
 
 def tokens_sql(text: str, version: str) -> str:
-    pattern, marks = VERSIONS[version]
-    found = f"len(regexp_extract_all({text}, '{pattern}'))"
-    return f"({found} + length(regexp_replace({text}, '[^!-/:-@\\x5B-\\x60{{-~]', '', 'g')))" if marks else found
+    return "(" + " + ".join(f"len(regexp_extract_all({text}, '{p}'))" for p in PATTERNS[version]) + ")"
 
 
-V1, V2 = VERSIONS
+V1, V2 = PATTERNS
 ROLLUP = rf"""
 WITH t AS (SELECT doc_id, source, lang, coalesce(text, '') AS a, regexp_replace(coalesce(text, ''), '[#*$%&|<>]', '', 'g') AS b FROM documents),
 c AS (SELECT doc_id, source, lang, '{V1}' AS tokenizer, {tokens_sql("a", V1)} AS n, {tokens_sql("b", V1)} AS revised FROM t

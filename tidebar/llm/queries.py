@@ -16,7 +16,8 @@ from tidebar.llm.common import staged
 from tidebar.session import scratch_path
 
 
-JUNK = "#*$%&|<>"
+def without_junk(text: bytes) -> bytes:
+    return text.translate(None, b"#*$%&|<>")
 
 
 def table(spark: SparkSession, path: str, name: str) -> DataFrame:
@@ -53,7 +54,7 @@ def op6_token_rollup(spark: SparkSession, path: str) -> DataFrame:
     version's own counts of those labelled as poor to those of the text without symbols of junk; then sends a batch again
     and compacts."""
     docs, labels = table(spark, path, "documents"), table(spark, path, "labels")
-    counts = staged(token_rollup.counted(docs, revised=F.translate("text", JUNK, "")), "token-counts")
+    counts = staged(token_rollup.counted(docs, revise=without_junk), "token-counts")
     marks = labels.groupBy("doc_id").agg(F.max("toxic").alias("toxic"), F.min("quality").alias("quality"))
     marked = counts.join(marks, "doc_id")
     toxic = token_rollup.signed(marked.where("toxic = 1"), old=F.col("tokens"))

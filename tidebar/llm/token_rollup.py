@@ -19,34 +19,59 @@ are both 0 are left out. Other columns are left alone.
 
 from __future__ import annotations
 
+import string
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 KEYS = ("source", "lang", "tokenizer")
 DELTA = "source string, lang string, tokenizer string, n_docs bigint, n_tokens bigint"
-MARKS = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
-# Versions of a countable tokenizer, as (pattern of a token, ASCII marks that are tokens of their own): words between
-# white space; and runs without ASCII marks and control characters, every mark on its own.
-VERSIONS = {"words-1": (r"[^\x20\x09-\x0D]+", ""), "marks-2": (r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", MARKS)}
+MARKS = string.punctuation.encode()
+# UTF-8 bytes: what is no letter, digit or beyond ASCII parts runs.
+RUNS = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in range(256))
+
+
+def count_words(text: bytes) -> int:
+    """Runs between ASCII white space."""
+    return len(text.split())
+
+
+def count_marks(text: bytes) -> int:
+    """Runs without ASCII marks and control characters, and every mark on its own."""
+    return len(text.translate(RUNS).split()) + len(text) - len(text.translate(None, MARKS))
 
 
-def n_tokens(text: Column, pattern: str, marks: str) -> Column:
-    found = F.regexp_count(text, F.lit(pattern))
-    if marks:
-        found = found + F.length(text) - F.length(F.translate(text, marks, ""))
-    return F.coalesce(found, F.lit(0)).cast("bigint")
+# Versions of a countable tokenizer, and patterns whose matches, none inside another's, are their tokens.
+VERSIONS: dict[str, Callable[[bytes], int]] = {"words-1": count_words, "marks-2": count_marks}
+PATTERNS = {
+    "words-1": (r"[^\x20\x09-\x0D]+",),
+    "marks-2": (r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", r"[!-/:-@\x5B-\x60{-~]"),
+}
 
 
-def counted(docs: DataFrame, versions: dict[str, tuple[str, str]] = VERSIONS, revised: Column | None = None) -> DataFrame:
+def counted(
+    docs: DataFrame, versions: dict[str, Callable[[bytes], int]] = VERSIONS, revise: Callable[[bytes], bytes] | None = None,
+) -> DataFrame:
     """(doc_id, source, lang, tokenizer, tokens): one row per document and version, from one pass over the texts; with
-    ``revised``, a text derived from the document's, also its count (revised)."""
-    texts = {"tokens": F.col("text")} if revised is None else {"tokens": F.col("text"), "revised": revised}
-    n = F.array(*[
-        F.struct(F.lit(v).alias("tokenizer"), *[n_tokens(t, *how).alias(c) for c, t in texts.items()]) for v, how in versions.items()
-    ])
-    rows = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), n.alias("n"))
-    return rows.select("doc_id", "source", "lang", F.inline("n"))
+    ``revise``, which makes another text of a text, also its count (revised). In Arrow batches, over UTF-8 bytes."""
+    rows = docs.select("doc_id", F.col("source").cast("string"), F.col("lang").cast("string"), "text")
+    names = ["doc_id", "source", "lang", "tokenizer", "tokens", *(["revised"] if revise else [])]
+    kept = T.StructType(rows.schema.fields[:3])
+    kind = T.StructType([*kept.fields, T.StructField("tokenizer", T.StringType()), *[T.StructField(n, T.LongType()) for n in names[4:]]])
+
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            texts = [t.as_py() or b"" for t in b.column("text").cast(pa.binary())]
+            others = [list(map(revise, texts))] if revise else []
+            for name, count in versions.items():
+                numbers = [pa.array(map(count, x), pa.int64(), size=b.num_rows) for x in (texts, *others)]
+                yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([name] * b.num_rows, pa.string()), *numbers], names=names)
+
+    return rows.mapInArrow(each, kind)
 
 
 def signed(rows: DataFrame, new: Column | None = None, old: Column | None = None) -> DataFrame:
