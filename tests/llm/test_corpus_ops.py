@@ -180,6 +180,34 @@ def test_packing_is_gapless_and_exact(docs):
         assert at <= 256 and (at & (at - 1)) == 0
 
 
+def test_packing_of_repeated_rows_and_null_ids(docs):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    tok = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    tokens = Counter()
+    for i, t in taken(docs, "doc_id", "text"):
+        tokens[i] += len(tok.encode(t or "", add_special_tokens=False).ids) + 1
+    got = packing.pack(docs.repartition(3), length=256, open_windows=3, merge=2).collect()
+    packed, ends = Counter(), {}
+    for r in got:
+        packed[r.doc_id] += r.length
+        ends.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    assert packed == tokens
+    for pieces in ends.values():
+        at = 0
+        for offset, length in sorted(pieces):
+            assert offset == at
+            at += length
+        assert at <= 256 and at & (at - 1) == 0  # so no sequence is padded
+
+
+def test_pii_leaves_clashing_columns_and_repeats_alone(spark):
+    rows = [(1, "mail a@b.co", "x", "y", "z"), (1, "mail a@b.co", "x", "y", "z"), (None, None, None, None, None)]
+    got = pii.report(spark.createDataFrame(rows, "doc_id bigint, text string, p_email string, h_ip string, spans string")).collect()
+    assert sorted((r.n_email, r.spans) for r in got) == [(0, ""), (1, "email:5:11"), (1, "email:5:11")]
+
+
 def test_word_encoder_equals_tokenizer():
     import public_tokenizers
 
