@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidebar.catalog.base import cte, query
+from tidebar.catalog.q_features import classifier, score_cols, score_sql
 from tidebar.catalog.q_tables import K
 from tidebar.catalog.tables_sql import asof, block_band_sql, donchian_pos, sharpe, win as sqlwin
 from tidebar.functions.columns import num
@@ -186,15 +187,26 @@ def _x25b(t):
     return portfolio.log_rows(_log(t, p), new)
 
 
-@query("m14_ranker_classifier", "fold:i n:i mean_p:3")
+_RANK = ["z", "z1", "z2", "z3", "z4", "z_rank"]
+cte("rank_rows", """
+WITH r AS (SELECT *, CASE WHEN member AND z IS NOT NULL THEN (rank() OVER (PARTITION BY date ORDER BY CASE WHEN member THEN z END NULLS LAST)
+  + (count(*) OVER (PARTITION BY date, CASE WHEN member THEN z END) - 1) / 2.0) / count(CASE WHEN member THEN z END) OVER (PARTITION BY date) END AS z_rank FROM channels),
+l AS (SELECT *, lag(z, 1) OVER s AS z1, lag(z, 2) OVER s AS z2, lag(z, 3) OVER s AS z3, lag(z, 4) OVER s AS z4 FROM r WHERE z IS NOT NULL WINDOW s AS (PARTITION BY symbol ORDER BY date)),
+m AS (SELECT * FROM l WHERE z4 IS NOT NULL AND member), b AS (SELECT min(date) AS t0, max(date) AS t_end FROM m),
+f AS (SELECT k AS fold, t0 + to_days(CAST(730 + 182 * k AS INTEGER)) AS train_end, t0 + to_days(CAST(912 + 182 * k AS INTEGER)) AS val_end,
+  least(t0 + to_days(CAST(1094 + 182 * k AS INTEGER)), t_end) AS test_end FROM b, (SELECT unnest(range(60)) AS k)
+ WHERE t0 + to_days(CAST(912 + 182 * k AS INTEGER)) < t_end - INTERVAL 30 DAY)
+SELECT m.*, label AS y, fold, CASE WHEN date <= train_end - INTERVAL 5 DAY THEN 'train' WHEN date > val_end AND date <= test_end THEN 'test' END AS split FROM m JOIN f ON date <= test_end""")
+
+
+@query("m14_ranker_classifier", score_cols(_RANK), score_sql("rank_rows", _RANK))
 def _m14(t):
     p = universe.return_channels(ranker(t, True), 0.5).where("z is not null")
     w = win.series("symbol", order="date")
     p = p.withColumns({f"z{k}": F.lag("z", k).over(w) for k in range(1, 5)}).where("z4 is not null and member")
     bounds = p.agg(F.min("date").alias("t0"), F.max("date").alias("t_end"))
     g = walkforward.split_rows(p, walkforward.fold_schedule(bounds, 730), "date")
-    out = models.logistic_by_key(g.where("split = 'train'"), g.where("split = 'test'"), "fold", walkforward.fold_numbers(g), ["z", "z1", "z2", "z3", "z4", "z_rank"], "label", "p")
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p").alias("mean_p"))
+    return classifier(g, _RANK, "label")
 
 
 # ---------------- ledger ----------------

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from tidebar.catalog.base import cte, query
 from tidebar.catalog.q_research import bar_funding
 from tidebar.catalog.tables_sql import backtest, paired_sql, roll, sharpe, win as sqlwin
-from tidebar.functions.columns import num
+from tidebar.functions.columns import TAIL_Z, num, tail_label
 from tidebar.operators import aggregates, metrics, models
 from tidebar.operators import windows as win
 from tidebar.plans import features as X
@@ -404,24 +404,60 @@ def _x24b(t):
     return _x24(t).where("variant = 'B1'")
 
 
-@query("m13_linear_forecasts", "variant fold:i n:i vol_mae_log:4")
+_LIN = ["c_vol5", "c_vol20", "c_vol60", "c_range", "x_spy_vol20", "x_vix_log", "x_gld_vol20"]
+_LIN_OWN = {c: g[0] for g, (cols, _) in X.GROUPS.items() for c in cols}
+
+
+def _lin_sql(c: str) -> str:
+    return f"CASE WHEN v.{_LIN_OWN[c]} THEN {c} ELSE 0 END AS {c}" if c in _LIN_OWN else c
+
+
+# the normal equations determine a least-squares fit: fitted values have the label's moments with every regressor
+@query("m13_linear_forecasts", "variant fold:i n:i n_fit:i eq_0:6 " + " ".join(f"eq_{c}:6" for c in _LIN), f"""
+WITH r AS (SELECT v.variant, fold, split, label_logvol5 AS y, {', '.join(_lin_sql(c) for c in _LIN)}
+ FROM feat_split CROSS JOIN (VALUES ('E1', FALSE, FALSE, FALSE), ('E2', TRUE, FALSE, FALSE), ('E3', TRUE, TRUE, FALSE), ('E4', TRUE, TRUE, TRUE)) AS v(variant, e, v, g)
+ WHERE c_vol60 IS NOT NULL AND label_logvol5 IS NOT NULL),
+f AS (SELECT variant, fold, count(*) AS n_fit, avg(y) AS eq_0, {', '.join(f'avg(y * {c}) AS eq_{c}' for c in _LIN)} FROM r
+ WHERE split = 'train' AND {' AND '.join(f'{c} IS NOT NULL' for c in _LIN)} GROUP BY ALL)
+SELECT f.*, n FROM f JOIN (SELECT variant, fold, count(*) AS n FROM r WHERE split = 'test' GROUP BY ALL) USING (variant, fold)""")
 def _m13(t):
-    g = tagged(t)
-    a = X.ablate(g).withColumn("_k", F.concat_ws("|", "variant", "fold"))
-    feats = ["c_vol5", "c_vol20", "c_vol60", "c_range", "x_spy_vol20", "x_vix_log", "x_gld_vol20"]
-    feats_ok = a.dropna(subset=["c_vol60"])
-    out = models.linear_vol_forecast(feats_ok.where("split = 'train'"), feats_ok.where("split = 'test'"), ["variant", "fold"], feats)
-    err = F.abs(F.ln("sigma_hat") - F.col("label_logvol5"))
-    return out.where("label_logvol5 is not null").groupBy("variant", "fold").agg(F.count(F.lit(1)).alias("n"), F.avg(err).alias("vol_mae_log"))
+    keys = ["variant", "fold"]
+    rows = X.ablate(tagged(t)).dropna(subset=["c_vol60", "label_logvol5"])
+    train = rows.where("split = 'train'").dropna(subset=_LIN)
+    out = models.linear_vol_forecast(train, train.unionByName(rows.where("split = 'test'")), keys, _LIN)
+    fitted, fit = F.ln("sigma_hat"), F.col("split") == "train"
+    eqs = [F.avg(F.when(fit, fitted * x)).alias(f"eq_{c}") for c, x in [("0", num(1)), *[(c, F.col(c)) for c in _LIN]]]
+    return out.groupBy(*keys).agg(F.count_if(~fit).alias("n"), F.count_if(fit).alias("n_fit"), *eqs).where("n > 0")
 
 
-@query("m13_tail_classifier", "fold:i n:i mean_p:4")
-def _m13b(t):
-    from tidebar.functions.columns import tail_label
+_TAIL = ["c_vol5", "c_vol20", "c_vol60", "c_ret21_n"]
 
-    g = tagged(t).dropna(subset=["c_vol60", "c_ret63_n"])
-    g = g.withColumn("y", tail_label("label_minz5", "c_sigma20d", num(1e-4)))
-    out = models.logistic_by_key(g.where("split = 'train'"), g.where("split = 'test'"), "fold", walkforward.fold_numbers(g), ["c_vol5", "c_vol20", "c_vol60", "c_ret21_n"], "y", "p_tail")
-    return out.groupBy("fold").agg(F.count(F.lit(1)).alias("n"), F.avg("p_tail").alias("mean_p"))
 
+def score_sql(rows: str, features: list[str]) -> str:
+    """Per fold the right sides of the score equations, and the sizes, of rows (fold, split, y, features)."""
+    eqs = ", ".join(f"covar_pop({c}, y) / stddev_samp({c}) AS eq_{c}" for c in features)
+    return f"""
+WITH r AS (SELECT * FROM {rows} WHERE {' AND '.join(f'{c} IS NOT NULL' for c in features)}),
+f AS (SELECT fold, count(*) AS n_fit, avg(y) AS eq_0, {eqs} FROM r WHERE split = 'train' AND y IS NOT NULL GROUP BY fold)
+SELECT f.*, n, TRUE AS converged FROM f JOIN (SELECT fold, count(*) AS n FROM r WHERE split = 'test' GROUP BY fold) USING (fold)"""
 
+
+def score_cols(features: list[str]) -> str:
+    return "fold:i n:i n_fit:i converged:b eq_0:6 " + " ".join(f"eq_{c}:6" for c in features)
+
+
+def classifier(g, features: list[str], label: str):
+    """Fit all folds together, score their test rows, and report the fit's score equations."""
+    train = g.where("split = 'train'")
+    fits = models.logistic_fits(train, ["fold"], features, label)
+    scored = models.logistic_scores(g.where("split = 'test'"), fits, ["fold"], features, "p")
+    sure = scored.where("p between 0 and 1").groupBy("fold").agg(F.count(F.lit(1)).alias("n"))
+    eqs = models.score_equations(train, fits, ["fold"], features, label)
+    return eqs.join(fits.select("fold", "converged"), "fold").join(sure, "fold")
+
+
+@query("m13_tail_classifier", score_cols(_TAIL), score_sql(f"""(SELECT *, CASE WHEN z IS NOT NULL THEN CAST(z <= {TAIL_Z} AS DOUBLE) END AS y
+ FROM (SELECT *, label_minz5 * c_sigma20d / greatest(c_sigma20d, 1e-4) AS z FROM feat_split) WHERE c_ret63_n IS NOT NULL)""", _TAIL))
+def _m13b(t):
+    g = tagged(t).dropna(subset=["c_vol60", "c_ret63_n"])
+    return classifier(g.withColumn("y", tail_label("label_minz5", "c_sigma20d", num(1e-4))), _TAIL, "y")

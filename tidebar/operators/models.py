@@ -11,12 +11,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidebar.functions.columns import har_design, num
 from tidebar.operators.blocks import with_value_blocks
+from tidebar.session import scratch_path
 
 HAR_COLUMNS = ["har_0", "har_1", "har_2", "har_3"]
 
@@ -156,26 +157,123 @@ def linear_vol_forecast(
     return scored.withColumn("sigma_hat", F.exp(total)).drop("_x0", *names)
 
 
-def logistic_by_key(
-    train: DataFrame, rows: DataFrame, key: str, values: list, features: list[str], label: str,
-    out: str, reg: float = 1e-3, max_iter: int = 20,
+def _usable(rows: DataFrame, features: list[str]) -> DataFrame:
+    """Rows with a number in every feature."""
+    for c in features:
+        x = F.col(c).cast("double")
+        rows = rows.where(x.isNotNull() & ~F.isnan(x))
+    return rows
+
+
+def _score(features: list[str]) -> tuple[list[Column], Column]:
+    """Standardised terms (the first is the constant) and the log odds, from the columns of a fit."""
+    z = [num(1), *[(F.col(c).cast("double") - F.col("_mean")[j]) / F.col("_std")[j] for j, c in enumerate(features)]]
+    odds = F.col("_beta")[0]
+    for j, x in enumerate(z[1:], 1):
+        odds = odds + F.col("_beta")[j] * x
+    return z, odds
+
+
+def _solve(state: dict, n: float, loss: float, grad: np.ndarray, hess: np.ndarray, reg: float, tol: float) -> None:
+    """Next trial of one fit from the sums at its present one. A trial that raised the loss is halved."""
+    beta = state["beta"]
+    ridge = np.full(len(beta), reg)
+    ridge[0] = 0.0
+    value = loss / n + 0.5 * float(ridge @ (beta * beta))
+    if state["from"] is not None and not value <= state["value"] + 1e-14 * abs(state["value"]) and state["halved"] < 40:
+        state["step"] = state["step"] / 2
+        state["halved"] += 1
+        state["beta"] = state["from"] + state["step"]
+        return
+    slope = grad / n - ridge * beta
+    state.update(value=value, halved=0, converged=bool(np.abs(slope).max() <= tol))
+    if not state["converged"]:
+        step = np.linalg.lstsq(hess / n + np.diag(ridge), slope, rcond=None)[0]
+        state.update({"from": beta, "step": step, "beta": beta + step})
+
+
+def logistic_fits(
+    train: DataFrame, keys: list[str], features: list[str], label: str, reg: float = 1e-3, tol: float = 1e-12,
+    max_steps: int = 60,
 ) -> DataFrame:
-    """One regularised logistic regression per key value (a short list of folds or
-    fold-variant pairs); every fit is a distributed job over its own rows."""
-    from functools import reduce
-
-    from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import VectorAssembler
-    from pyspark.ml.functions import vector_to_array
-
-    asm = VectorAssembler(inputCols=features, outputCol="_v", handleInvalid="skip")
-    parts = []
-    for v in values:
-        fit_rows = asm.transform(train.where((F.col(key) == v) & F.col(label).isNotNull()))
-        model = LogisticRegression(
-            featuresCol="_v", labelCol=label, regParam=reg, maxIter=max_iter, predictionCol="_pred",
-            probabilityCol="_prob", rawPredictionCol="_raw",
-        ).fit(fit_rows)
-        scored = model.transform(asm.transform(rows.where(F.col(key) == v)))
-        parts.append(scored.withColumn(out, vector_to_array("_prob")[1]).drop("_v", "_raw", "_prob", "_pred"))
-    return reduce(lambda a, b: a.unionByName(b), parts)
+    """Ridge logistic regressions of a 0/1 label, one per key, all fitted together.
+
+    Each Newton step is one job, whatever the number of keys: gradient, Hessian and loss are sums by key that combine
+    before the shuffle, so what reaches the driver is one row of (features + 1)^2 numbers per key. Keys are folds and
+    variants, not data. Features are standardised by the key's own rows; the ridge, on the standardised slopes, leaves
+    the constant free. Keys that have converged take no further part. Rows without a label or a feature do not count; a
+    constant feature gets slope 0; a key with one label only predicts that label.
+
+    Returns per key (n_fit, steps, converged, _mean, _std, _beta), the constant first in ``_beta``.
+    """
+    spark = train.sparkSession
+    rows = _usable(train.where(F.col(label).isNotNull()), features)
+    path = scratch_path(spark, "logistic")
+    rows.select(*keys, F.col(label).cast("double").alias("_y"), *[F.col(c).cast("double").alias(c) for c in features]).write.parquet(path)
+    rows = spark.read.parquet(path)
+    spread = [f(F.col(c)) for c in features for f in (F.avg, F.stddev_samp)]
+    sizes = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"), F.sum("_y").alias("pos"), F.array(*spread).alias("spread"))
+    fits: dict[tuple, dict] = {}
+    for r in sizes.collect():  # one row per key
+        mean, std = r["spread"][0::2], [s if s else 1.0 for s in r["spread"][1::2]]
+        beta, rate = np.zeros(len(features) + 1), r["pos"] / r["n"]
+        sure = rate in (0.0, 1.0)
+        beta[0] = np.inf if rate == 1.0 else -np.inf if rate == 0.0 else np.log(rate / (1 - rate))
+        fits[tuple(r[k] for k in keys)] = {
+            "n": r["n"], "mean": mean, "std": std, "beta": beta, "converged": sure, "steps": 0,
+            "from": None, "step": None, "value": None, "halved": 0}
+    fields = T.StructType([rows.schema[k] for k in keys])
+    for name in ("_mean", "_std", "_beta"):
+        fields.add(name, T.ArrayType(T.DoubleType()))
+    k = len(features) + 1
+    pairs = [(i, j) for i in range(k) for j in range(i, k)]
+    z, odds = _score(features)
+    for _ in range(max_steps):
+        open_fits = {key: f for key, f in fits.items() if not f["converged"]}
+        if not open_fits:
+            break
+        trial = [(*key, f["mean"], f["std"], [float(b) for b in f["beta"]]) for key, f in open_fits.items()]
+        at = rows.join(F.broadcast(spark.createDataFrame(trial, fields)), keys)  # one row per key
+        at = at.select(*keys, "_y", odds.alias("_odds"), *[c.alias(f"_z{i}") for i, c in enumerate(z)])
+        at = at.withColumn("_p", num(1) / (num(1) + F.exp(-F.col("_odds"))))
+        loss = F.greatest(F.col("_odds"), num(0)) - F.col("_y") * F.col("_odds") + F.log1p(F.exp(-F.abs("_odds")))
+        sums = at.groupBy(*keys).agg(
+            F.sum(loss).alias("loss"),
+            F.array(*[F.sum((F.col("_y") - F.col("_p")) * F.col(f"_z{i}")) for i in range(k)]).alias("grad"),
+            F.array(*[F.sum(F.col("_p") * (num(1) - F.col("_p")) * F.col(f"_z{i}") * F.col(f"_z{j}")) for i, j in pairs]).alias("hess"))
+        for r in sums.collect():  # one row per key
+            f = fits[tuple(r[c] for c in keys)]
+            hess = np.zeros((k, k))
+            for (i, j), v in zip(pairs, r["hess"], strict=True):
+                hess[i, j] = hess[j, i] = v
+            f["steps"] += 1
+            _solve(f, f["n"], r["loss"], np.array(r["grad"]), hess, reg, tol)
+    out = T.StructType([*fields.fields[:len(keys)], T.StructField("n_fit", T.LongType()), T.StructField("steps", T.LongType()),
+                        T.StructField("converged", T.BooleanType()), *fields.fields[len(keys):]])
+    made = [(*key, f["n"], f["steps"], f["converged"], f["mean"], f["std"], [float(b) for b in f["beta"]]) for key, f in fits.items()]
+    return spark.createDataFrame(made, out)
+
+
+def logistic_scores(rows: DataFrame, fits: DataFrame, keys: list[str], features: list[str], out: str) -> DataFrame:
+    """Rows of the fitted keys with their probability; rows without a feature are left out, as in the fit."""
+    _, odds = _score(features)
+    models = F.broadcast(fits.select(*keys, "_mean", "_std", "_beta"))  # one row per key
+    scored = _usable(rows, features).join(models, keys)
+    return scored.withColumn(out, num(1) / (num(1) + F.exp(-odds))).drop("_mean", "_std", "_beta")
+
+
+def score_equations(
+    train: DataFrame, fits: DataFrame, keys: list[str], features: list[str], label: str, reg: float = 1e-3
+) -> DataFrame:
+    """Left sides of the fit's score equations: per key ``eq_0`` and ``eq_<feature>``.
+
+    At the optimum the mean of p times a standardised term, plus the ridge's share, equals the mean of the label times
+    that term. The problem is strictly convex, so the equations hold for no other coefficients.
+    """
+    z, odds = _score(features)
+    models = F.broadcast(fits.select(*keys, "_mean", "_std", "_beta"))  # one row per key
+    rows = _usable(train.where(F.col(label).isNotNull()), features).join(models, keys)
+    p = num(1) / (num(1) + F.exp(-odds))
+    eqs = [F.avg(p).alias("eq_0")]
+    eqs += [(F.avg(p * z[j]) + num(reg) * F.first("_beta")[j]).alias(f"eq_{c}") for j, c in enumerate(features, 1)]
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_fit"), *eqs)

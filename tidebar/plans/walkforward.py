@@ -171,8 +171,3 @@ def regime_slices(
     return g.agg(
         F.count(ret).alias("n"), F.when(F.count(ret) > min_rows, metrics.sharpe(ret)).alias("sharpe")
     )
-
-
-def fold_numbers(rows: DataFrame) -> list[int]:
-    """The folds that rows were dealt to: a handful of numbers, needed on the driver to start one fit each."""
-    return sorted(r.fold for r in rows.select("fold").distinct().collect())
