@@ -94,6 +94,44 @@ def _t8(t):
     return t.spark.read.parquet(path).withColumnRenamed("batch", "run")
 
 
+_TTL = "INTERVAL 24 HOUR"
+
+
+# what the watermark, an hour behind the last flag, has passed
+@query("t4_flag_stream", "asset ts:t severity:i status", f"""
+WITH f AS (SELECT event_type AS asset, CAST(date_trunc('millisecond', ts) AS TIMESTAMP) AS ts, max(CAST(floor(value) AS BIGINT)) AS severity FROM events WHERE value > 150 GROUP BY 1, 2),
+m AS (SELECT max(ts) - INTERVAL 1 HOUR AS wm FROM f),
+l AS (SELECT f.*, lead(ts) OVER (PARTITION BY asset ORDER BY ts) AS nxt, wm FROM f, m WHERE ts <= wm)
+SELECT asset, ts, severity, 'known' AS status FROM l
+UNION ALL SELECT asset, ts + {_TTL}, NULL, 'unknown' FROM l WHERE CASE WHEN nxt IS NULL THEN ts + {_TTL} <= wm ELSE nxt > ts + {_TTL} END""")
+def _t4_stream(t):
+    path = scratch_path(t.spark, "t4-out")
+
+    def start(stream, offsets):
+        flags = stream.where("value > 150").select(F.col("event_type").alias("asset"), "ts", F.floor("value").alias("severity"))
+        return jobs.append_rows(jobs.flag_history(flags), path, offsets)
+
+    landed(t, "t4", start)
+    return t.spark.read.parquet(path)
+
+
+@query("t8_late_stream", "symbol session_date:d run:i", """
+SELECT symbol, session_date, CASE WHEN session_date < DATE '1996-01-01' THEN 0 WHEN session_date < DATE '1996-07-01' THEN 1 ELSE 2 END AS run FROM sessions""")
+def _t8_stream(t):
+    """Three runs of one stream: rows land in the first and last; the second only has a later clock."""
+    src, ticks, path, held, offsets = (scratch_path(t.spark, f"t8-{n}") for n in ("src", "ticks", "out", "held", "offsets"))
+    landing = t.sessions.select("symbol", "session_date", "available_at")
+    sink = jobs.admit_when_available(path, held, ["symbol", "session_date"], ["available_at"])
+    first, late = F.col("session_date") < "1997-01-01", F.col("session_date") >= "1997-01-01"
+    for part, now in ((first, "1996-01-01 06:00:00"), (None, "1996-07-01 12:00:00"), (late, "2100-01-01 00:00:00")):
+        if part is not None:
+            landing.where(part).write.mode("append").parquet(src)
+        t.spark.range(1).select(F.lit(now).cast("timestamp").alias("tick")).write.mode("append").parquet(ticks)
+        stream = jobs.with_clock(t.spark.readStream.schema(landing.schema).parquet(src), t.spark.readStream.schema("tick timestamp").parquet(ticks))
+        jobs.run_batches(stream, sink, offsets).awaitTermination()
+    return t.spark.read.parquet(path).withColumnRenamed("batch", "run")
+
+
 # ---------------- archives and funding files ----------------
 
 

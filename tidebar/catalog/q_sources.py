@@ -8,6 +8,7 @@ from tidebar.catalog.base import query
 from tidebar.catalog.tables_sql import donchian_pos
 from tidebar.functions.columns import num
 from tidebar.operators import aggregates
+from tidebar.operators import windows as win
 from tidebar.plans import registry
 from tidebar.session import scratch_path
 from tidebar.sources import readers, sinks
@@ -31,6 +32,20 @@ def _s1(t):
     return readers.read_bars(t.spark, f"{root}/market", "spot", "1d", ["NO", "AF"])
 
 
+@query("s1_bucketed_rolling", "symbol ts:t close:8 mean20:6 funding_rate:9", """
+SELECT symbol, ts, close, CASE WHEN count(*) OVER w >= 20 THEN avg(close) OVER w END AS mean20, funding_rate
+FROM hbars LEFT JOIN funding USING (symbol, ts) WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 19 PRECEDING AND CURRENT ROW)""")
+def _s1_bucketed(t):
+    """Hourly bars and funding stored by series: the rolling mean needs no shuffle, nor does the join where the session allows it."""
+    def store(rows, name):
+        path = scratch_path(t.spark, name)
+        return sinks.bucket_bars(rows, path.rsplit("/", 1)[1].replace("-", "_"), path, 8)
+
+    bars, funding = store(t.hbars.select("symbol", "ts", "close"), "s1-bars"), store(t.funding, "s1-funding")
+    mean = win.rolling_mean("close", win.series("symbol"), 20)
+    return bars.withColumn("mean20", mean).join(funding.hint("merge"), ["symbol", "ts"], "left")
+
+
 @query("s2_named_views", "market symbol n:i", """
 SELECT 'spot' AS market, symbol, count(*) AS n FROM bars GROUP BY 2
 UNION ALL SELECT 'um', symbol, count(*) FROM hbars GROUP BY 2""")

@@ -25,6 +25,21 @@ def append_history(df: DataFrame, path: str, partition_by: list[str] | None = No
     w.parquet(path)
 
 
+def bucket_bars(bars: DataFrame, table: str, path: str, buckets: int, keys: tuple[str, ...] = ("symbol",), order: str = "ts") -> DataFrame:
+    """Store bars as a table bucketed by series and sorted in time within a bucket, and return its scan.
+
+    Rows are dealt to their buckets by one shuffle at writing, so each bucket is one file. From then on a window over a
+    series or an aggregate by series reads bucket by bucket, without a shuffle. So does a join with a table of as many buckets
+    on ``keys``; one on more columns, such as series and time, only in a session that sets
+    ``spark.sql.requireAllClusterKeysForCoPartition`` to false.
+    Choose ``buckets`` so that one holds some hundred megabytes; a series lies in one bucket, and is bounded by the calendar.
+    """
+    spark = bars.sparkSession
+    rows = bars.repartition(buckets, *keys)
+    rows.write.bucketBy(buckets, *keys).sortBy(*keys, order).option("path", path).format("parquet").saveAsTable(table)
+    return spark.table(table)
+
+
 def write_signals(weights: DataFrame, path: str, strategy: str) -> None:
     """Full weight table plus a one-row JSON of the latest decision."""
     replace_table(weights, f"{path}/{strategy}")
