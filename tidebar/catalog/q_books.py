@@ -383,14 +383,16 @@ def _x29b(t):
     return review.band_flags(r, bootstrap.block_band(model, ["book"], "day", "net", 60), ["book"])
 
 
-@query("e4_session_providers", "provider symbol n:i first:d close:5 volume:1", """
+_PROVIDERS = ("vendor_csv", "index_csv", "chart_json")
+_E4 = f"""
 SELECT provider, symbol, count(*) AS n, min(session_date) AS first, avg(close) AS close, sum(volume) AS volume
-FROM sessions CROSS JOIN (SELECT unnest(['vendor_csv', 'index_csv', 'chart_json']) AS provider) GROUP BY 1, 2""")
-def _e4(t):
+FROM sessions CROSS JOIN (SELECT unnest({list(_PROVIDERS)}) AS provider) GROUP BY 1, 2"""
+
+
+def session_files(t) -> dict[str, str]:
+    """The sessions as files of each provider, a folder per symbol."""
     from tidebar.functions.times import seconds
-    from tidebar.sources.readers import read_sessions
 
-    now = F.lit("2010-01-01 00:00:00").cast("timestamp")
     cols = ("open", "high", "low", "close", "volume")
     csv, json = scratch_path(t.spark, "e4"), scratch_path(t.spark, "e4")
     text = [F.col(c).cast("string").alias(c.upper()) for c in cols]
@@ -400,7 +402,27 @@ def _e4(t):
     bars = t.sessions.groupBy("symbol").agg(F.collect_list(bar).alias("_b"))
     body = F.to_json(F.struct(*[F.col("_b")[c].alias(c) for c in ("timestamp", *cols)]))
     bars.select("symbol", body.alias("body")).write.partitionBy("symbol").text(json)
-    read = [read_sessions(name, t.spark, json if name == "chart_json" else csv, None, now) for name in ("vendor_csv", "index_csv", "chart_json")]
-    u = read[0].unionByName(read[1]).unionByName(read[2])
+    return {name: json if name == "chart_json" else csv for name in _PROVIDERS}
+
+
+def _by_provider(parts):
+    u = parts[0].unionByName(parts[1]).unionByName(parts[2])
     return u.groupBy(F.col("source").alias("provider"), "symbol").agg(
         F.count(F.lit(1)).alias("n"), F.min("session_date").alias("first"), F.avg("close").alias("close"), F.sum("volume").alias("volume"))
+
+
+@query("e4_session_providers", "provider symbol n:i first:d close:5 volume:1", _E4)
+def _e4(t):
+    from tidebar.sources.readers import read_sessions
+
+    now = F.lit("2010-01-01 00:00:00").cast("timestamp")
+    return _by_provider([read_sessions(name, t.spark, path, None, now) for name, path in session_files(t).items()])
+
+
+@query("e4_provider_formats", "provider symbol n:i first:d close:5 volume:1", _E4)
+def _e4_formats(t):
+    from tidebar.sources import providers
+
+    providers.register(t.spark)
+    now = F.lit("2010-01-01 00:00:00").cast("timestamp")
+    return _by_provider([providers.sessions(t.spark, name, path, now) for name, path in session_files(t).items()])
