@@ -74,12 +74,17 @@ def holdings_account(
     covers unknown ones. Longs pay funding, shorts receive it.
     """
     keys = keys or []
-    grid = panel.select("date").distinct()
-    grid = grid.withColumn("_g", F.row_number().over(W.orderBy("date")))
-    info = panel.select("date", "symbol", "ret_next", "cost_rate")
+    dates = W.orderBy("date")
+    grid = panel.select("date").distinct().withColumns({"_g": F.row_number().over(dates), "_exit": F.lead("date").over(dates)})
+    # a row of the panel knows the symbol's rate on the next date, at which a name that leaves is sold
+    by_symbol = win.series("symbol", order="date")
+    priced = panel.join(F.broadcast(grid), "date")  # one row per date
+    adjacent = F.lead("_g").over(by_symbol) == F.col("_g") + 1
+    info = priced.select(
+        "date", "symbol", "ret_next", "cost_rate", F.when(adjacent, F.lead("cost_rate").over(by_symbol)).alias("_exit_rate"))
     live = weights.where(F.col("weight") != 0).join(F.broadcast(grid), "date")
     cells = live.join(info, ["date", "symbol"], "left").select(
-        *keys, "date", "_g", "symbol", "weight", "ret_next", "cost_rate"
+        *keys, "date", "_g", "_exit", "symbol", "weight", "ret_next", "cost_rate", "_exit_rate"
     )
     cells = cells.withColumn("_closed", F.col("ret_next").isNull())
     w = W.partitionBy(*keys, "symbol").orderBy("_g")
@@ -89,30 +94,24 @@ def holdings_account(
     )
     follows = F.lead("_g").over(w) == F.col("_g") + 1
     cells = cells.withColumns({"_prev": F.coalesce(carried, num(0)), "_stays": F.coalesce(follows, F.lit(False))})
-    rate = F.coalesce("cost_rate", num(UNKNOWN_COST)) * (
-        cost_scale if isinstance(cost_scale, Column) else num(cost_scale)
-    )
+    scale = cost_scale if isinstance(cost_scale, Column) else num(cost_scale)
+    rate = F.coalesce("cost_rate", num(UNKNOWN_COST)) * scale
     traded = F.abs(F.col("weight") - F.col("_prev"))
-    held_rows = cells.select(
-        *keys, "date",
-        (F.col("weight") * F.coalesce("ret_next", num(0))).alias("gross"),
-        traded.alias("turnover"),
-        (traded * rate + F.when(F.col("_closed"), F.abs("weight") * rate).otherwise(num(0))).alias("cost"),
-        F.when(F.col("_closed"), num(0)).otherwise(F.col("weight")).alias("_w"), "symbol",
-    )
-    # exits: a name still carried that is absent on the next grid date
-    nxt = grid.select((F.col("_g") - 1).alias("_g"), F.col("date").alias("_exit"))
-    exits = cells.where(~F.col("_stays") & ~F.col("_closed")).join(F.broadcast(nxt), "_g")
-    rates = info.select(F.col("date").alias("_exit"), "symbol", F.col("cost_rate").alias("_rate"))
-    exits = exits.drop("cost_rate").join(rates, ["_exit", "symbol"], "left")
-    exit_rate = F.coalesce("_rate", num(UNKNOWN_COST)) * (
-        cost_scale if isinstance(cost_scale, Column) else num(cost_scale)
-    )
-    exit_rows = exits.select(
-        *keys, F.col("_exit").alias("date"), num(0).alias("gross"), F.abs("weight").alias("turnover"),
-        (F.abs("weight") * exit_rate).alias("cost"), num(0).alias("_w"), "symbol",
-    )
-    rows = held_rows.unionByName(exit_rows)
+    size = F.abs("weight")
+
+    def entry(date, gross, turnover, cost, kept):
+        return F.struct(*[c.cast(k).alias(n) for n, k, c in (
+            ("date", panel.schema["date"].dataType, date), ("gross", "double", gross), ("turnover", "double", turnover), ("cost", "double", cost), ("_w", "double", kept))])
+
+    held = entry(
+        F.col("date"), F.col("weight") * F.coalesce("ret_next", num(0)), traded,
+        traded * rate + F.when(F.col("_closed"), size * rate).otherwise(num(0)),
+        F.when(F.col("_closed"), num(0)).otherwise(F.col("weight")))
+    # a name still carried that is absent on the next grid date
+    leaves = ~F.col("_stays") & ~F.col("_closed") & F.col("_exit").isNotNull()
+    sold = entry(F.col("_exit"), num(0), size, size * F.coalesce("_exit_rate", num(UNKNOWN_COST)) * scale, num(0))
+    rows = cells.select(*keys, "symbol", F.explode(F.array_compact(F.array(held, F.when(leaves, sold)))).alias("_r"))
+    rows = rows.select(*keys, "symbol", "_r.*")
     if funding is not None:
         rows = rows.join(funding.select("date", "symbol", "funding"), ["date", "symbol"], "left")
         paid = F.coalesce(F.col("_w") * F.col("funding"), num(0))
