@@ -167,14 +167,6 @@ def _x9b(t):
     return walkforward.walk_forward(bt.variant_returns(t.bars, ["donchian"]), ["symbol", "family"])[1]
 
 
-@query("x10_market_table", "symbol family full_best_sharpe:3 oos_sharpe:3 oos_cagr_pct:3 oos_max_dd_pct:3 n_oos:i dsr:4 dsr_all:4 pbo:4 deployed_frac:4 ens_oos_sharpe:3 ens_oos_max_dd_pct:3 bh_oos_sharpe:3 family_gate:b")
-def _x10(t):
-    from tidebar.session import cut_lineage
-
-    # seven branches read the trials table: written once to the shared folder
-    return research.market_table(t.bars, cut_lineage(bt.variant_returns(t.bars)))
-
-
 @query("x11_family_portfolios", "family ts:t net:7", """
 WITH e AS (SELECT symbol, family, ts, avg(net) AS net FROM all_net GROUP BY 1, 2, 3), c AS (SELECT *, row_number() OVER (PARTITION BY symbol, family ORDER BY ts) AS i FROM e)
 SELECT family, ts, avg(net) AS net FROM c WHERE i > 730 GROUP BY 1, 2 HAVING count(*) = 6""")
@@ -338,6 +330,32 @@ cte("hold_net", backtest("(SELECT symbol, ts, 1.0 AS pos FROM bars)"))
 cte("ens_hold", "SELECT e.symbol, e.ts, e.a, h.net AS b FROM (SELECT symbol, ts, avg(net) AS a FROM dc_net GROUP BY 1, 2) e JOIN hold_net h USING (symbol, ts)")
 
 
+_MARKET = "symbol, family"
+cte("wf_all", wf_sql("all_net", 730, 182, 30))
+_by_family = " ".join(f"WHEN '{f}' THEN {dsr_sql(n, 'vf')}" for f, n in grids.FAMILY_SIZES.items())
+
+
+@query("x10_market_table", "symbol family full_best_sharpe:3 oos_sharpe:3 oos_cagr_pct:3 oos_max_dd_pct:3 n_oos:i dsr:4 dsr_all:4 pbo:4 deployed_frac:4 ens_oos_sharpe:3 ens_oos_max_dd_pct:3 bh_oos_sharpe:3 family_gate:b", f"""
+WITH t AS (SELECT {_MARKET}, params, {sharpe_pp('net')} AS sr FROM all_net GROUP BY {_MARKET}, params),
+b AS (SELECT {_MARKET}, max(sr) * sqrt(365.0) AS full_best_sharpe, coalesce(var_samp(sr), 0) AS vf FROM t GROUP BY {_MARKET}),
+a AS (SELECT symbol, coalesce(var_samp(sr), 0) AS va FROM t GROUP BY symbol),
+o AS (SELECT {_MARKET}, sharpe AS oos_sharpe, cagr_pct AS oos_cagr_pct, max_dd_pct AS oos_max_dd_pct, n_bars AS n_oos FROM ({_perf('wf_all', _MARKET)})),
+m AS ({moments_sql('wf_all', _MARKET)}),
+d AS (SELECT {_MARKET}, CASE family {_by_family} END AS dsr, {dsr_sql(grids.TOTAL_TRIALS, 'va')} AS dsr_all FROM m JOIN b USING ({_MARKET}) JOIN a USING (symbol)),
+p AS ({pbo_sql('all_net', _MARKET, 'params', 'grid_order')}),
+f AS (SELECT {_MARKET}, avg(CAST(deployed AS DOUBLE)) AS deployed_frac FROM (SELECT DISTINCT {_MARKET}, fold, deployed FROM wf_all) GROUP BY {_MARKET}),
+n AS (SELECT {_MARKET}, ts, avg(net) AS net FROM all_net SEMI JOIN wf_all USING ({_MARKET}, ts) GROUP BY {_MARKET}, ts),
+e AS (SELECT {_MARKET}, sharpe AS ens_oos_sharpe, max_dd_pct AS ens_oos_max_dd_pct FROM ({_perf('n', _MARKET)})),
+h AS (SELECT w.symbol, w.family, {sharpe('h.net')} AS bh_oos_sharpe FROM wf_all w JOIN hold_net h ON h.symbol = w.symbol AND h.ts = w.ts GROUP BY 1, 2)
+SELECT *, oos_sharpe > 0 AND dsr >= {research.GATE_DSR} AS family_gate FROM b JOIN o USING ({_MARKET}) JOIN d USING ({_MARKET}) JOIN p USING ({_MARKET})
+JOIN f USING ({_MARKET}) JOIN e USING ({_MARKET}) JOIN h USING ({_MARKET})""")
+def _x10(t):
+    from tidebar.session import cut_lineage
+
+    # seven branches read the trials table: written once to the shared folder
+    return research.market_table(t.bars, cut_lineage(bt.variant_returns(t.bars)))
+
+
 @query("m10_paired_bootstrap", "symbol n:i sharpe_diff:6 sharpe_p:3 mean_diff:7 mean_p:3", paired_sql("ens_hold", "symbol", "ts"))
 def _m10(t):
     pair = bt.variant_returns(t.bars, ["donchian"])
