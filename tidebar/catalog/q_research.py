@@ -335,7 +335,7 @@ cte("wf_all", wf_sql("all_net", 730, 182, 30))
 _by_family = " ".join(f"WHEN '{f}' THEN {dsr_sql(n, 'vf')}" for f, n in grids.FAMILY_SIZES.items())
 
 
-@query("x10_market_table", "symbol family full_best_sharpe:3 oos_sharpe:3 oos_cagr_pct:3 oos_max_dd_pct:3 n_oos:i dsr:4 dsr_all:4 pbo:4 deployed_frac:4 ens_oos_sharpe:3 ens_oos_max_dd_pct:3 bh_oos_sharpe:3 family_gate:b", f"""
+@query("x10_market_table", "symbol family full_best_sharpe:3 oos_sharpe:3 oos_cagr_pct:e9 oos_max_dd_pct:e9 n_oos:i dsr:4 dsr_all:4 pbo:4 deployed_frac:4 ens_oos_sharpe:3 ens_oos_max_dd_pct:e9 bh_oos_sharpe:3 family_gate:b", f"""
 WITH t AS (SELECT {_MARKET}, params, {sharpe_pp('net')} AS sr FROM all_net GROUP BY {_MARKET}, params),
 b AS (SELECT {_MARKET}, max(sr) * sqrt(365.0) AS full_best_sharpe, coalesce(var_samp(sr), 0) AS vf FROM t GROUP BY {_MARKET}),
 a AS (SELECT symbol, coalesce(var_samp(sr), 0) AS va FROM t GROUP BY symbol),
