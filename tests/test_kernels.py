@@ -268,3 +268,20 @@ def test_block_quantiles_are_exact(spark):
     pdf = pd.DataFrame(data, columns=["k", "x"]).groupby("k")["x"]
     for k, x in pdf:
         assert [got[k]["a"], got[k]["b"], got[k]["c"]] == pytest.approx([x.quantile(q) for q in (0.05, 0.5, 1.0)])
+
+
+def test_similarity_join_ships_sketches_not_tokens(spark):
+    from tidebar.operators import setjoin
+
+    # Sizes on both sides of bucket edges, so maps of two lengths meet; every set has its near copy two tokens shorter.
+    sets = [[f"w{i}x{j}" for j in range(n)] for i, n in enumerate([4, 7, 8, 12, 13, 21, 36, 60, 100, 167, 168, 280, 470, 471])]
+    sets += [s[:-2] if len(s) > 6 else s[:-1] + ["other"] for s in sets]
+    d = spark.createDataFrame([(i, " ".join(s)) for i, s in enumerate(sets)] + [(98, None), (99, ""), (100, " ".join(sets[3]))], "id bigint, title string")
+    got = {(r.a, r.b): r.jaccard for r in similarity.near_duplicate_pairs(d, "title", "id").collect()}
+    half = len(sets) // 2
+    assert got == {(i, i + half): (len(sets[i]) - 2) / len(sets[i]) if len(sets[i]) > 6 else 0.6 for i in range(half)}
+    named = setjoin.entered(spark.createDataFrame(list(enumerate(sets)), "k bigint, t array<string>"), 0.6)
+    assert setjoin.dealt(named).count() <= 3 * len(sets)
+    assert named.where("length(map) > n / 4 + 1 and length(map) > n + 32").count() == 0
+    left = {r["id"] for r in similarity.collapse(d, "title", "id", [F.col("id")]).collect()}
+    assert left == {*range(half), 99}

@@ -2,33 +2,46 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.text import fold_tokens
-from tidebar.operators.setjoin import similar_pairs
+from tidebar.operators.setjoin import sketch_pairs, sketched
 from tidebar.session import cut_lineage
 
 THRESHOLD, MIN_TOKENS = 0.6, 4
+Find = Callable[[DataFrame], DataFrame]
 
 
-def token_sets(items: DataFrame, title: str, prefer: list[Column], id_col: str) -> tuple[DataFrame, DataFrame]:
-    """(rows with their set key, distinct sets with the preferred row of each).
+def token_sets(items: DataFrame, title: str, prefer: list[Column], id_col: str, threshold: float) -> tuple[DataFrame, DataFrame, Find]:
+    """(rows (id, name, n) by the name of their set, distinct sets (k, pref, n, s, map), what returns the tokens of sets).
 
-    Copies share one set, so a group of identical titles, however large, becomes
-    a single row here before any pair is formed.
+    Copies share one set, so a group of identical titles, however large, becomes a single row here before any pair is
+    formed; sets are told apart by the MD5 of their tokens. Titles are folded once for the sketches, and once more where a
+    set is to be verified; neither they nor their tokens are shuffled for the others.
     """
-    toks = items.withColumn("_toks", fold_tokens(title))
-    best = F.min(F.struct(*[p.alias(f"p{i}") for i, p in enumerate(prefer)], F.col(id_col).alias("id")))
-    sets = toks.where(F.size("_toks") > 0).groupBy("_toks").agg(best.alias("_pref"))
-    return toks, sets
+    chosen = [p.alias(f"p{i}") for i, p in enumerate(prefer)]
+    own = [F.col(id_col).cast("bigint").alias("id"), F.xxhash64(title).alias("text")]
+    toks = items.select(*own, *chosen, fold_tokens(title).alias("toks")).withColumn("name", F.unhex(F.md5(F.array_join("toks", " ").cast("binary"))))
+    rows = cut_lineage(sketched(toks, "toks", threshold))
+    pref = F.min(F.struct(*[f"p{i}" for i in range(len(prefer))], "id", "text")).alias("pref")
+    best = rows.where("n > 0").groupBy("name").agg(pref, F.first("n").alias("n"), F.first("s").alias("s"), F.first("map").alias("map"))
+    sets = cut_lineage(best.select(F.col("pref.id").alias("k"), "pref", "n", "s", "map"))
+
+    def find(wanted: DataFrame) -> DataFrame:
+        named = sets.join(wanted, "k").select(F.col("k").alias("id"), F.col("pref.text").alias("text"))
+        texts = items.select(*own, F.col(title).alias("title")).join(named, ["id", "text"])
+        return texts.select(F.col("id").alias("k"), fold_tokens("title").alias("t"))
+
+    return rows.select("id", "name", "n"), sets, find
 
 
 def near_duplicate_pairs(items: DataFrame, title: str, id_col: str, threshold: float = THRESHOLD) -> DataFrame:
     """Similar pairs between the representatives (smallest id) of distinct token sets."""
-    _, sets = token_sets(items, title, [], id_col)
-    reps = cut_lineage(sets.select(F.col("_pref.id").alias("id"), F.col("_toks").alias("toks")))
-    return similar_pairs(reps, "id", "toks", threshold, MIN_TOKENS)
+    _, sets, find = token_sets(items, title, [], id_col, threshold)
+    return sketch_pairs(sets, find, threshold, MIN_TOKENS)
 
 
 def collapse(
@@ -49,10 +62,9 @@ def collapse(
     Rows without any token never match and always survive. Lineage is cut by a
     reliable checkpoint each round.
     """
-    toks, sets = token_sets(items, title, prefer, id_col)
-    keyed = cut_lineage(sets.select(F.col("_pref.id").alias("id"), F.col("_pref").alias("pref"), F.col("_toks").alias("toks")))
-    pairs = similar_pairs(keyed, "id", "toks", threshold, min_tokens)
-    pref = keyed.select("id", "pref")
+    rows, sets, find = token_sets(items, title, prefer, id_col, threshold)
+    pairs = sketch_pairs(sets, find, threshold, min_tokens)
+    pref = sets.select(F.col("k").alias("id"), "pref")
     # directed edges: earlier (preferred) -> later
     e = (
         pairs.join(pref.select(F.col("id").alias("a"), F.col("pref").alias("pa")), "a")
@@ -63,7 +75,7 @@ def collapse(
         e.select(F.when(early, F.col("a")).otherwise(F.col("b")).alias("src"),
                  F.when(early, F.col("b")).otherwise(F.col("a")).alias("dst"))
     )
-    dropped = keyed.select("id").where(F.lit(False))
+    dropped = pref.select("id").where(F.lit(False))
     live = edges
     while not live.isEmpty():
         # a source that is nobody's later neighbour is kept; what it points at goes
@@ -74,6 +86,6 @@ def collapse(
         for side in ("src", "dst"):
             live = live.join(gone.select(F.col("id").alias(side)), side, "left_anti")
         live = cut_lineage(live)
-    survivors = keyed.select("id").join(dropped, "id", "left_anti")
-    blank = toks.where(F.size("_toks") == 0).select(F.col(id_col).alias("id"))
+    survivors = pref.select("id").join(dropped, "id", "left_anti")
+    blank = rows.where("n = 0").select("id")
     return items.join(survivors.unionByName(blank).withColumnRenamed("id", id_col), id_col, "left_semi")
