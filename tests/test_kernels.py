@@ -285,3 +285,19 @@ def test_similarity_join_ships_sketches_not_tokens(spark):
     assert named.where("length(map) > n / 4 + 1 and length(map) > n + 32").count() == 0
     left = {r["id"] for r in similarity.collapse(d, "title", "id", [F.col("id")]).collect()}
     assert left == {*range(half), 99}
+
+
+def test_collapse_verifies_few_pairs_of_a_dense_group(spark, monkeypatch):
+    seen, verified = [], similarity.verified
+
+    def counted(pairs, *rest, **more):
+        seen.append(pairs.count())
+        return verified(pairs, *rest, **more)
+
+    monkeypatch.setattr(similarity, "verified", counted)
+    base = [f"word{i}" for i in range(30)]
+    titles = [" ".join([*base[:k], f"other{k}", *base[k + 1 :]]) for k in range(30)] + [f"story {i} of{i} alone{i} here{i}" for i in range(9)]
+    d = spark.createDataFrame(list(enumerate(titles)), "id long, title string")
+    # the larger id is preferred, so the last of the group stays
+    assert {r["id"] for r in similarity.collapse(d, "title", "id", [-F.col("id")]).collect()} == {29, *range(30, 39)}
+    assert sum(seen) <= 2 * len(titles)  # all pairs of the group are 435
