@@ -112,3 +112,13 @@ def test_repeated_ids_and_rows_without_id(spark):
     assert got == [(1, a), (1, b)]
     assert corpus_pipeline.near_dedup(spark, docs, "").where("doc_id IS NULL").count() == 2
     assert corpus_pipeline.near_dedup(spark, docs.limit(0), "").count() == 0
+
+
+def test_simhash_finds_near_copies_by_itself(spark, monkeypatch):
+    none = spark.createDataFrame([], "tok bigint, a bigint, b bigint, n bigint, at bigint")
+    monkeypatch.setattr(jaccard, "candidates", lambda nodes: none)
+    rnd = random.Random(2)
+    w = ["".join(rnd.choice("abcdef") for _ in range(6)) for _ in range(2000)]
+    near, other = [*w[:900], "changed", *w[901:]], w[::-1]
+    docs = spark.createDataFrame([(1, " ".join(w)), (2, " ".join(near)), (3, " ".join(other))], "doc_id bigint, text string")
+    assert {r.doc_id for r in corpus_pipeline.near_dedup(spark, docs, "").collect()} == {1, 3}
