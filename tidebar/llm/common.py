@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+from collections.abc import Callable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -12,14 +16,26 @@ from tidebar.session import scratch_path
 WORD = r"[^\x20\x09-\x0D]+"
 
 
-def staged(df: DataFrame, name: str) -> DataFrame:
+TEXT_ROWS = 1000  # whole texts that go to a Python task at once
+BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def staged(df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
     """Write ``df`` to the shared checkpoint folder and read it back.
 
-    Cuts the lineage: what stands above is never computed again, also if executors are lost later.
+    Cuts the lineage: what stands above is never computed again, also if executors are lost later. ``batch``: rows that go to
+    a Python task at once while it is written, for long rows; the session's own setting stands again afterwards.
     """
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    own = spark.conf.get(BATCH)
+    if batch is not None:
+        spark.conf.set(BATCH, str(min(batch, int(own)) if int(own) > 0 else batch))
+    try:
+        df.write.parquet(path)
+    finally:
+        if batch is not None:
+            spark.conf.set(BATCH, own)
     out = spark.read.schema(df.schema).parquet(path)
     out.staged_path = path
     return out
@@ -33,6 +49,30 @@ def discard(*tables: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def trimmed(each: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``each`` for mapInArrow, with what its batches took given back to the system at the end of the task.
+
+    Spark keeps a worker for a minute for tasks to come, and what it has freed but not given back stands there beside the
+    executor's own memory in stages that need no Python at all.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from each(batches)
+        finally:
+            release()
+
+    return run
+
+
+def release() -> None:
+    """Give the memory that Arrow and the C library have freed back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 SIEVE_WORDS = 1 << 18  # most words of 64 bits of a sieve: 16 bits a key up to a million keys, fewer beyond
 
 

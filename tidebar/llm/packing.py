@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import staged
+from tidebar.llm.common import TEXT_ROWS, staged, trimmed
 
 WIDTH = 4  # bytes of an id
 MARKS = "!#$%&*+,-./:;<=>?@|~"
@@ -245,7 +245,7 @@ def pack(
         return pa.Table.from_batches([p.drain()])
 
     base = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    pieces = staged(base.mapInArrow(each, PIECE_SQL), "pack-pieces")
+    pieces = staged(base.mapInArrow(trimmed(each), PIECE_SQL), "pack-pieces", TEXT_ROWS)
     left = pieces.where(F.col("ids").isNotNull()).withColumn("lot", F.floor(F.col("task") / merge))
     tail = left.groupBy("lot").applyInArrow(merged, PIECE_SQL)
     every = pieces.where(F.col("ids").isNull()).drop("ids").unionByName(tail.drop("ids"))

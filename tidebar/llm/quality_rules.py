@@ -22,6 +22,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidebar.llm.common import trimmed
+
 SYMBOLS = re.compile(rb"[#*$%&|<>]")
 SPACES = (b" ", b"\t", b"\n", b"\x0b", b"\x0c", b"\r")
 
@@ -130,7 +132,7 @@ def measure(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int =
             pa.schema([("k", pa.int32()), ("spent", pa.float64()), ("rejected", pa.int64()), ("seen", pa.int64())]),
         )
 
-    got = picked.mapInArrow(each, "k int, spent double, rejected bigint, seen bigint")
+    got = picked.mapInArrow(trimmed(each), "k int, spent double, rejected bigint, seen bigint")
     sums = got.groupBy("k").agg(F.sum("spent").alias("spent"), F.sum("rejected").alias("rejected"), F.sum("seen").alias("seen"))
     return {rules[x.k].name: (x.spent / x.seen, x.rejected / x.seen) for x in sums.collect() if x.seen}
 
@@ -171,7 +173,7 @@ def judge(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2
             yield pa.RecordBatch.from_pydict(rows, out)
 
     cols = ", ".join(f"{f} bigint" for f in figures)
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(each, f"doc_id bigint, {cols}, base_failed boolean, kept boolean, rejected_by string")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(each), f"doc_id bigint, {cols}, base_failed boolean, kept boolean, rejected_by string")
 
 
 def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int = 2000) -> DataFrame:
@@ -182,4 +184,4 @@ def keep_good(docs: DataFrame, rules: tuple[Rule, ...] = RULES, sample_rows: int
         for b in batches:
             yield b.filter(pa.array([not any(r.rejects(v) for r in cascade) for v in map(View, texts(b))], pa.bool_()))
 
-    return docs.mapInArrow(each, docs.schema)
+    return docs.mapInArrow(trimmed(each), docs.schema)

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.llm.common import staged
+from tidebar.llm.common import staged, trimmed
 
 SEED = 42
 BITS = 64
@@ -66,7 +66,7 @@ def fingerprints(docs: DataFrame, words: int = 4) -> DataFrame:
             fps = np.fromiter((fingerprint(t.as_py() or b"", words) for t in texts), np.uint64, len(texts))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(fps.view(np.int64))], schema=out)
 
-    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(each, "doc_id bigint, fp bigint")
+    return docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").mapInArrow(trimmed(each), "doc_id bigint, fp bigint")
 
 
 def segments(nodes: int, radius: int) -> list[tuple[int, int, int]]:
@@ -181,8 +181,8 @@ def links(nodes: DataFrame, radius: int = 4) -> DataFrame:
             a, b = bucket_links(keys, fps.view(np.uint64), probes, radius)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], schema=link)
 
-    rows = nodes.select("fp").mapInArrow(enter, "bucket bigint, fp bigint, probe boolean")
-    return rows.repartition("bucket").mapInArrow(verify, "a bigint, b bigint").distinct()
+    rows = nodes.select("fp").mapInArrow(trimmed(enter), "bucket bigint, fp bigint, probe boolean")
+    return rows.repartition("bucket").mapInArrow(trimmed(verify), "a bigint, b bigint").distinct()
 
 
 def components(edges: DataFrame) -> DataFrame:
