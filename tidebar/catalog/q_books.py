@@ -92,19 +92,24 @@ SELECT {k}date, sum(w * coalesce(ret_next, 0)) AS gross, sum(abs(w - prev)) AS t
  count(CASE WHEN w <> 0 AND ret_next IS NOT NULL THEN 1 END) AS n_held FROM d WHERE w <> 0 OR prev <> 0 GROUP BY {k}date"""
 
 
+def account(weights, p, **more):
+    """The account of weights of members: no other symbol's rates are read."""
+    return portfolio.holdings_account(weights, universe.member_series(p), calendar=p, **more)
+
+
 _ACC = "date:t gross:7 cost:7 turnover:6 n_held:i net:7"
 
 
 @query("x26_holdings_account", _ACC, f"SELECT *, gross - cost AS net FROM ({account_sql('band_w')})")
 def _x26(t):
     p = ranker(t, True)
-    return portfolio.holdings_account(portfolio.rank_band(p, "mom21", F.col("mom21") > 0), p)
+    return account(portfolio.rank_band(p, "mom21", F.col("mom21") > 0), p)
 
 
 @query("x28_equal_weight_members", _ACC, f"SELECT *, gross - cost AS net FROM ({account_sql('picks_r0')})")
 def _x28(t):
     p = ranker(t, True)
-    return portfolio.holdings_account(portfolio.equal_weight_members(p), p)
+    return account(portfolio.equal_weight_members(p), p)
 
 
 @query("m15_cost_stress", "cost_scale:1 days:i net:6 cost:6", f"""
@@ -121,8 +126,8 @@ SELECT ge AS gross_edge, ne AS net_edge, ge - ne AS incremental_cost, NOT (ge >
  SELECT avg(a.gross - b.gross) AS ge, avg((a.gross - a.cost) - (b.gross - b.cost)) AS ne FROM ({account_sql('band_w')}) a JOIN ({account_sql('picks_r0')}) b USING (date))""")
 def _m15b(t):
     p = ranker(t, True)
-    a = portfolio.holdings_account(portfolio.rank_band(p, "mom21", F.col("mom21") > 0), p)
-    return portfolio.turnover_rule(a, portfolio.holdings_account(portfolio.equal_weight_members(p), p))
+    a = account(portfolio.rank_band(p, "mom21", F.col("mom21") > 0), p)
+    return portfolio.turnover_rule(a, account(portfolio.equal_weight_members(p), p))
 
 
 cte("picks_ls", """
@@ -147,7 +152,7 @@ def _o7(t):
 @query("x26_long_short_account", _ACC, f"SELECT *, gross - cost AS net FROM ({account_sql('picks_ls')})")
 def _x26b(t):
     p = ranker(t, True)
-    return portfolio.holdings_account(picks(t, p), p)
+    return account(picks(t, p), p)
 
 
 @query("a15_concentration", "max_share:7", """

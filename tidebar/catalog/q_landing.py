@@ -18,7 +18,7 @@ from tidebar.catalog.q_books import _ACC, account_sql
 from tidebar.catalog.tables_sql import donchian_pos
 from tidebar.functions.columns import num
 from tidebar.operators import aggregates, sets
-from tidebar.plans import ledger, portfolio
+from tidebar.plans import ledger
 from tidebar.session import scratch_path
 from tidebar.sources import readers
 from tidebar.streaming import jobs
@@ -223,4 +223,4 @@ LEFT JOIN (SELECT date, sum(weight * cost_rate * 0.1) AS f FROM picks_ls JOIN ra
 def _x26_funding(t):
     p = q_books.ranker(t, True)
     funding = p.select("date", "symbol", (F.col("cost_rate") * num(0.1)).alias("funding"))
-    return portfolio.holdings_account(q_books.picks(t, p), p, funding=funding)
+    return q_books.account(q_books.picks(t, p), p, funding=funding)

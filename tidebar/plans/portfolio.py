@@ -65,17 +65,20 @@ def holdings_account(
     keys: list[str] | None = None,
     funding: DataFrame | None = None,
     cost_scale: Column | float = 1.0,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Daily net, gross, cost and turnover of given weights (date, symbol, weight).
 
     A weight decided at a date earns that date's next return. A held name without
     one earns nothing and is closed with cost (which adds no turnover), so the
     next date starts from zero. Cost rates come from the panel; the default rate
-    covers unknown ones. Longs pay funding, shorts receive it.
+    covers unknown ones. Longs pay funding, shorts receive it. ``panel`` may lack
+    symbols without a weight if ``calendar`` has the dates of all of them.
     """
     keys = keys or []
     dates = W.orderBy("date")
-    grid = panel.select("date").distinct().withColumns({"_g": F.row_number().over(dates), "_exit": F.lead("date").over(dates)})
+    days = (panel if calendar is None else calendar).select("date").distinct()
+    grid = days.withColumns({"_g": F.row_number().over(dates), "_exit": F.lead("date").over(dates)})
     # a row of the panel knows the symbol's rate on the next date, at which a name that leaves is sold
     by_symbol = win.series("symbol", order="date")
     priced = panel.join(F.broadcast(grid), "date")  # one row per date

@@ -37,16 +37,29 @@ def eligible(symbols: DataFrame, symbol: str = "symbol") -> DataFrame:
     return symbols.where(keep)
 
 
-def panel(bars: DataFrame, adv_window: int = ADV_WINDOW, top_n: int = TOP_RANK) -> DataFrame:
-    """Ranked daily panel: only symbols with a full trailing volume window on the date; n_bars counts a symbol's bars so far."""
+def volumes(bars: DataFrame, adv_window: int = ADV_WINDOW) -> DataFrame:
+    """The rows of the panel, unranked: those of a symbol with a full trailing volume window on the date."""
     w = win.series("symbol")
     adv = win.rolling_mean("quote_volume", w, adv_window)
-    out = bars.select(
+    return bars.select(
         F.col("ts").alias("date"), "symbol", "close", F.col("quote_volume").alias("dollar_vol"),
         adv.alias("adv30"), F.row_number().over(w).cast("long").alias("n_bars"),
     ).where(F.col("adv30").isNotNull())
-    rank = win.first_tie_rank("adv30", "date", "symbol").cast("long")
-    return out.withColumn("rank", rank).withColumn("in_universe", F.col("rank") <= top_n)
+
+
+def volume_rank() -> Column:
+    return win.first_tie_rank("adv30", "date", "symbol").cast("long")
+
+
+def panel(bars: DataFrame, adv_window: int = ADV_WINDOW, top_n: int = TOP_RANK) -> DataFrame:
+    """Ranked daily panel: only symbols with a full trailing volume window on the date; n_bars counts a symbol's bars so far."""
+    return volumes(bars, adv_window).withColumn("rank", volume_rank()).withColumn("in_universe", F.col("rank") <= top_n)
+
+
+def member_series(panel: DataFrame) -> DataFrame:
+    """All rows of the symbols that are members on some date. The top ranks of the dates bound these symbols, however many
+    the panel has, so rules about members need no window over the others."""
+    return panel.join(F.broadcast(panel.where("member").select("symbol").distinct()), "symbol", "left_semi")
 
 
 def bar_counts_on_spine(bars: DataFrame, dates: DataFrame) -> DataFrame:
@@ -73,9 +86,11 @@ def ranker_panel(
     """Returns, volatility, membership, label against the member median, cost rate, momentum.
 
     Returns and rolling statistics follow the date grid of the panel: a symbol
-    absent on a date breaks its one-step return and its full windows.
+    absent on a date breaks its one-step return and its full windows. What follows
+    a series comes first and what compares a date last, so the rows are shuffled to
+    their series and to their dates once each.
     """
-    p = panel(bars, adv_window, top_rank)
+    p = volumes(bars, adv_window)
     if start is not None:
         p = p.where(F.col("date") >= start)
     # position of each date on the shared grid; consecutive grid steps make a valid return
@@ -91,7 +106,12 @@ def ranker_panel(
         unbroken = F.col("_g") - F.first("_g").over(f) == width - 1
         return F.when(unbroken & (F.count("ret").over(f) == width), fn("ret").over(f))
 
-    p = p.withColumns({"sigma20": on_grid(F.stddev_samp, 20), "mom21": on_grid(F.sum, 21)})
+    ahead = F.lead("_g").over(w) == F.col("_g") + 1
+    p = p.withColumns({
+        "sigma20": on_grid(F.stddev_samp, 20), "mom21": on_grid(F.sum, 21),
+        "ret_next": F.when(ahead, F.try_divide(F.lead("close").over(w), F.col("close")) - 1),
+    })
+    p = p.withColumn("rank", volume_rank())
     raw_member = (
         (F.col("adv30") >= adv_floor) & (F.col("rank") <= top_rank)
         & (F.col("n_bars") >= min_bars) & F.col("close").isNotNull()
@@ -100,8 +120,6 @@ def ranker_panel(
     p = p.withColumn("_m", raw_member)
     p = p.withColumn("_n", F.count_if("_m").over(by_date))
     p = p.withColumn("member", F.col("_m") & (F.col("_n") >= members_per_date))
-    ahead = F.lead("_g").over(w) == F.col("_g") + 1
-    p = p.withColumn("ret_next", F.when(ahead, F.try_divide(F.lead("close").over(w), F.col("close")) - 1))
     masked = F.when(F.col("member"), F.col("ret_next"))
     p = p.withColumn("_med", F.median(masked).over(by_date))
     label = F.when(masked.isNotNull(), (masked > F.col("_med")).cast("double"))
@@ -122,5 +140,5 @@ def return_channels(p: DataFrame, floor: Column | float) -> DataFrame:
 
 
 __all__ = [
-    "bar_counts_on_spine", "eligible", "next_on_spine", "panel", "ranker_panel", "return_channels",
+    "bar_counts_on_spine", "eligible", "member_series", "next_on_spine", "panel", "ranker_panel", "return_channels",
 ]
