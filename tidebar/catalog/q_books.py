@@ -117,7 +117,7 @@ SELECT 1.0 AS cost_scale, count(*) AS days, sum(gross - cost) AS net, sum(cost)
 UNION ALL SELECT 2.0, count(*), sum(gross - cost), sum(cost) FROM ({account_sql('band_w', '2')})""".replace("AS days", "AS \"days\""))
 def _m15(t):
     p = ranker(t, True)
-    s = portfolio.cost_stress(portfolio.rank_band(p, "mom21", F.col("mom21") > 0).drop("rank"), p)
+    s = portfolio.cost_stress(portfolio.rank_band(p, "mom21", F.col("mom21") > 0).drop("rank"), universe.member_series(p), calendar=p)
     return s.groupBy("cost_scale").agg(F.count(F.lit(1)).alias("days"), F.sum("net").alias("net"), F.sum("cost").alias("cost"))
 
 

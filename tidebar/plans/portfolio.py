@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidebar.functions.columns import num
 from tidebar.operators import windows as win
+from tidebar.plans.universe import member_series
 
 # Fixed values of the selection rule.
 SLOTS, EXIT_RANK, SLOT_WEIGHT = 5, 10, 0.20
@@ -31,10 +32,11 @@ def rank_band(
 ) -> DataFrame:
     """Per-symbol membership in a rank band: in at rank <= enter with confidence, out at
     rank > leave, without confidence or without membership. There is no slot cap:
-    more than ``enter`` names can be held at once.
+    more than ``enter`` names can be held at once. A symbol that is never a member
+    is never held, so only the others' rows are read.
     """
     s = F.when(F.col("member"), F.col(score))
-    ranked = panel.withColumn("_s", s)
+    ranked = member_series(panel).withColumn("_s", s)
     by_date = W.partitionBy("date").orderBy(F.col("_s").desc_nulls_last(), "symbol")
     ranked = ranked.withColumn("_rank", F.when(F.col("_s").isNotNull(), F.row_number().over(by_date)))
     sure = F.coalesce(confident, F.lit(False)) & F.col("_s").isNotNull()
@@ -155,14 +157,15 @@ def log_rows(log: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def cost_stress(
-    weights: DataFrame, panel: DataFrame, scales: list[float] | None = None, keys: list[str] | None = None
+    weights: DataFrame, panel: DataFrame, scales: list[float] | None = None, keys: list[str] | None = None,
+    calendar: DataFrame | None = None,
 ) -> DataFrame:
     """Holdings accounting under every cost scale at once (a scenario dimension)."""
     spark = weights.sparkSession
     keys = keys or []
     dim = spark.createDataFrame([(float(s),) for s in (scales or [1.0, 2.0])], "cost_scale double")
     spread = weights.crossJoin(F.broadcast(dim))
-    return holdings_account(spread, panel, [*keys, "cost_scale"], cost_scale=F.col("cost_scale"))
+    return holdings_account(spread, panel, [*keys, "cost_scale"], cost_scale=F.col("cost_scale"), calendar=calendar)
 
 
 def turnover_rule(a: DataFrame, b: DataFrame) -> DataFrame:
