@@ -206,9 +206,12 @@ SELECT m.*, label AS y, fold, CASE WHEN date <= train_end - INTERVAL 5 DAY THEN
 
 @query("m14_ranker_classifier", score_cols(_RANK), score_sql("rank_rows", _RANK))
 def _m14(t):
-    p = universe.return_channels(ranker(t, True), 0.5).where("z is not null")
+    p = universe.return_channels(universe.member_series(ranker(t, True)), 0.5).where("z is not null")
     w = win.series("symbol", order="date")
     p = p.withColumns({f"z{k}": F.lag("z", k).over(w) for k in range(1, 5)}).where("z4 is not null and member")
+    path = scratch_path(t.spark, "ranker-rows")  # few rows, read by every step of the fits
+    p.write.parquet(path)
+    p = t.spark.read.parquet(path)
     bounds = p.agg(F.min("date").alias("t0"), F.max("date").alias("t_end"))
     g = walkforward.split_rows(p, walkforward.fold_schedule(bounds, 730), "date")
     return classifier(g, _RANK, "label")
