@@ -82,14 +82,15 @@ def negative_severity(scored: DataFrame) -> DataFrame:
 def flag_snapshot(scored: DataFrame, top: int = 10, tie: str = "title") -> DataFrame:
     """One-row risk-flag snapshot: severity map, market severity and the top negatives."""
     sev = negative_severity(scored)
-    by_asset = sev.where("asset <> 'ALL'").agg(
-        F.map_from_entries(F.array_sort(F.collect_list(F.struct("asset", "severity")))).alias("asset_neg_severity")
+    whole = F.col("asset") == "ALL"
+    severities = sev.agg(  # both from one pass over the texts
+        F.map_from_entries(F.array_sort(F.collect_list(F.when(~whole, F.struct("asset", "severity"))))).alias("asset_neg_severity"),
+        F.max(F.when(whole, F.col("severity"))).alias("market_neg_severity"),
     )
-    market = sev.where("asset = 'ALL'").select(F.col("severity").alias("market_neg_severity"))
     worst = scored.where("direction = 'neg'").orderBy(F.col("severity").desc(), tie).limit(top)
     listed = worst.agg(F.collect_list(F.struct("severity", "title", "category")).alias("top_negative"))
     total = scored.agg(F.count(F.lit(1)).alias("n_scored"), F.max("scorer").alias("scorer"))
-    return by_asset.crossJoin(market).crossJoin(listed).crossJoin(total)
+    return severities.crossJoin(listed).crossJoin(total)
 
 
 def predictive_scores(preds: DataFrame, labels: DataFrame) -> DataFrame:
