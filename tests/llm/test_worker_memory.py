@@ -42,3 +42,18 @@ def test_texts_reach_a_task_in_small_batches(spark, monkeypatch):
     monkeypatch.setattr(packing, "staged", lambda df, name, batch=None: seen.append(batch) or staged(df, name, batch))
     assert packing.pack(docs.limit(5)).select("doc_id").distinct().count() == 5 and seen == [TEXT_ROWS]
     assert spark.conf.get(BATCH) == own
+
+
+def test_a_worker_keeps_no_words_after_packing(spark):
+    docs = spark.range(0, 400, 1, 8).selectExpr("id AS doc_id", "concat('word', id, ' other') AS text")
+    assert packing.pack(docs).select("doc_id").distinct().count() == 400
+
+    def left(batches):
+        for _ in batches:
+            pass
+        made = packing.encoder.cache_info().currsize
+        yield pa.record_batch({"made": pa.array([made], pa.int64()), "n": pa.array([len(packing.encoder(None).words) if made else 0], pa.int64())})
+
+    got = spark.range(0, 8, 1, 8).mapInArrow(left, "made bigint, n bigint").collect()
+    assert max(r.made for r in got) == 1  # a worker that has packed
+    assert max(r.n for r in got) == 0

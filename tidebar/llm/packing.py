@@ -6,9 +6,9 @@ one is topped up with the head of the piece, emitted, and the tail is placed ane
 end of a partition are merged across partitions, 64 partitions to a group, and what is left of a group is dealt into
 sequences whose lengths are powers of two, which need no padding.
 
-Memory of a task: the open windows and a word cache of bounded size. Only leftovers are shuffled, at most
-``open_windows`` windows per partition, whatever the size of the table. The packed pieces are staged, so the two
-branches (done, left over) never tokenise twice, and a lost executor repeats single tasks only.
+Memory of a task: the open windows and a word cache of bounded size, which ends with the task. Only leftovers are
+shuffled, at most ``open_windows`` windows per partition, whatever the size of the table. The packed pieces are staged,
+so the two branches (done, left over) never tokenise twice, and a lost executor repeats single tasks only.
 
 Edge cases: a null or empty text is its end token alone. Documents without id keep a null id. Repeated rows are packed
 one by one. An empty table gives an empty result. Other columns are left alone.
@@ -41,11 +41,11 @@ class WordEncoder:
     """Token ids of texts as little-endian 32-bit bytes, by words.
 
     The tokenizer drops white space, never joins text across it and normalises each word on its own, so the ids of a
-    text are those of its words in order; words are encoded once and kept in a cache of bounded size. A new word of
-    letters with ASCII marks behind them is put together from the two. Lower-case ASCII letters are what the tokenizer
-    itself hands to its model, so they go there directly; other words of letters are encoded many at a time, since each
-    ends in the one token that bears the end-of-word sign. If a lot does not come apart in as many words, and for all
-    other words, each word is encoded by itself.
+    text are those of its words in order; words are encoded once and kept in a cache of bounded size, until the task
+    ends. A new word of letters with ASCII marks behind them is put together from the two. Lower-case ASCII letters are
+    what the tokenizer itself hands to its model, so they go there directly; other words of letters are encoded many at
+    a time, since each ends in the one token that bears the end-of-word sign. If a lot does not come apart in as many
+    words, and for all other words, each word is encoded by itself.
     """
 
     def __init__(self, path: str, most: int = 400_000):
@@ -60,7 +60,6 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[bytes, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
     def singly(self, words: list[str]) -> Iterator[bytes]:
         for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False):
@@ -80,8 +79,6 @@ class WordEncoder:
     def learn(self, missing: list[bytes]) -> None:
         if len(self.words) + len(missing) > self.most:
             self.words.clear()
-        if len(self.parts) > self.most:
-            self.parts.clear()
         split, odd = [], []
         for raw in missing:
             word = raw.decode()
@@ -90,16 +87,15 @@ class WordEncoder:
                 split.append((raw, core.lower() if core.isascii() else core, word[len(core) :]))
             else:
                 odd.append((raw, word))
-        new = {c for _, c, _ in split}.difference(self.parts)
+        new, parts = {c for _, c, _ in split}, {}
         tokenize, pack = self.model.tokenize, struct.pack
         for c in filter(str.isascii, new):
             ids = [t.id for t in tokenize(c)]
-            self.parts[c] = pack(f"<{len(ids)}I", *ids)
+            parts[c] = pack(f"<{len(ids)}I", *ids)
         cores = [c for c in new if not c.isascii()]
-        self.parts.update(zip(cores, self.letters(cores), strict=True))
-        marks = list({m for _, _, m in split}.difference(self.parts))
-        self.parts.update(zip(marks, self.singly(marks), strict=True))
-        parts = self.parts
+        parts.update(zip(cores, self.letters(cores), strict=True))
+        marks = list({m for _, _, m in split}.difference(parts))
+        parts.update(zip(marks, self.singly(marks), strict=True))
         self.words.update((raw, parts[c] + parts[m]) for raw, c, m in split)
         self.words.update(zip([raw for raw, _ in odd], self.singly([w for _, w in odd]), strict=True))
 
@@ -229,13 +225,17 @@ def pack(
         from pyspark import TaskContext
 
         p = Packer(TaskContext.get().partitionId(), length, open_windows)
-        for b in batches:
-            for doc_id, ids in encoded(b, path, end_id):
-                p.add(doc_id, 0, ids, len(ids) // WIDTH)
-                if len(p.done["seq"]) >= 20_000:
-                    yield p.drain()
-        p.leave()
-        yield p.drain()
+        try:
+            for b in batches:
+                for doc_id, ids in encoded(b, path, end_id):
+                    p.add(doc_id, 0, ids, len(ids) // WIDTH)
+                    if len(p.done["seq"]) >= 20_000:
+                        yield p.drain()
+            p.leave()
+            yield p.drain()
+        finally:
+            if encoder.cache_info().currsize:  # the worker goes on waiting for tasks of any stage
+                encoder(path).words.clear()
 
     def merged(key: tuple, t: pa.Table) -> pa.Table:
         p = Packer((1 << 30) + key[0].as_py(), length, 1)
