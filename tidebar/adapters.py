@@ -6,10 +6,12 @@ reads only the columns named here.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidebar.functions.columns import num
+from tidebar.functions.columns import exact_sum, num
 from tidebar.functions.times import availability_floor, plus_minutes, session_bounds
 
 
@@ -20,21 +22,22 @@ def _ohlc(px: Column, order: Column) -> list[Column]:
     ]
 
 
-def daily_bars(lineitem: DataFrame, key: Column | None = None, span: str = "day") -> DataFrame:
-    """Bars per (flag+status or supplier, day or week); price is extended price per unit."""
+def daily_bars(lineitem: DataFrame, key: Column | None = None, span: str = "day", total: Callable[[Column], Column] = F.sum) -> DataFrame:
+    """Bars per (flag+status or supplier, day or week); price is extended price per unit, ``total`` sums the extended price."""
     symbol = key if key is not None else F.concat("l_returnflag", "l_linestatus")
     px = F.col("l_extendedprice") / F.col("l_quantity")
     order = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
     ts = F.date_trunc(span, F.col("l_shipdate").cast("timestamp"))
     return lineitem.groupBy(symbol.alias("symbol"), ts.alias("ts")).agg(
         *_ohlc(px, order), F.sum("l_quantity").alias("volume"),
-        F.sum("l_extendedprice").alias("quote_volume"), F.count(F.lit(1)).alias("trades"),
+        total(F.col("l_extendedprice")).alias("quote_volume"), F.count(F.lit(1)).alias("trades"),
     )
 
 
 def weekly_panel_bars(lineitem: DataFrame) -> DataFrame:
+    """Bars that are ranked by quote volume: a rank must not hang on the order in which it was summed."""
     key = F.concat(F.lit("S"), F.lpad(F.col("l_suppkey").cast("string"), 6, "0"))
-    return daily_bars(lineitem, key, "week")
+    return daily_bars(lineitem, key, "week", exact_sum)
 
 
 def hourly_bars(events: DataFrame) -> DataFrame:

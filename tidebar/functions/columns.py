@@ -32,6 +32,26 @@ def clip(x: Column | str, lo: float | None = None, hi: float | None = None) -> C
     return F.when(x.isNotNull(), y)
 
 
+def exact_sum(x: Column | str) -> Column:
+    """Aggregate: the sum of doubles rounded once, so it is the same in whatever order tasks add them up, and equal rows tie.
+
+    Whole parts and two digits of 26 bits behind the point are summed as longs; bits below 2^-52, which values from 1 on do
+    not have, are rounded off. Values of 2^36 or more, infinities and NaN are added as doubles.
+    """
+    x, mask = col(x), (1 << 26) - 1
+    small = F.abs(x) < num(1 << 36)
+    whole = F.floor(x)
+    rest = (x - whole) * num(1 << 26)
+    parts = (whole, F.floor(rest), F.floor((rest - F.floor(rest)) * num(1 << 26)))
+    a, b, c = (F.sum(F.when(small, p)) for p in parts)
+    b = b + F.shiftright(c, 26)
+    a = a + F.shiftright(b, 26)
+    behind = F.shiftleft(b.bitwiseAND(mask), 26) + c.bitwiseAND(mask)
+    exact = a.cast("double") + behind.cast("double") / num(1 << 52)
+    large = F.sum(F.when(~small, x))
+    return F.when(large.isNull(), exact).otherwise(large + F.coalesce(exact, num(0)))
+
+
 def sign(x: Column | str) -> Column:
     return F.signum(col(x))
 
