@@ -7,7 +7,9 @@ import random
 from datetime import datetime
 
 import pytest
+from pyspark.sql import functions as F
 
+from tidebar import adapters
 from tidebar.catalog import load
 from tidebar.functions.columns import exact_sum
 
@@ -45,3 +47,15 @@ def test_exact_sum_of_odd_values(spark):
     of = lambda *xs: spark.createDataFrame([(x,) for x in xs], "x double").agg(exact_sum("x")).first()[0]
     assert of(None) is None and of(None, 1.5) == 1.5 and of(1e300, 1.5) == 1e300 and of(1.5, float("inf")) == float("inf")
     assert math.isnan(of(1.0, float("nan"))) and of(-0.25, -0.5) == -0.75 and of(2.0**36, 0.5) == 2.0**36 + 0.5
+
+def test_panel_ranks_of_copies(spark, tmp_path):
+    """Suppliers of equal weeks, each in its own order of rows, stand in the order of their names in the ranker panel, too."""
+    from tidebar.plans import universe
+
+    rng = random.Random(3)
+    weeks = [(datetime(2024, 1, 1 + 7 * w), [round(rng.uniform(900, 90_000), 2) for _ in range(5)]) for w in range(4)]
+    parts = [lines(spark, at, {s: rng.sample(prices, 5) for s in range(6)}) for at, prices in weeks]
+    table = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+    panel = universe.panel(adapters.weekly_panel_bars(table), adv_window=2)
+    got = panel.select("symbol", F.col("rank").alias("r")).distinct().orderBy("symbol").collect()
+    assert [(r.symbol, r.r) for r in got] == [(f"S{s:06d}", s + 1) for s in range(6)]
