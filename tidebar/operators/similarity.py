@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidebar.functions.text import fold_tokens
-from tidebar.operators.setjoin import candidates, dealt, hashes_of, sketch_pairs, sketched, verified
+from tidebar.operators.setjoin import candidates, common, dealt, hashes_of, sketch_pairs, sketched, verified
 from tidebar.session import cut_lineage
 
 THRESHOLD, MIN_TOKENS = 0.6, 4
@@ -28,7 +28,7 @@ def sieved(rows: DataFrame, key: str, wanted: DataFrame) -> DataFrame:
 
 
 def token_sets(items: DataFrame, title: str, prefer: list[Column], id_col: str, threshold: float) -> tuple[DataFrame, DataFrame, Find]:
-    """(rows (id, name, n) by the name of their set, distinct sets (k, pref, n, s, map), what returns the tokens of sets).
+    """(rows (id, name, n) by the name of their set, distinct sets (k, pref, n, s, map, rare), what returns the tokens of sets).
     ``k`` is the smallest id of a set; with a preference it is a number that rises in its order instead.
 
     Copies share one set, so a group of identical titles, however large, becomes a single row here before any pair is
@@ -38,14 +38,15 @@ def token_sets(items: DataFrame, title: str, prefer: list[Column], id_col: str,
     chosen = [p.alias(f"p{i}") for i, p in enumerate(prefer)]
     own = [F.col(id_col).cast("bigint").alias("id"), F.xxhash64(title).alias("text")]
     toks = items.select(*own, *chosen, fold_tokens(title).alias("toks")).withColumn("name", F.unhex(F.md5(F.array_join("toks", " ").cast("binary"))))
-    rows = cut_lineage(sketched(toks, "toks", threshold))
+    order = common(items.select(F.col(id_col).alias("id"), F.col(title).alias("title")), "id", fold_tokens("title"))
+    rows = cut_lineage(sketched(toks, "toks", threshold, order))
     pref = F.min(F.struct(*[f"p{i}" for i in range(len(prefer))], "id", "text")).alias("pref")
-    best = rows.where("n > 0").groupBy("name").agg(pref, F.first("n").alias("n"), F.first("s").alias("s"), F.first("map").alias("map"))
+    best = rows.where("n > 0").groupBy("name").agg(pref, F.first("n").alias("n"), F.first("s").alias("s"), F.first("map").alias("map"), F.first("rare").alias("rare"))
     if prefer:
         best = best.orderBy("pref").withColumn("k", F.monotonically_increasing_id())
     else:
         best = best.withColumn("k", F.col("pref.id"))
-    sets = cut_lineage(best.select("k", "pref", "n", "s", "map"))
+    sets = cut_lineage(best.select("k", "pref", "n", "s", "map", "rare"))
 
     def find(wanted: DataFrame) -> DataFrame:
         named = cut_lineage(sets.join(wanted, "k").select("k", "pref.id", "pref.text"))
